@@ -1,0 +1,61 @@
+"""Queries and SQL of the operators for training data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spanlex.llm import term_frequency, top_n
+from spanlex.session import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The ten first documents of every query."""
+    return top_n.top_n(table(spark, d, "results"), 10).select("qid", "doc_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Terms too rare or too common to be useful."""
+    rows = term_frequency.term_frequencies(table(spark, d, "postings"))
+    return rows.where("mark is not null").select("term", "mark")
+
+
+def p3_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and documents of every term."""
+    return term_frequency.term_frequencies(table(spark, d, "postings"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_terms": p3_terms}
+
+RANKED = """
+with usable as (
+  select qid, doc_id, doc_name, score + 0.0 as score, scored_at from results
+  where score is not null and not isnan(score)),
+latest as (
+  select * from usable
+  qualify row_number() over (partition by qid, doc_id
+    order by scored_at desc nulls last, score desc, doc_name desc nulls last) = 1)
+select qid, doc_id from latest
+qualify row_number() over (partition by qid order by score desc, doc_name desc nulls last, doc_id desc nulls last) <= 10
+"""
+
+TERMS = """
+with usable as (
+  select doc_id, seg, lower(trim(term)) as term, tf, loaded_at from postings
+  where term is not null and trim(term) <> '' and tf >= 1 and doc_id is not null),
+current as (
+  select doc_id, seg, term, tf from usable
+  qualify row_number() over (partition by doc_id, seg, term order by loaded_at desc nulls last, tf desc) = 1),
+counts as (
+  select term, cast(sum(tf) as bigint) as occurrences, count(distinct doc_id) as records from current group by term),
+marked as (
+  select term, occurrences, records,
+    case when records <= 2 then 'rare'
+         when records > 0.5 * (select count(distinct doc_id) from current) then 'common' end as mark
+  from counts)
+"""
+
+ORACLE = {
+    "p1_found": RANKED,
+    "p3_found": TERMS + "select term, mark from marked where mark is not null",
+    "p3_terms": TERMS + "select * from marked",
+}
