@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanlex.llm import term_frequency, top_n
+from spanlex.llm import packing, term_frequency, tokenizer, top_n
 from spanlex.session import table
 
 
@@ -24,7 +25,25 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_frequency.term_frequencies(table(spark, d, "postings"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_terms": p3_terms}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenizer.encode_documents(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of each of its pieces if it is longer than one."""
+    sizes = tokenizer.count_tokens(table(spark, d, "documents"))
+    packed = packing.pack(sizes.select(F.col("doc_id").alias("id"), F.col("n_tokens").alias("size")))
+    return packed.withColumnsRenamed({"id": "doc_id", "n": "n_tokens"})
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_terms": p3_terms,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+}
 
 RANKED = """
 with usable as (
