@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlex.llm import packing, term_frequency, tokenizer, top_n
+from spanlex.llm import packing, similar_vectors, term_frequency, tokenizer, top_n
 from spanlex.session import table
 
 
@@ -25,6 +25,17 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_frequency.term_frequencies(table(spark, d, "postings"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents of which one is among the ten most similar of the other."""
+    return similar_vectors.similar_pairs(table(spark, d, "lsi_docs"))
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar documents of every document whose id is divisible by 50, against all."""
+    near = similar_vectors.neighbours(table(spark, d, "lsi_docs"), asks="doc_id % 50 = 0", tables=6, number=4)
+    return near.withColumn("similarity", F.round("similarity", 6))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_documents(table(spark, d, "documents"))
@@ -41,6 +52,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
 }
