@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlex.llm import packing, similar_vectors, term_frequency, tokenizer, top_n
+from spanlex.llm import near_duplicates, packing, similar_vectors, term_frequency, tokenizer, top_n
 from spanlex.session import table
 
 
@@ -36,6 +36,12 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of texts that share at least four fifths of their words."""
+    pairs = near_duplicates.near_duplicate_pairs(table(spark, d, "documents"))
+    return pairs.select("doc_id_a", "doc_id_b")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_documents(table(spark, d, "documents"))
@@ -54,6 +60,7 @@ QUERIES = {
     "p3_terms": p3_terms,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
 }
