@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlex.llm import near_duplicates, packing, similar_vectors, term_frequency, tokenizer, top_n
+from spanlex.llm import near_duplicates, packing, similar_vectors, term_frequency, text_quality, tokenizer, top_n
 from spanlex.session import table
 
 
@@ -14,6 +14,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n.top_n(table(spark, d, "results"), 10).select("qid", "doc_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are mostly lists, tables or junk."""
+    return text_quality.not_running(table(spark, d, "documents")).select("doc_id")
+
+
+def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Quality statistics of every document."""
+    words = [r["word"] for r in table(spark, d, "common_words").where("word is not null").collect()]  # a fixed list
+    stats = text_quality.statistics(table(spark, d, "documents"), words)
+    shares = [c for c, kind in stats.dtypes if kind == "double"]
+    return stats.withColumns({c: F.round(c, 6) for c in shares})
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms too rare or too common to be useful."""
     rows = term_frequency.term_frequencies(table(spark, d, "postings"))
@@ -56,6 +69,8 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_statistics": p2_statistics,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
     "p4_found": p4_found,
