@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlex.llm import near_duplicates, packing, similar_vectors, term_frequency, text_quality, tokenizer, top_n
+from spanlex.llm import near_duplicates, packing, personal_data, similar_vectors, term_frequency, text_quality, tokenizer, top_n
 from spanlex.session import table
 
 
@@ -67,6 +67,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.withColumnsRenamed({"id": "doc_id", "n": "n_tokens"})
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information found in the texts."""
+    return personal_data.find(table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders in place of personal information."""
+    return personal_data.redact(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -78,6 +88,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 RANKED = """
