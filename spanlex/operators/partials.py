@@ -27,6 +27,8 @@ from spanlex.session import shuffle_width
 
 #: Bytes of (compressed) input per task of the sorted pass.
 TASK_BYTES = 6 << 20
+#: Spark reports no less than this for frames whose size it doesn't know.
+UNKNOWN_BYTES = 1 << 55
 #: Frequencies and ids below these limits are compared as one number.
 ID_BITS, TF_BITS = 40, 23
 
@@ -52,8 +54,10 @@ def current(postings: DataFrame) -> DataFrame:
 
 
 def task_count(df: DataFrame) -> int:
-    """Tasks of a sorted pass: the configured number, or more for a larger input."""
+    """Tasks of a sorted pass: the configured number, or more for a larger input of known size."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN_BYTES:
+        return shuffle_width(df.sparkSession)
     return max(shuffle_width(df.sparkSession), min(100_000, -(-size // TASK_BYTES)))
 
 

@@ -2,30 +2,298 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanlex.functions import codec as C
+from spanlex.functions import scoring as S
+from spanlex.operators import evaluate, index, lsi, partials, retrieve
+from spanlex.operators.index import FULL, STOPPED, SURFACE, Analyzer, Index
+from spanlex.session import durable, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("doc_id is not null").select("doc_id", "doc_name", "block", "text")
+
+
+def built(spark: SparkSession, d: str, analyzer: Analyzer = SURFACE, method: str = "spimi") -> Index:
+    """The index of the collection; its postings are written once, as several frames are derived from them."""
+    fresh = index.build(documents(spark, d), analyzer, method)
+    return Index(durable(fresh.postings, "postings"), fresh.names, analyzer)
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.clean_queries(table(spark, d, "queries"))
+
+
+def plain_postings(spark: SparkSession, d: str, analyzer: Analyzer = SURFACE) -> DataFrame:
+    return index.build(documents(spark, d), analyzer).postings
+
+
+# --- text and index ---------------------------------------------------------------------------------
+
+
+@query
+def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and distinct tokens of every document."""
+    return index.token_counts(documents(spark, d))
+
+
+@query
+def stopword_filtered_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same without stop words."""
+    return index.token_counts(documents(spark, d), stop=True)
+
+
+@query
+def postings_tf(spark: SparkSession, d: str) -> DataFrame:
+    """Term frequencies."""
+    return plain_postings(spark, d)
+
 
-from spanlex.operators import partials
-from spanlex.session import table
+@query
+def term_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Document, largest and total frequency of every term."""
+    return index.term_stats(plain_postings(spark, d))
 
 
+@query
+def doc_length(spark: SparkSession, d: str) -> DataFrame:
+    """Length of every document in tokens, stop words left out."""
+    return index.doc_stats(plain_postings(spark, d, STOPPED))
+
+
+@query
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, mean and least length."""
+    stats = index.corpus_stats(index.doc_stats(plain_postings(spark, d)))
+    return stats.withColumn("avdl", F.round("avdl", 6))
+
+
+@query
+def id_map(spark: SparkSession, d: str) -> DataFrame:
+    """Dense ids of all terms in their order, from 0."""
+    return index.vocabulary(plain_postings(spark, d))
+
+
+@query
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of the terms of all queries."""
+    terms = SURFACE.counts(asked(spark, d), ["qid"]).select("term")
+    return index.lookup(plain_postings(spark, d), terms).select("term", "doc_id", "tf")
+
+
+@query
+def bsbi_block_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Term statistics of an index built block by block and merged."""
+    return index.term_stats(index.build(documents(spark, d), method="bsbi").postings)
+
+
+@query
+def postings_merge_sum(spark: SparkSession, d: str) -> DataFrame:
+    """Delivered runs of partial postings, cleaned and merged."""
+    runs = partials.current(table(spark, d, "postings"))
+    return index.merge_postings(runs)
+
+
+@query
+def partial_term_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of every term over delivered partial postings, by salted two-stage aggregation."""
+    return partials.term_totals(table(spark, d, "postings"))
+
+
+@query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The document in which each term is most frequent."""
     return partials.top_document(table(spark, d, "postings")).select("term", "doc_id")
 
 
-QUERIES = {"p6_found": p6_found}
+# --- codecs -----------------------------------------------------------------------------------------
+
+
+@query
+def postings_list(spark: SparkSession, d: str) -> DataFrame:
+    """Every term's documents ascending with their frequencies, as text."""
+    lists = index.posting_lists(plain_postings(spark, d))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return lists.select("term", text("doc_ids"), text("tfs"))
+
+
+@query
+def vbe_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Differences of successive document ids."""
+    return index.posting_gaps(plain_postings(spark, d)).select("term", "doc_id", "gap")
+
+
+@query
+def standard_bytes_per_term(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of every term's lists at eight bytes a number."""
+    return index.size_standard(plain_postings(spark, d))
+
+
+@query
+def vbe_bytes_per_term(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of every term's lists in the variable-byte codec."""
+    return index.size_vbe(plain_postings(spark, d))
+
+
+@query
+def optpfor_bytes_per_term(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of every term's lists in the patched frame-of-reference codec."""
+    return index.size_pfor(durable(plain_postings(spark, d), "postings"))
+
+
+def _encoded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    lists = durable(index.posting_lists(plain_postings(spark, d)), "lists")
+    return {name: index.encode_lists(lists, name) for name in C.CODECS}
+
+
+@query
+def codec_bytes_per_term(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of every term's lists as really encoded, by codec."""
+    parts = [
+        e.select("term", "codec", F.length("postings").cast("bigint").alias("postings_bytes"), F.length("tfs").cast("bigint").alias("tfs_bytes"))
+        for e in _encoded(spark, d).values()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Lists decoded from their bytes, by codec, as postings."""
+    out = None
+    for name, encoded in _encoded(spark, d).items():
+        pair = F.explode(F.arrays_zip("doc_ids", "tfs")).alias("p")
+        rows = index.decode_lists(encoded, name).select("term", pair)
+        rows = rows.select(F.lit(name).alias("codec"), "term", F.col("p.doc_ids").alias("doc_id"), F.col("p.tfs").alias("tf"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# --- weights and retrieval --------------------------------------------------------------------------
+
+
+@query
+def idf(spark: SparkSession, d: str) -> DataFrame:
+    """Inverse document frequency of every term."""
+    built_index = built(spark, d)
+    rows = built_index.term_stats.crossJoin(F.broadcast(built_index.corpus_stats))  # one row
+    return rows.select("term", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    """TF-IDF weight of every posting."""
+    return retrieve.weights(built(spark, d), "tfidf")
+
+
+@query
+def bm25_weights(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 weight of every posting."""
+    return retrieve.weights(built(spark, d), "bm25")
+
+
+@query
+def bm25_upper_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Largest BM25 weight each term can reach."""
+    return retrieve.upper_bounds(built(spark, d))
+
+
+@query
+def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten best documents of every query by TF-IDF."""
+    return retrieve.retrieve(built(spark, d), asked(spark, d), "tfidf")
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten best documents of every query by BM25."""
+    return retrieve.retrieve(built(spark, d), asked(spark, d), "bm25")
+
+
+@query
+def bm25_wand_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten best documents of every query by BM25 as WAND admits them."""
+    return retrieve.retrieve(built(spark, d), asked(spark, d), "bm25_wand")
+
+
+INLINE = (("q1", "patients patients zzzunknown"), ("q2", "zzzunknown"), ("q3", "The serum, the SERUM and the kidney"), ("q4", None), ("q5", ""))
+
+
+@query
+def oov_and_repeated_query_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Queries with unknown and repeated words, and without any."""
+    queries = spark.createDataFrame(list(INLINE), "qid string, text string")
+    return retrieve.retrieve(built(spark, d), queries, "bm25")
+
+
+@query
+def wand_vs_exhaustive_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one of both rankings only, by query: they differ where ties or zero scores stand at the end."""
+    built_index, queries = built(spark, d), asked(spark, d)
+    full = retrieve.retrieve(built_index, queries, "bm25").select("qid", "doc_id", F.lit(1).alias("a"))
+    pruned = retrieve.retrieve(built_index, queries, "bm25_wand").select("qid", "doc_id", F.lit(1).alias("b"))
+    both = full.join(pruned, ["qid", "doc_id"], "full")
+    return both.groupBy("qid").agg(
+        F.sum(F.when(F.col("b").isNull(), 1).otherwise(0)).alias("only_exhaustive"),
+        F.sum(F.when(F.col("a").isNull(), 1).otherwise(0)).alias("only_wand"),
+    )
+
+
+@query
+def stemmed_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten best documents of every query by BM25 over stems, stop words left out."""
+    return retrieve.retrieve(built(spark, d, FULL), asked(spark, d), "bm25")
+
+
+@query
+def lsi_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten best documents of every query by latent semantic indexing."""
+    built_index = built(spark, d, STOPPED)
+    return lsi.retrieve(built_index, lsi.build(built_index), asked(spark, d))
+
+
+# --- evaluation -------------------------------------------------------------------------------------
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Delivered rankings with their judgments, the 1000 first of each query."""
+    ranking = retrieve.top_k(retrieve.latest_scores(table(spark, d, "results")), 1000)
+    return evaluate.judge(ranking, table(spark, d, "qrels"))
+
+
+def _metric(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = evaluate.metric(judged(spark, d), name)
+        return rows.select("qid", F.round("value", 6).alias("value"))
+
+    run.__name__ = f"eval_{name.lower()}"
+    run.__doc__ = f"{name} of every delivered ranking."
+    return query(run)
+
+
+for _name in evaluate.METRICS:
+    _metric(_name)
 
-CLEAN = """
-with usable as (
-  select doc_id, seg, lower(trim(term)) as term, tf, loaded_at from postings
-  where term is not null and trim(term) <> '' and tf >= 1 and doc_id is not null),
-current as (
-  select doc_id, seg, term, tf from usable
-  qualify row_number() over (partition by doc_id, seg, term order by loaded_at desc nulls last, tf desc) = 1),
-totals as (select term, doc_id, sum(tf) as tf from current group by term, doc_id)
-"""
 
-ORACLE = {
-    "p6_found": CLEAN
-    + "select term, doc_id from totals qualify row_number() over (partition by term order by tf desc, doc_id) = 1",
-}
+@query
+def eval_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Means of all metrics over the rankings of three retrieval methods, 1000 documents deep."""
+    built_index, queries, qrels = built(spark, d), asked(spark, d), table(spark, d, "qrels")
+    out = None
+    for method in ("tfidf", "bm25", "bm25_wand"):
+        rows = durable(evaluate.judge(retrieve.retrieve(built_index, queries, method, 1000), qrels), "judged")
+        for name in evaluate.METRICS:
+            part = evaluate.mean(rows, name).select(F.lit(method).alias("method"), "metric", F.round("value", 6).alias("value"))
+            out = part if out is None else out.unionByName(part)
+    return out
