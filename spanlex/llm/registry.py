@@ -120,7 +120,33 @@ marked as (
   from counts)
 """
 
+SIMILAR = """
+with usable as (
+  select doc_id, vec, built_at from lsi_docs
+  where doc_id is not null and vec is not null and len(vec) = 64
+    and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0),
+latest as (select doc_id, vec from usable qualify row_number() over (partition by doc_id order by built_at desc nulls last, vec desc) = 1),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, list_cosine_similarity(a.vec, b.vec) as s from latest a, latest b where a.doc_id <> b.doc_id),
+near as (select a, b, s from pairs qualify row_number() over (partition by a order by round(s, 12) desc, b) <= 10)
+select distinct least(a, b) as doc_id_a, greatest(a, b) as doc_id_b from near where s >= 0.9
+"""
+
+NEAR_DUPLICATES = r"""
+with words as (
+  select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as w from documents where text is not null and doc_id is not null),
+bags as (select doc_id, w, count(*) as n from words group by doc_id, w),
+sizes as (select doc_id, sum(n) as size from bags group by doc_id having sum(n) >= 20),
+overlap as (
+  select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as shared
+  from bags a join bags b on a.w = b.w and a.doc_id < b.doc_id group by a.doc_id, b.doc_id)
+select a as doc_id_a, b as doc_id_b from overlap join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+where shared >= 0.8 * (x.size + y.size - shared) - 1e-9
+"""
+
 ORACLE = {
+    "p4_found": SIMILAR,
+    "p5_found": NEAR_DUPLICATES,
     "p1_found": RANKED,
     "p3_found": TERMS + "select term, mark from marked where mark is not null",
     "p3_terms": TERMS + "select * from marked",
