@@ -49,6 +49,8 @@ MODEL = "quality_rules.json"
 
 # Everything but letters, digits and the underscore; ASCII is decided first, which is most of the work.
 _WORDS = r"[\x00-/:-@\[-^`{-\x7f[^\x00-\x7f\p{L}\p{N}]]+"
+_NO_LETTERS = r"[\x00-@\[-`{-\x7f[^\x00-\x7f\p{L}]]+"
+_NO_DIGITS = r"[\x00-/:-\x7f[^\x00-\x7f\p{N}]]+"
 _BLANK = r"[\s\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
@@ -89,13 +91,13 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None) -> DataFr
         F.length("solid").alias("n_chars"),
         total(F.transform("parts", lambda p: p["words"])).alias("n_words"),
         F.size("lines").alias("n_lines"),
-        F.length(F.regexp_replace("solid", r"[^\p{L}\p{N}_]+", "")).alias("word_chars"),
+        F.length(F.regexp_replace("solid", _WORDS, "")).alias("word_chars"),
         F.size(F.array_distinct(F.filter(F.split(F.lower("text"), _WORDS), lambda w: w != ""))).alias("n_distinct"),
         total(F.transform("parts", lambda p: p["n"])).alias("part_chars"),
         total(F.transform(runs, lambda p: p["n"])).alias("running_chars"),
         total(F.transform("parts", lambda p: p["hits"])).alias("hits"),
-        F.length(F.regexp_replace("solid", r"[^\p{N}]+", "")).alias("digits"),
-        F.length(F.regexp_replace("solid", r"[^\p{L}]+", "")).alias("letters"),
+        F.length(F.regexp_replace("solid", _NO_DIGITS, "")).alias("digits"),
+        F.length(F.regexp_replace("solid", _NO_LETTERS, "")).alias("letters"),
         F.size(F.filter("lines", lambda l: F.rtrim(l).rlike(r"[.!?:;]\s*$"))).alias("ended"),
         (F.size(F.filter(F.split(F.lower("text"), _WORDS), lambda w: w.isin(*common_words))) if common_words else F.lit(None).cast("int")).alias(
             "common"
@@ -140,6 +142,9 @@ def case_expression(rules: list[list[tuple[str, str, float]]]) -> str:
 
 def not_running(docs: DataFrame, least_chars: int = 80) -> DataFrame:
     """``(doc_id, rule)`` of the documents that are mostly no running text, with the rule that says so."""
-    stats = statistics(docs).where(F.col("n_chars") >= least_chars)
-    stats = stats.fillna(0.0, subset=list(FEATURES))
-    return stats.select("doc_id", F.expr(case_expression(load_rules())).alias("rule")).where("rule > 0")
+    stats = statistics(docs).fillna(0.0, subset=list(FEATURES))
+    row = F.struct("doc_id", "n_chars", F.expr(case_expression(load_rules())).alias("rule"))
+    # a filter would be pushed below the projections and evaluate the statistics again for each condition;
+    # it can't pass a generator
+    rows = stats.select(F.explode(F.array(row)).alias("x")).select("x.doc_id", "x.n_chars", "x.rule")
+    return rows.where((F.col("n_chars") >= least_chars) & (F.col("rule") > 0)).select("doc_id", "rule")
