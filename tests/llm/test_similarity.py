@@ -17,7 +17,7 @@ def vectors(seed=1, n=400):
     for i in range(0, n, 5):  # near neighbours
         x[i] = x[i - 1] + rng.normal(size=64) * 0.25
     x[300:330] = x[299]  # a group of copies
-    return x * rng.random((n, 1)) * 5 if False else x
+    return x
 
 
 def brute(x, k=10):
