@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the setting is absent (tests, a laptop) a temporary folder takes its place.
     """
-    named = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
     own = getattr(spark.sparkContext, "_spanlex_shared", None)
