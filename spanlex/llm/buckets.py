@@ -43,7 +43,7 @@ def codes(column: pa.Array) -> np.ndarray:
 
 def split_large(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Rows with their ``block``: 0 in ordinary buckets. Kind 2 is a row that only stores."""
-    large = rows.where("kind = 0").groupBy("bucket").count().where(F.col("count") > limit)
+    large = rows.where("kind <> 1").groupBy("bucket").count().where(F.col("count") > limit)
     number = large.count()
     if number == 0:
         return rows.withColumn("block", F.lit(0))
@@ -52,8 +52,8 @@ def split_large(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     ordinary = joined.where("blocks is null").select("bucket", "kind", "id", "code", F.lit(0).alias("block"))
     hot = joined.where("blocks is not null")
-    stored = hot.where("kind = 0").select("bucket", F.lit(2).alias("kind"), "id", "code", own.alias("block"))
-    asking = hot.select(
+    stored = hot.where("kind <> 1").select("bucket", F.lit(2).alias("kind"), "id", "code", own.alias("block"))
+    asking = hot.where("kind <> 2").select(
         "bucket", F.lit(1).alias("kind"), "id", "code", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     )
     return ordinary.unionByName(stored).unionByName(asking)

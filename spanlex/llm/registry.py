@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar documents of every document whose id is divisible by 50, against all."""
-    near = similar_vectors.neighbours(table(spark, d, "lsi_docs"), asks="doc_id % 50 = 0", tables=6, number=4)
+    near = similar_vectors.neighbours(table(spark, d, "lsi_docs"), asks="doc_id % 50 = 0", tables=6, number=4, more=16)
     return near.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -68,35 +68,27 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def probes(rows: np.ndarray, rotations: np.ndarray, number: int) -> np.ndarray:
-    """Bucket numbers of one table: the nearest, then the next likely ones by loss of projection."""
+    """Bucket numbers of one table: the nearest, then the next likely ones by loss of projection over all hashes."""
     n, size = rows.shape
-    codes, options = [], []
+    depth = min(max(number, 1), size)
+    place, loss = np.zeros((n, 1), dtype=np.int64), np.zeros((n, 1), dtype=np.float32)
     for rounds in rotations:
         turned = rows
         for flip in rounds:
             turned = hadamard(turned * flip)
         large = np.abs(turned)
-        depth = min(number + 1, size)
         top = np.argpartition(-large, depth - 1, axis=1)[:, :depth]
         height = np.take_along_axis(large, top, axis=1)
         order = np.argsort(-height, axis=1, kind="stable")
         top, height = np.take_along_axis(top, order, axis=1), np.take_along_axis(height, order, axis=1)
         axis = top.astype(np.int64) * 2 + (np.take_along_axis(turned, top, axis=1) > 0)
-        codes.append(axis)
-        options.append(height[:, :1] - height)
-    base = np.zeros(n, dtype=np.int64)
-    for axis in codes:
-        base = base * (2 * size) + axis[:, 0]
-    out, loss, place = [base], [], []
-    weight = [(2 * size) ** (len(codes) - 1 - i) for i in range(len(codes))]
-    for axis, lost, w in zip(codes, options, weight):
-        for t in range(1, axis.shape[1]):
-            loss.append(lost[:, t])
-            place.append(base + (axis[:, t] - axis[:, 0]) * w)
-    if loss and number > 1:
-        order = np.argsort(np.stack(loss, axis=1), axis=1, kind="stable")[:, : number - 1]
-        out += list(np.take_along_axis(np.stack(place, axis=1), order, axis=1).T)
-    return np.stack(out, axis=1)
+        # both sides are in order, so place i of one and j of the other has (i + 1)(j + 1) - 1 no worse before it
+        i, j = np.nonzero(np.outer(np.arange(1, loss.shape[1] + 1), np.arange(1, depth + 1)) <= max(number, 1))
+        both = loss[:, i] + (height[:, :1] - height)[:, j]
+        best = np.argsort(both, axis=1, kind="stable")[:, : max(number, 1)]
+        loss = np.take_along_axis(both, best, axis=1)
+        place = np.take_along_axis(place[:, i] * (2 * size) + axis[:, j], best, axis=1)
+    return place
 
 
 def four_bits(rows: np.ndarray) -> np.ndarray:
@@ -135,12 +127,15 @@ def bucket_rows(reps: DataFrame, tables: int, hashes: int, number: int, asks: st
             size = rows.shape[1]
             code = four_bits(rows)
             turns = signs(tables, hashes, size)
+            asks_at, silent = np.flatnonzero(asking), np.flatnonzero(~asking)
             for t in range(tables):
-                place = probes(rows, turns[t], number) * tables + t
-                which = [np.arange(n)] + [np.flatnonzero(asking)] * (place.shape[1] - 1)
-                index = np.concatenate(which)
-                bucket = np.concatenate([place[w, p] for p, w in enumerate(which)])
-                kind = np.concatenate([np.where(asking, 0, 2)] + [np.ones(len(w)) for w in which[1:]]).astype(np.int32)
+                reach = probes(rows[asks_at], turns[t], number)
+                home = np.empty(n, dtype=np.int64)
+                home[asks_at], home[silent] = reach[:, 0], probes(rows[silent], turns[t], 1)[:, 0]
+                index = np.concatenate([np.arange(n), np.repeat(asks_at, reach.shape[1] - 1)])
+                bucket = np.concatenate([home, reach[:, 1:].reshape(-1)]) * tables + t
+                kind = np.ones(len(index), dtype=np.int32)
+                kind[:n] = np.where(asking, 0, 2)
                 data = pa.py_buffer(np.ascontiguousarray(code[index]).tobytes())
                 ends = pa.py_buffer((np.arange(len(index) + 1) * code.shape[1]).astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -152,9 +147,9 @@ def bucket_rows(reps: DataFrame, tables: int, hashes: int, number: int, asks: st
     return rows.mapInArrow(run, buckets.SCHEMA)
 
 
-def hashes_for(n: int, size: int = SIZE, fill: int = 200) -> int:
-    """Hashes per table, so that buckets hold about ``fill`` vectors of a spread-out collection or fewer."""
-    return max(1, math.ceil(math.log(max(1, n / fill)) / math.log(2 * size)))
+def hashes_for(n: int, size: int = SIZE, fill: int = 200, most: int = 8) -> int:
+    """Hashes per table, so that buckets hold about ``fill`` vectors of a spread-out collection or fewer, as far as ``most`` hashes allow."""
+    return min(most, max(1, math.ceil(math.log(max(1, n / fill)) / math.log(2 * size))))
 
 
 def neighbours(
@@ -166,12 +161,14 @@ def neighbours(
     number: int = 3,
     hashes: int | None = None,
     size: int = SIZE,
+    more: int = 1,
 ) -> DataFrame:
     """``(doc_id, neighbour, rank, similarity)``: the k most similar others of every document.
 
     ``least`` leaves out neighbours below a similarity and makes the search cheaper: candidates below it by
     more than the codes can be wrong are dropped early. ``asks`` restricts the documents that get a list, not
-    those searched. Accuracy is set by ``tables`` and ``number`` (buckets asked per table).
+    those searched. Accuracy is set by ``tables`` and ``number`` (buckets asked per table); each hash beyond the
+    first asks ``more`` times as many, as neighbours that are not very similar seldom share several hashes.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -188,8 +185,9 @@ def neighbours(
         wanted = members.where(asks).select(F.col("rep").alias("doc_id")).distinct().withColumn("by_copy", F.lit(True))
         reps = reps.join(wanted, "doc_id", "left")
         reps = reps.withColumn("asks", F.coalesce("by_copy", F.lit(False)) | F.expr(asks)).drop("by_copy")
-    n = hashes or hashes_for(vectors.count(), size)
-    rows = buckets.written(bucket_rows(reps, tables, n, number, "asks" if asks else None), "vector-buckets")
+    # further probes of a third hash would be many more rows than larger buckets are
+    n = hashes or hashes_for(vectors.count(), size, most=2 if more > 1 else 8)
+    rows = buckets.written(bucket_rows(reps, tables, n, number * more ** (n - 1), "asks" if asks else None), "vector-buckets")
     floor = -1.0 if least is None else least - 0.1
     pairs = buckets.candidates(rows, likeness, likeness_rows, floor, None if least is not None else k + 30)
     exact = rerank(pairs, reps, least)

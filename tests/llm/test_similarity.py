@@ -62,6 +62,62 @@ def test_recall_of_lists(spark):
     assert similar_vectors.neighbours(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def hits(spark, x, step, **how):
+    """Recall of the lists of every step-th vector, against brute force."""
+    got = {}
+    table = spark.createDataFrame([(i, v.tolist(), T0, 1, "r") for i, v in enumerate(x)], VECTORS)
+    for r in similar_vectors.neighbours(table, asks=f"doc_id % {step} = 0", **how).collect():
+        got.setdefault(r["doc_id"], []).append(r["neighbour"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = []
+    for i in range(0, len(x), step):
+        s = u @ u[i]
+        s[i] = -9
+        found.append(len(set(np.argsort(-s)[:10].tolist()) & set(got.get(i, []))) / 10)
+    return float(np.mean(found))
+
+
+def test_recall_with_two_hashes(spark):
+    """Neighbours at cosines of 0.6 to 0.7, with the tables of a collection above 25,600 vectors."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 64))[np.repeat(np.arange(60), 50)] * 1.3 + rng.normal(size=(3000, 64))
+    assert similar_vectors.hashes_for(30_000) == 2 and similar_vectors.hashes_for(10**9, most=2) == 2
+    assert hits(spark, x, 20, tables=6, number=4, hashes=2, more=16) >= 0.9
+
+
+def test_probes_are_the_likeliest_of_all_combinations():
+    rng = np.random.default_rng(5)
+    x = similar_vectors.unit(rng.normal(size=(20, 8))).astype(np.float32)
+    turns = similar_vectors.signs(1, 2, 8)[0]
+    got = similar_vectors.probes(x, turns, 12)
+    for row, places in zip(x, got):
+        loss = {}
+        turned = []
+        for rounds in turns:
+            y = row[None]
+            for flip in rounds:
+                y = similar_vectors.hadamard(y * flip)
+            turned.append(y[0])
+        for i in range(8):
+            for j in range(8):
+                place = (i * 2 + (turned[0][i] > 0)) * 16 + j * 2 + (turned[1][j] > 0)
+                loss[place] = sum(np.abs(t).max() - abs(t[k]) for t, k in zip(turned, (i, j)))
+        expected = sorted(loss.values())[:12]
+        assert len(set(places.tolist())) == 12
+        assert np.allclose([loss[p] for p in places.tolist()], expected, atol=1e-5)
+
+
+def test_large_buckets_of_rows_that_only_store(spark):
+    """Rows that only store count for the size of a bucket, and are divided and found like others."""
+    rows = [(7, 2 if i % 10 else 0, i, bytes(4)) for i in range(200)] + [(7, 1, 500, bytes(4))]
+    table = buckets.written(spark.createDataFrame(rows, buckets.SCHEMA), "t")
+    split = buckets.split_large(table, limit=16)
+    assert split.where("kind <> 1").groupBy("block").count().agg({"count": "max"}).first()[0] < 60
+    got = {tuple(r) for r in buckets.candidates(table, near_duplicates._agreement, near_duplicates._agreement_rows, 4, limit=16).collect()}
+    expected = {(min(i, j), max(i, j)) for i in range(0, 200, 10) for j in range(200) if i != j} | {(i, 500) for i in range(200)}
+    assert got == expected
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64)).astype(np.float32)
     y = similar_vectors.hadamard(x)
