@@ -11,8 +11,9 @@ Input is ``vectors(doc_id, vec, built_at)``. Defined results:
 A hash is the signed axis nearest to a vector after a pseudo-random rotation, which is three rounds of
 random signs and a fast Hadamard transform. A table joins several hashes into a bucket number. Each vector is
 stored in one bucket per table and asks in that one and in the next likely ones (multiprobe). Candidates
-are compared by four-bit codes first; what may reach the wanted similarity is reranked with the exact
-vectors.
+are compared by short codes first; what may reach the wanted similarity is reranked with the exact
+vectors. For lists the codes have eight bits and carry their error, and all that may be among the nearest
+within that error is reranked.
 
 Copies, documents with the very same vector, are represented by one of them, so a group of copies of any
 size is one row in every bucket; they return at the end, at most ``k + 1`` of each group per neighbour list.
@@ -21,7 +22,7 @@ size is one row in every bucket; they return at the end, at most ``k + 1`` of ea
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,35 @@ def _restored(code: np.ndarray) -> np.ndarray:
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
+def eight_bits(rows: np.ndarray) -> np.ndarray:
+    """A byte a coordinate, as -127..127 times the row's largest value, then the length of the error in four bytes."""
+    scaled = np.rint(rows / np.abs(rows).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    # what 32-bit arithmetic may add is far below 1e-5
+    error = np.sqrt(((rows - _restored_eight(scaled)) ** 2).sum(axis=1)) + np.float32(1e-5)
+    return np.concatenate([scaled.view(np.uint8), error.astype("<f4")[:, None].view(np.uint8)], axis=1)
+
+
+def _restored_eight(scaled: np.ndarray) -> np.ndarray:
+    out = scaled.astype(np.float32)
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+
+
+def _parts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and error lengths of eight-bit codes."""
+    return _restored_eight(np.ascontiguousarray(code[:, :-4]).view(np.int8)), np.ascontiguousarray(code[:, -4:]).view("<f4")[:, 0]
+
+
+def bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of all pairs of eight-bit codes, and how far the exact ones may be from them."""
+    (x, e), (y, f) = _parts(a), _parts(b)
+    return x @ y.T, e[:, None] + f[None, :]
+
+
+def bounds_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    (x, e), (y, f) = _parts(a), _parts(b)
+    return np.einsum("ij,ij->i", x, y), e + f
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _restored(a) @ _restored(b).T
 
@@ -112,7 +142,9 @@ def likeness_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", _restored(a), _restored(b))
 
 
-def bucket_rows(reps: DataFrame, tables: int, hashes: int, number: int, asks: str | None = None) -> DataFrame:
+def bucket_rows(
+    reps: DataFrame, tables: int, hashes: int, number: int, asks: str | None = None, encode: Callable[[np.ndarray], np.ndarray] = four_bits
+) -> DataFrame:
     """Bucket rows of ``reps(doc_id, vec[, asks])``; only rows whose ``asks`` holds send further probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +157,7 @@ def bucket_rows(reps: DataFrame, tables: int, hashes: int, number: int, asks: st
             asking = batch.column(2).to_numpy(zero_copy_only=False)
             rows = unit(flat).astype(np.float32)
             size = rows.shape[1]
-            code = four_bits(rows)
+            code = encode(rows)
             turns = signs(tables, hashes, size)
             asks_at, silent = np.flatnonzero(asking), np.flatnonzero(~asking)
             for t in range(tables):
@@ -187,9 +219,13 @@ def neighbours(
         reps = reps.withColumn("asks", F.coalesce("by_copy", F.lit(False)) | F.expr(asks)).drop("by_copy")
     # further probes of a third hash would be many more rows than larger buckets are
     n = hashes or hashes_for(vectors.count(), size, most=2 if more > 1 else 8)
-    rows = buckets.written(bucket_rows(reps, tables, n, number * more ** (n - 1), "asks" if asks else None), "vector-buckets")
-    floor = -1.0 if least is None else least - 0.1
-    pairs = buckets.candidates(rows, likeness, likeness_rows, floor, None if least is not None else k + 30)
+    encode = eight_bits if least is None else four_bits
+    rows = bucket_rows(reps, tables, n, number * more ** (n - 1), "asks" if asks else None, encode)
+    rows = buckets.written(rows, "vector-buckets")
+    if least is None:
+        pairs = buckets.nearest(rows, bounds, bounds_rows, k + 1)
+    else:
+        pairs = buckets.candidates(rows, likeness, likeness_rows, least - 0.1)
     exact = rerank(pairs, reps, least)
     both = exact.select(F.col("a").alias("rep"), F.col("b").alias("other"), "similarity").unionByName(
         exact.select(F.col("b").alias("rep"), F.col("a").alias("other"), "similarity")

@@ -85,6 +85,21 @@ def test_recall_with_two_hashes(spark):
     assert hits(spark, x, 20, tables=6, number=4, hashes=2, more=16) >= 0.9
 
 
+def test_recall_in_a_dense_group(spark):
+    """Many distinct vectors of nearly one direction fall into one bucket; none of the nearest is cut."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=64) + 0.1 * rng.normal(size=(2000, 64))
+    assert hits(spark, x, 50, tables=6, number=4) >= 0.97
+
+
+def test_codes_know_their_error():
+    x = np.random.default_rng(7).normal(size=(300, 64)) * np.where(np.arange(300) % 3 == 0, 1, 0.02)[:, None]
+    x[:, 5] += 1
+    x = similar_vectors.unit(x).astype(np.float32)
+    value, error = similar_vectors.bounds(similar_vectors.eight_bits(x), similar_vectors.eight_bits(x))
+    assert (np.abs(value - x.astype(float) @ x.T.astype(float)) <= error).all() and error.max() < 0.1
+
+
 def test_probes_are_the_likeliest_of_all_combinations():
     rng = np.random.default_rng(5)
     x = similar_vectors.unit(rng.normal(size=(20, 8))).astype(np.float32)
