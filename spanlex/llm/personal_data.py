@@ -27,6 +27,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanlex.llm.text_quality import FUNCTION_WORDS
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 MODEL = "personal_model.json"
 #: Longest span, in characters and in words of a name.
@@ -82,9 +84,31 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-–][^\W\d_]+)*\.?|[,(]")
 #: Particles of surnames.
 PARTICLES = frozenset("van von der den de del della di da du la le el al bin ibn zu ter ten".split())
 #: Phrases before which persons are named; they open a search whatever the words look like.
-CUES = (
-    "signed by ", "read by ", "we thank ", "widow of ", "according to ", "sent to ", "requests to ", "mrs", "mr.", "miss ", "dr.", "prof",
-)
+_CUES = re.compile(
+    r"(?:(?:signed|read|examined|reviewed|written|cut)\s+by\s|thank\s|thanks\s+to\s|widow\s+of\s|according\s+to\s"
+    r"|(?:sent|requests)\s+to\s|letter\s+from\s|kin:?\s|dear\s|mrs|mr\b\.?|ms\b\.?|miss\s|dr\b\.?|prof)",
+    re.I,
+)
+#: Words with which a cue begins; what begins with prof is another.
+_CUE_WORDS = frozenset("signed read examined reviewed written cut thank thanks widow according sent requests letter kin dear mrs mr ms miss dr".split())
+_UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪİĶĹĻĽŁŃŅŇŌŐŒŘŚŞŠŢŤŪŮŰŲŹŻŽΑ-ΩА-Я"
+_CAP = rf"[{_UP}](?:['’][{_UP}])?[^\W\d_{_UP}][^\W\d_]*(?:['’\-–][^\W\d_]+)*"
+_PART = rf"(?:{'|'.join(sorted(PARTICLES))})"
+#: Runs of capitalised words, initials and particles of two words or more, as "Given I. van Surname" or "Surname, G. I.".
+_RUN = re.compile(
+    rf"(?<![^\s(\[<\"'“„«;:,/|])(?:{_CAP}|[{_UP}]\.?|{_PART}(?={_S}))(?:(?:,?{_S}|(?<=\.))(?:{_CAP}|[{_UP}]\.?(?!\w)|{_PART}(?={_S})|[{_UP}]{{2,3}}(?!\w))){{1,6}}(?![^\s.,;:!?)\]>\"'”“»/|])"
+)
+_INITIAL = re.compile(r"(?<![\w.])[^\W\d_]\.")
+_LONE = r"[^\W\d_]\.?"
+_ANY = r"[^\W\d_]{2,}(?:['’\-–][^\W\d_]+)*"
+#: In text of one case: words around initials, and two to four words that begin a line and end at a comma or bracket.
+_INITIALS = re.compile(
+    rf"(?<![\w.'’\-])(?:(?:{_ANY}{_S})?(?:[^\W\d_]\.{_S}?){{1,3}}(?:{_PART}{_S}){{0,2}}{_ANY}|{_ANY},{_S}(?:{_ANY}{_S})?[^\W\d_]\.(?:{_S}?[^\W\d_]\.)?)(?!\w)", re.I
+)
+_LISTED = re.compile(rf"^[ \t]*({_ANY}{_S}(?:(?:{_LONE}|{_PART}){_S}){{0,3}}{_ANY})(?=\s?[,(<:])|^[ \t]*({_ANY}[ ][^\W\d_]{{1,3}})(?=[:,])", re.M | re.I)
+
+
+_FUNCTION = frozenset(FUNCTION_WORDS) - PARTICLES
 
 
 def _space(text: str) -> str:
@@ -92,7 +116,7 @@ def _space(text: str) -> str:
 
 
 class Lexicon(dict):
-    """Class by word: g given name, s surname by its ending, t kind of street, w street name of one word, b box.
+    """Class by word: g given name, s surname by its ending, t kind of street, w street name of one word, b box, c word of a cue.
 
     Given names and endings of surnames come with the model. A dictionary that fills itself.
     """
@@ -113,7 +137,7 @@ class Lexicon(dict):
         elif len(low) > 5 and _WEG_END.search(low):
             known = "w"
         else:
-            known = "b" if low in ("box", "postfach") else ""
+            known = "b" if low in ("box", "postfach") else "c" if low in _CUE_WORDS or low.startswith("prof") else ""
         if len(self) > 500_000:
             self.clear()
         self[word] = known
@@ -183,22 +207,25 @@ def _addresses(text: str, classes: set[str]) -> Iterator[Span]:
 _NUMBER_END = re.compile(r"\d+\W")
 
 
-def _names(text: str, known: list[str], lexicon: Lexicon) -> Iterator[Span]:
-    """Runs of name-like words around known words and behind cues, with every plausible beginning and end."""
+def _whole(text: str, word: str) -> Iterator[int]:
+    """Where a word stands by itself."""
+    size, at = len(word), text.find(word)
+    while at >= 0:
+        if not text[at - 1 : at].isalpha() and not text[at + size : at + size + 1].isalpha():
+            yield at
+        at = text.find(word, at + size)
+
+
+def _names(text: str, known: list[str], cues: list[str], lexicon: Lexicon) -> Iterator[Span]:
+    """Runs of name-like words around known words and behind cues, with every plausible beginning and end.
+
+    Whatever the words are, names also come from their shape: capitalised runs, initials and beginnings of lines.
+    """
     places: set[int] = set()
     for word in known:
-        size, at = len(word), text.find(word)
-        while at >= 0:
-            if not text[at - 1 : at].isalpha() and not text[at + size : at + size + 1].isalpha():
-                places.add(at)
-            at = text.find(word, at + size)
-    low = text.lower()
-    if len(low) == len(text):
-        for cue in CUES:
-            at = low.find(cue)
-            while at >= 0:
-                places.add(at + len(cue))
-                at = low.find(cue, at + 1)
+        places.update(_whole(text, word))
+    for word in cues:
+        places.update(m.end() for at in _whole(text, word) if (m := _CUES.match(text, at)))
     seen: set[tuple[int, int]] = set()
     for place in sorted(places):
         tokens = _around(text, place)
@@ -224,9 +251,30 @@ def _names(text: str, known: list[str], lexicon: Lexicon) -> Iterator[Span]:
                     break
                 if shape is not None:
                     yield Span(a, b, "name")
+    one_case = text.islower() or text.isupper()
+    for pattern in (_INITIALS, _LISTED) if one_case else (_RUN, _LISTED):
+        if pattern is _INITIALS and not _INITIAL.search(text):
+            continue
+        for m in pattern.finditer(text):
+            tokens = list(_TOKEN.finditer(text, *m.span(m.lastindex or 0)))[: 2 * NAME_WORDS]
+            for i in range(len(tokens) - 1):
+                # of a line's beginning only the whole is a candidate
+                for j in range(len(tokens) - 1 if pattern is _LISTED else i + 1, min(i + NAME_WORDS, len(tokens))):
+                    last = tokens[j].group()
+                    a, b = tokens[i].start(), tokens[j].end()
+                    if last.endswith(".") and len(last) > 2:
+                        b -= 1
+                    if "," in (last, tokens[i].group()) or "(" in text[a:b] or (a, b) in seen:
+                        continue
+                    seen.add((a, b))
+                    if _shape(tokens[i : j + 1], lexicon) not in (None, TOO_LONG):
+                        yield Span(a, b, "name")
+                if pattern is _LISTED:
+                    break
 
 
 TOO_LONG = "-"
+_JOINTS = re.compile(r"['’\-–]")
 
 
 def _around(text: str, place: int) -> list[re.Match]:
@@ -254,7 +302,7 @@ def _shape(tokens: list[re.Match], lexicon: Lexicon) -> str | None:
             out.append(",")
             continue
         core = w.rstrip(".")
-        kinds = {lexicon.kind(p) for p in re.split(r"['’\-–]", core)}
+        kinds = {lexicon.kind(core)} if core.isalpha() else {lexicon.kind(p) for p in _JOINTS.split(core)}
         if len(core) == 1:
             out.append("I." if w.endswith(".") else "I")
         elif "s" in kinds:
@@ -288,7 +336,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[Span]:
     classes = {lexicon[w] for w in words}
     found.update(_addresses(text, classes))
     known = [w for w in words if lexicon[w] in ("g", "s")] if "g" in classes or "s" in classes else []
-    found.update(_names(text, known, lexicon))
+    cues = [w for w in words if lexicon[w] == "c" or w.lower() == "dr"] if "c" in classes or "t" in classes else []  # dr is a kind of street, too
+    found.update(_names(text, known, cues, lexicon))
     return sorted((s for s in found if s.end - s.start <= LONGEST), key=lambda s: (s.end, s.start, s.kind))
 
 
@@ -348,6 +397,7 @@ def features(text: str, span: Span, lexicon: Lexicon) -> list[str]:
             f"has={'S' in shape}{'G' in shape}{',' in shape}",
             f"plain={sum(x in ('W', 'w') for x in shape.split())}",
             f"case+shape={case}|{shape}",
+            f"function={min(2, sum(w in _FUNCTION for w in inside.lower().split()))}",
             f"dangling={'I' in shape.split() or 'II' in shape.split()}",
         ]
         for x in _WORD.findall(inside):

@@ -18,7 +18,7 @@ from pathlib import Path
 
 from spanlex.llm.personal_data import MODEL, Lexicon, Model, Span, candidates, features, islands
 
-TEXTS, EPOCHS, RATE, DECAY = 5000, 8, 0.25, 1e-4
+TEXTS, EPOCHS, RATE, DECAY = 8000, 8, 0.25, 1e-4
 
 GIVEN = (
     "Almort Anna Brisca Dorvan Elspira Fenwick Gadra Hestor Ilvane Jessamy Jorund Jürgen Kesira Korvin Lunara Maddoc "
@@ -50,6 +50,22 @@ FILLER = (
     "was on the road . patients in the control row were kept at the place of the study . we thank all of the wards"
 ).split(" . ")
 
+#: Held-out names: neither the given names nor the surnames or their endings occur in training.
+UNSEEN_GIVEN = (
+    "Ravi Priya Chen Wei Yuki Hiroshi Fatima Omar Aisha Kwame Ngozi Sven Astrid Pablo Lucía Giovanni Chiara Dmitri Olga Pavel "
+    "Siobhan Declan Rhys Mehmet Leyla Nguyen Linh Arjun Tomasz Agnieszka John Mary William Susan François Amélie Heinrich Grete"
+).split()
+UNSEEN_SURNAMES = (
+    "Patel Sharma Zhang Liu Tanaka Sato Hussein Rahman Mensah Okafor Lindqvist Bergström García Fernández Rossi Bianchi Ivanov "
+    "Petrova Novák O'Brien Murphy Davies Yilmaz Demir Tran Pham Gupta Kowalski Nowak Smith Johnson Brown Lefèvre Dubois Müller Schmidt"
+).split()
+
+WORDS = (
+    "renal output serum plasma liver dose acute chronic blood cell tissue growth colon edema skin gland protein enzyme virus fever heart "
+    "lung rat human study effect treatment level cancer tumor bone nerve muscle brain response analysis therapy infection rate acid "
+    "leber niere wirkung gewebe messung cellule sujet sangre fiebre results methods summary conclusion introduction patients control"
+).split()
+
 A, Z = "\ue000", "\ue001"  # marks around what is labelled
 CODES = {k: chr(0xE010 + i) for i, k in enumerate(("email", "phone", "id_number", "address", "name"))}
 
@@ -59,30 +75,47 @@ def tag(kind: str, text: str) -> str:
 
 
 class Maker:
+    #: Share of persons and of things called after persons whose words are in no list.
+    strange = 0.4
+
     def __init__(self, seed: int):
         self.r = random.Random(seed)
 
+    def syllables(self, low: int, high: int) -> str:
+        """An invented word, seldom the same twice."""
+        r = self.r
+        one = lambda: r.choice(("", *"bcdfghjklmnprstvwyz", "ch", "sh", "tr", "br", "kr", "st", "th")) + r.choice("aaeeiiooué") + r.choice(("", "", "", *"nrlsmtkz"))
+        word = "".join(one() for _ in range(r.randint(low, high)))
+        return (word if len(word) > 2 else word + r.choice(("ng", "nn", "rr", "ra"))).capitalize()
+
+    def strange_given(self) -> str:
+        return self.syllables(1, 3)
+
+    def strange_surname(self) -> str:
+        return self.syllables(1, 4) + self.r.choice(("", "", "", "", "son", "ski", "ov", "ez", "man"))
+
+    def given(self) -> str:
+        return self.strange_given() if self.r.random() < self.strange else self.r.choice(GIVEN)
+
+    def one(self) -> str:
+        return self.strange_surname() if self.r.random() < self.strange else self.r.choice(STEMS) + self.r.choice(ENDINGS)
+
     def surname(self) -> str:
-        one = lambda: self.r.choice(STEMS) + self.r.choice(ENDINGS)
+        one = self.one
         s = one()
         if self.r.random() < 0.15:
             s += "-" + one()
         return self.r.choice(("van ", "de ", "el ", "von der ")) + s if self.r.random() < 0.12 else s
 
     def bare(self) -> str:
-        return self.r.choice(STEMS) + self.r.choice(ENDINGS)
+        return self.one()
 
     def initial(self) -> str:
         return self.r.choice("ABCDEFGHJKLMNPRSTV") + "."
 
-    def unknown(self) -> str:
-        return "".join(self.r.choice(("ba", "ne", "ri", "tol", "mar", "ke", "su", "lin", "dor")) for _ in range(self.r.randint(2, 3))).capitalize()
-
     def name(self) -> str:
-        k, given = self.r.random(), self.r.choice(GIVEN)
-        if self.r.random() < 0.06:
-            given = self.unknown()
-        s = self.surname() if self.r.random() > 0.05 else self.unknown()
+        k, given = self.r.random(), self.given()
+        s = self.surname()
         if k < 0.45:
             n = f"{given} {s}"
         elif k < 0.6:
@@ -96,7 +129,7 @@ class Maker:
         return tag("name", n)
 
     def full(self) -> str:
-        return tag("name", f"{self.r.choice(GIVEN)} {self.surname()}")
+        return tag("name", f"{self.given()} {self.surname()}")
 
     def d(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
@@ -147,14 +180,14 @@ class Maker:
         return tag("address", t)
 
     def email(self) -> str:
-        r, s = self.r, self.bare().lower()
+        r, s = self.r, (self.r.choice(STEMS) + self.r.choice(ENDINGS)).lower()
         g = r.choice(GIVEN).lower()
         local = r.choice((f"{g}.{s}", f"{g[0]}{s}", f"{s}{r.randint(10, 99)}", f"{s}_{g[0]}", f"{g}+reprints", f"{s}-lab"))
         host = r.choice(HOSTS)
         k = r.random()
         if k < 0.12:
             t = f"{local} {r.choice(('(at)', '[at]'))} {host.replace('.', r.choice((' (dot) ', '.')))}"
-        elif k < 0.2:
+        elif k < 0.27:
             t = f"{local} @ {host}"
         elif k < 0.28:
             t = f"{local}@{host}".title()
@@ -185,6 +218,9 @@ class Maker:
             lambda: f"{self.full()}, {self.street()}, {self.phone()}.",
             lambda: f"{self.full()}, {self.id()}.",
             lambda: f"Next of kin: {self.name()}, {self.street()}, {self.phone()}.",
+            lambda: f"{self.name()} {r.choice(('reviewed the slides', 'examined the sections', 'performed the autopsy', 'kept the records', 'read the films', 'refused', 'gave blood'))}.",
+            lambda: f"{self.name()} and {self.name()} {r.choice(('reviewed the slides', 'were seen', 'counted the cells', 'agreed'))}.",
+            lambda: f"{r.choice(('The sections were cut by', 'In a letter from', 'The sera came from', 'As was shown by', 'The records of', 'It was seen by', 'Dear', 'Thanks to'))} {self.name()}{r.choice((',', '.', ' in the spring.', ' at the hospital.'))}",
             lambda: f"{self.name()} {r.choice(('died', 'was seen', 'came', 'wrote'))} at {r.randint(20, 90)} years.",
         ))()
 
@@ -204,9 +240,55 @@ class Maker:
             lambda: f"Tubes were kept @ {r.randint(2, 42)} c for {r.randint(2, 40)} min.",
             lambda: f"{self.bare()} disease and the {self.bare()} test were seen at {r.choice(TOWNS)}.",
             lambda: f"Stained with {self.bare()} dye and fixed by {self.bare()} acid.",
+            *(lambda: self.capitals(),) * 6,
             lambda: f"The {self.bare()} syndrome was found in {self.d(2)} of {self.d(3)} cases.",
         ))()
 
+    def term(self) -> str:
+        """A technical word, mostly in no list."""
+        r = self.r
+        if r.random() < 0.4:
+            return r.choice(WORDS)
+        return (self.syllables(1, 4) + r.choice(("itis", "ine", "oma", "ase", "ic", "al", "oid", "otic", "osis", "ate", "pathy", "gram", "ous", "", ""))).lower()
+
+    def prose(self) -> str:
+        """Sentences and clauses of terms, any of which may begin a line."""
+        r, t = self.r, self.term
+        return " ".join(
+            r.choice((
+                lambda: f"{r.choice(('After', 'Before', 'Without', 'With', 'In', 'During'))} {r.choice(('it', t(), 'the ' + t()))}, the {t()} {t()} {r.choice(('was', 'of the', 'and the'))} {t()}, {t()} {t()}, and {t()} {t()} ({t()}).",
+                lambda: f"The {t()} was {t()}, the {t()} {t()} was {t()}; {t()} {t()}: {self.d(2)}.",
+                lambda: f"{t().capitalize()} {t()}, {t()} of the {t()}, and a {t()} {t()} were seen in {self.d(2)} {t()}.",
+                lambda: f"{r.choice(('Según', 'Nach', 'Bei', 'Chez', 'Dans', 'Por', 'Con', 'Mit', 'Après'))} {r.choice(('estos', 'la', 'los', 'der', 'den', 'les', 'une', 'el'))} {t()}, {r.choice(('la', 'die', 'le', 'el'))} {t()} {r.choice(('fue', 'wurde', 'est', 'ha'))} {t()} {r.choice(('por', 'von', 'par', 'con'))} {r.choice(('la', 'der', 'les', 'un'))} {t()} ( {t()}, {self.d(2)} ).",
+                lambda: f"There {t()} {r.choice('anp')} {t()} change, {t()} {r.choice('anp')}. {t()} was {t()}, as {t()} {t()}.",
+            ))()
+            for _ in range(r.randint(1, 3))
+        )
+
+    def listing(self) -> str:
+        """Lines that begin with two terms and go on like a list of people."""
+        r, t = self.r, self.term
+        head = f"{t()} {t()}" if r.random() < 0.8 else f"{t()} {r.choice('abcdekp')} {t()}"
+        tail = ", ".join(self.d(r.randint(1, 3)) for _ in range(r.randint(1, 6)))
+        return r.choice((f"{head}, {tail}", f"{head}, {tail}", f"{head}: {self.d(2)}.{self.d(1)} mg", f"{head}, {t()}, {t()} {t()}", f"{head} ({self.d(2)}), {t()}", f"{head}; {t()}"))
+
+    def capitals(self) -> str:
+        """Capitalised runs that name no person."""
+        r, t = self.r, self.term
+        title = lambda: " ".join(self.term().capitalize() for _ in range(r.randint(2, 4)))
+        return r.choice((
+            lambda: f"{title()}.",
+            lambda: f"{title()}\n{title()}: the {r.choice(WORDS)}.",
+            lambda: f"The {title()} of {r.choice(TOWNS)} was used.",
+            lambda: f"{r.choice(TOWNS)} {r.choice(('General Hospital', 'University', 'Medical School', 'Clinic', 'County'))} in {r.choice(('North', 'South', 'New', 'Upper'))} {r.choice(TOWNS)}.",
+            lambda: f"The {self.bare()} {r.choice(('Institute', 'Foundation', 'Hospital', 'Method', 'Test', 'Disease', 'Syndrome', 'Stain', 'Virus', 'Reflex', 'Sign'))} was named.",
+            lambda: f"{self.bare()} {self.bare()} {r.choice(('disease', 'syndrome', 'test', 'stain', 'method', 'virus', 'reaction'))} was seen.",
+            lambda: f"{r.choice(('Die', 'Der', 'Das', 'Eine', 'Nach', 'Bei', 'In', 'Les', 'Une', 'El', 'Los', 'Il'))} {r.choice((title(), t().capitalize()))} {r.choice(('von', 'der', 'wurde', 'de', 'de la'))} {r.choice(('gemessen', 'beobachtet'))}.",
+            lambda: f"{r.choice(('In', 'Since', 'On', 'During'))} {r.choice(('January', 'March', 'June', 'October', 'Monday'))} {r.choice(WORDS).capitalize()} {r.choice(WORDS)} was low.",
+            lambda: f"{r.choice(WORDS)} {r.choice(WORDS)}, {r.choice(WORDS)} {r.choice('ABCDEK')}, and vitamin {r.choice('ABCDEK')}. {r.choice(WORDS).capitalize()} {r.choice('np')}. {r.choice(WORDS)}.",
+            lambda: f"{self.r.choice(('Hepatitis', 'Vitamin', 'Group', 'Type', 'Table', 'Figure', 'Class', 'Phase'))} {r.choice('ABCDE')} {r.choice(WORDS).capitalize()} was {r.choice(WORDS)}.",
+        ))()
+
     def plain(self) -> str:
         r = self.r
         noun = r.choice("Gewebe Leber Größe Durchblutung Entzündung Niere Wirkung Drüse Säure Geschwulst Kranken Flüssigkeit".split())
@@ -228,12 +310,12 @@ class Maker:
 
     def reference(self) -> str:
         r = self.r
-        who = tag("name", f"{self.bare()} {r.choice('ABCDEFGH')}{r.choice(('', 'S', 'D', 'C'))}")
+        who = tag("name", f"{self.bare()} {r.choice('ABCDEFGHIJKLMNOPRSTVW')}{r.choice(('', *'ABCDEFGHIJLMNPRSTVW'))}")
         return f"{who}: rapid {r.choice(('edema', 'colon', 'gland'))}. {r.choice(('acta', 'arch', 'bull', 'rev'))} renal {r.randint(1930, 1970)}; {r.randint(1, 99)}: {r.randint(1, 300)}-{r.randint(301, 900)}"
 
     def row(self) -> str:
         cell = lambda: self.r.choice(("-", "+", "n.d.", self.d(3), f"{self.r.random() * 99:.1f}", f"{self.r.random() * 9:.2f}±0.{self.d(2)}"))
-        return self.r.choice(("  ", " ", "\t", " | ")).join([self.r.choice(("colon", "serum", "wall")), *(cell() for _ in range(5))])
+        return self.r.choice(("  ", " ", "\t", " | ", ";", "           ")).join([self.term() if self.r.random() < 0.7 else f"{self.term()} {self.term()}", *(cell() for _ in range(5))])
 
     def noise(self) -> str:
         r = self.r
@@ -250,14 +332,14 @@ class Maker:
             raw = r.choice(("\n", "\r\n")).join(self.person_line() for _ in range(r.randint(3, 9)))
         elif k < 0.15:
             raw = "\n".join(self.reference() for _ in range(r.randint(3, 8)))
-        elif k < 0.2:
-            line = r.choice((self.row, self.noise))
+        elif k < 0.27:
+            line = r.choice((self.row, self.noise, self.noise, self.listing, self.listing))
             raw = "\n".join(line() for _ in range(r.randint(4, 10)))
         else:
             parts = []
             for _ in range(r.randint(2, 5)):
                 x = r.random()
-                parts.append(self.carrier() if x < 0.5 else self.lookalike() if x < 0.75 else self.plain())
+                parts.append(self.carrier() if x < 0.5 else self.lookalike() if x < 0.7 else self.prose() if x < 0.85 else self.plain())
             raw = r.choice((" ", "  ")).join(parts)
             if r.random() < 0.55:
                 raw = self.wrap(raw)
@@ -352,9 +434,21 @@ def train(data: list[Island], epochs: int = EPOCHS, seed: int = 3) -> dict[str,
     return {f: round(w, 3) for f, w in weights.items() if abs(w) > 0.02}
 
 
-def measure(model: Model, seed: int, n: int) -> dict[str, dict[str, float]]:
+class Unseen(Maker):
+    """Texts all of whose persons have names absent from training."""
+
+    strange = 1.0
+
+    def strange_given(self) -> str:
+        return self.r.choice(UNSEEN_GIVEN)
+
+    def strange_surname(self) -> str:
+        return self.r.choice(UNSEEN_SURNAMES)
+
+
+def measure(model: Model, seed: int, n: int, kind: type[Maker] = Maker) -> dict[str, dict[str, float]]:
     """Precision and recall of whole spans by kind on fresh texts."""
-    maker, right, said, both = Maker(seed), defaultdict(int), defaultdict(int), defaultdict(int)
+    maker, right, said, both = kind(seed), defaultdict(int), defaultdict(int), defaultdict(int)
     for _ in range(n):
         text, gold = maker.text()
         found = model.find(text)
@@ -378,10 +472,11 @@ def main() -> None:
     print(f"{len(data)} islands, {all_gold} spans, {missed} out of reach")
     weights = train(data)
     report = measure(Model(weights, lexicon), 2, TEXTS // 5)
+    unseen = measure(Model(weights, lexicon), 2, TEXTS // 5, Unseen)
     target = Path(__file__).parent / "models" / MODEL
-    raw = {"given": sorted(lexicon.given), "endings": list(ENDINGS), "held_out": report, "weights": dict(sorted(weights.items()))}
+    raw = {"given": sorted(lexicon.given), "endings": list(ENDINGS), "held_out": report, "held_out_unseen_names": unseen, "weights": dict(sorted(weights.items()))}
     target.write_text(json.dumps(raw, ensure_ascii=False, indent=0) + "\n", encoding="utf-8")
-    print(json.dumps(report, indent=1))
+    print(json.dumps({"held_out": report, "unseen names": unseen}, indent=1))
 
 
 if __name__ == "__main__":

@@ -48,6 +48,19 @@ def test_held_out_spans():
         assert report[kind]["precision"] > 0.95 and report[kind]["recall"] > 0.95, (kind, report[kind])
 
 
+def test_held_out_names_absent_from_training():
+    lexicon = personal_data.load().lexicon
+    assert not any(lexicon.kind(w) for w in personal_training.UNSEEN_GIVEN + personal_training.UNSEEN_SURNAMES)
+    report = personal_training.measure(personal_data.load(), 98, 300, personal_training.Unseen)["name"]
+    assert report["precision"] > 0.95 and report["recall"] > 0.85, report
+
+
+def test_names_without_known_words_or_cues():
+    model = personal_data.load()
+    assert model.redact("Ravi Patel reviewed the slides.") == "[NAME] reviewed the slides."
+    assert model.find("The Renal Output In Rats was low. Norvale General Hospital was closed.") == []
+
+
 def test_lookalikes_and_redaction():
     model = personal_data.load()
     text = "The patient, Mrs. Anna Voskhurst, SSN: 666 53\r\n4222, lives at Flat 3, 12 Sallowby Rd.; e-mail a.b (at) ward7 (dot) invalid, tel/fax (882) 555-0157."
