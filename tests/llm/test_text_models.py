@@ -61,6 +61,12 @@ def test_names_without_known_words_or_cues():
     assert model.find("The Renal Output In Rats was low. Norvale General Hospital was closed.") == []
 
 
+def test_cues_in_a_text_that_changes_length_in_lower_case():
+    text = "\u0130zmir. the widow of k. voskzed was reached."
+    assert len(text.lower()) != len(text)
+    assert personal_data.load().redact(text) == "\u0130zmir. the widow of [NAME] was reached."
+
+
 def test_lookalikes_and_redaction():
     model = personal_data.load()
     text = "The patient, Mrs. Anna Voskhurst, SSN: 666 53\r\n4222, lives at Flat 3, 12 Sallowby Rd.; e-mail a.b (at) ward7 (dot) invalid, tel/fax (882) 555-0157."
