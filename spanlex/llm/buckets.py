@@ -28,6 +28,8 @@ SMALL = 24
 BROADCAST = 100_000
 #: Pairs a task holds before they are cut to the nearest.
 HELD = 1_000_000
+#: Cells in which rows are counted before buckets are.
+CELLS = 1 << 18
 SCHEMA = "bucket bigint, kind int, id bigint, code binary"
 
 #: Similarities of all rows of one matrix of codes with all of another.
@@ -49,7 +51,13 @@ def codes(column: pa.Array) -> np.ndarray:
 
 def split_large(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Rows with their ``block``: 0 in ordinary buckets. Kind 2 is a row that only stores."""
-    large = rows.where("kind <> 1").groupBy("bucket").count().where(F.col("count") > limit)
+    stored = rows.where("kind <> 1").select("bucket", F.pmod(F.xxhash64("bucket"), F.lit(CELLS)).alias("cell"))
+    # a bucket is in one cell: where no cell holds more than the limit no bucket does
+    full = stored.groupBy("cell").count().where(F.col("count") > limit).select("cell")
+    if full.isEmpty():
+        return rows.withColumn("block", F.lit(0))
+    some = stored.join(F.broadcast(full), "cell", "left_semi")  # at most CELLS numbers
+    large = some.groupBy("bucket").count().where(F.col("count") > limit)
     number = large.count()
     if number == 0:
         return rows.withColumn("block", F.lit(0))

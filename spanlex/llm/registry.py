@@ -55,6 +55,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("doc_id_a", "doc_id_b")
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with copies or near-duplicates: their class, its size and the number of classes it is linked to."""
+    return near_duplicates.classes(table(spark, d, "documents"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_documents(table(spark, d, "documents"))
@@ -86,6 +91,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
@@ -132,21 +138,35 @@ near as (select a, b, s from pairs qualify row_number() over (partition by a ord
 select distinct least(a, b) as doc_id_a, greatest(a, b) as doc_id_b from near where s >= 0.9
 """
 
-NEAR_DUPLICATES = r"""
+_BAGS = r"""
 with words as (
   select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as w from documents where text is not null and doc_id is not null),
 bags as (select doc_id, w, count(*) as n from words group by doc_id, w),
 sizes as (select doc_id, sum(n) as size from bags group by doc_id having sum(n) >= 20),
 overlap as (
   select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as shared
-  from bags a join bags b on a.w = b.w and a.doc_id < b.doc_id group by a.doc_id, b.doc_id)
-select a as doc_id_a, b as doc_id_b from overlap join sizes x on x.doc_id = a join sizes y on y.doc_id = b
-where shared >= 0.8 * (x.size + y.size - shared) - 1e-9
+  from bags a join bags b on a.w = b.w and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+pairs as (
+  select a as doc_id_a, b as doc_id_b from overlap join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where shared >= 0.8 * (x.size + y.size - shared) - 1e-9)
+"""
+
+NEAR_DUPLICATES = _BAGS + "select doc_id_a, doc_id_b from pairs"
+
+CLASSES = _BAGS + """,
+written as (select doc_id, string_agg(w || ' ' || n, ',' order by w) as s from bags where doc_id in (select doc_id from sizes) group by doc_id),
+kinds as (select doc_id, min(doc_id) over (partition by s) as class_id, count(*) over (partition by s) as copies from written),
+ends as (select doc_id_a as x, doc_id_b as y from pairs union all select doc_id_b, doc_id_a from pairs),
+links as (
+  select k.class_id, count(distinct o.class_id) as links from ends join kinds k on k.doc_id = x join kinds o on o.doc_id = y
+  where k.class_id <> o.class_id group by k.class_id)
+select doc_id, class_id, copies, coalesce(links, 0) as links from kinds left join links using (class_id) where copies > 1 or links > 0
 """
 
 ORACLE = {
     "p4_found": SIMILAR,
     "p5_found": NEAR_DUPLICATES,
+    "p5_classes": CLASSES,
     "p1_found": RANKED,
     "p3_found": TERMS + "select term, mark from marked where mark is not null",
     "p3_terms": TERMS + "select * from marked",

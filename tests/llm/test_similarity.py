@@ -128,11 +128,16 @@ def test_large_buckets_of_rows_that_only_store(spark):
     table = buckets.written(spark.createDataFrame(rows, buckets.SCHEMA), "t")
     split = buckets.split_large(table, limit=16)
     assert split.where("kind <> 1").groupBy("block").count().agg({"count": "max"}).first()[0] < 60
-    got = {tuple(r) for r in buckets.candidates(table, near_duplicates._agreement, near_duplicates._agreement_rows, 4, limit=16).collect()}
+    got = {tuple(r) for r in buckets.candidates(table, *same_bytes(), 4, limit=16).collect()}
     expected = {(min(i, j), max(i, j)) for i in range(0, 200, 10) for j in range(200) if i != j} | {(i, 500) for i in range(200)}
     assert got == expected
 
 
+def same_bytes():
+    """Functions that travel to the tasks by value."""
+    return lambda a, b: (a[:, None, :] == b[None, :, :]).sum(axis=2).astype(np.float32), lambda a, b: (a == b).sum(axis=1)
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64)).astype(np.float32)
     y = similar_vectors.hadamard(x)
@@ -145,7 +150,7 @@ def test_large_buckets_lose_nothing(spark):
     n = 120
     rows = [(7, 0, i, bytes([i % 3] * 4)) for i in range(n)] + [(7, 1, 500, bytes([1] * 4))] + [(8, 0, 900, bytes(4)), (8, 0, 901, bytes(4))]
     table = buckets.written(spark.createDataFrame(rows, buckets.SCHEMA), "t")
-    got = {tuple(r) for r in buckets.candidates(table, near_duplicates._agreement, near_duplicates._agreement_rows, 4, limit=16).collect()}
+    got = {tuple(r) for r in buckets.candidates(table, *same_bytes(), 4, limit=16).collect()}
     expected = {(i, j) for i in range(n) for j in range(i + 1, n) if i % 3 == j % 3} | {(i, 500) for i in range(n) if i % 3 == 1} | {(900, 901)}
     assert got == expected
 
@@ -192,11 +197,78 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.near_duplicate_pairs(empty).count() == 0
 
 
+def some_bags(texts, least=1):
+    return near_duplicates.Bags(texts, least)
+
+
 def test_samples_agree_with_weighted_similarity():
-    rng = np.random.default_rng(1)
-    words = rng.integers(1, 1 << 60, 80).astype(np.uint64)
-    a = (np.sort(words[:60]), np.ones(60, dtype=np.int64))
-    b = (np.sort(words[20:]), np.ones(60, dtype=np.int64))
-    idf = np.ones(near_duplicates.CELLS)
-    s = near_duplicates.signatures([a, b], idf, 2000)
+    words = [f"w{i}" for i in range(80)]
+    bags = some_bags([" ".join(words[:60]), " ".join(words[20:])])
+    s = near_duplicates.signatures(bags, np.ones(near_duplicates.CELLS, dtype=np.float32), 2000)
     assert abs((s[0] == s[1]).mean() - 0.5) < 0.04
+
+
+def test_bags_hold_the_words_of_whole_texts():
+    import re
+
+    given = [None, "", "One two; TWO_3 \x01 x\x01y", "Straße–Über, İstanbul “été” naïve", "a" * 70000, "… – !!", "Ω ω Σ ς ß"]
+    bags = some_bags(given)
+    expected = [Counter(re.findall(r"\w+", (t or "").lower())) for t in given]
+    assert bags.kept.tolist() == [i for i, b in enumerate(expected) if b]
+    for place, s, size in zip(bags.kept, bags.slices(), bags.size):
+        b = expected[place]
+        hashed = sorted((near_duplicates._HASHES[w.encode()], n) for w, n in b.items())
+        assert list(zip(bags.words[s].tolist(), bags.counts[s].tolist())) == hashed and size == sum(b.values())
+
+
+def test_pairs_at_the_threshold_whatever_their_words_weigh():
+    """Pairs of similarity 0.8 share the lightest words and differ in the heaviest ones: bands and code find 99 in 100."""
+    d = near_duplicates
+    bands, rows = d.banding(1000)
+    samples, found, n = bands * rows, 0, 600
+    texts = []
+    for p in range(n):
+        shared = [f"s{p}x{i}" for i in range(80)]
+        texts += [" ".join([*shared, *(f"{side}{p}x{i}" for i in range(10))]) for side in "ab"]
+    light = {d._HASHES[f"s{p}x{i}".encode()] for p in range(n) for i in range(80)}
+    weight = np.full(d.CELLS, d.HEAVY, dtype=np.float32)
+    weight[d.cell_of(np.array(sorted(light), dtype=np.uint64))] = d.LIGHT
+    bags = some_bags(texts)
+    values = d.signatures(bags, weight, samples)
+    code = d.code_of(values, bags.size)
+    agree = d.Agreement(samples, 0.8)
+    near = agree.pairs(code[0::2], code[1::2])
+    banded = (values[0::2] == values[1::2]).reshape(n, bands, rows).all(axis=2).any(axis=1)
+    found = banded & (near >= d.floor_of(samples))
+    assert found.mean() >= 0.985  # 0.99 within the error of 600 pairs
+    assert (agree.all(code[:20], code[:20]) == np.array([[agree.pairs(code[i : i + 1], code[j : j + 1])[0] for j in range(20)] for i in range(20)])).all()
+    # the same recall for collections of any size
+    for texts in (1, 10**6, 10**9, 10**12):
+        b, r = d.banding(texts)
+        assert (1 - d.worst(0.8) ** r) ** b <= d.MISS
+
+
+def test_classes_hold_all_pairs(spark):
+    rows = [(i, t, "x") for i, t in enumerate(texts())] + [(7000, "a b c", None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, links string")
+    pairs = [(r["doc_id_a"], r["doc_id_b"]) for r in near_duplicates.near_duplicate_pairs(table).collect()]
+    got = {r["doc_id"]: r for r in near_duplicates.classes(table).collect()}
+    assert set(got) == {x for p in pairs for x in p}
+    partners = Counter(x for p in pairs for x in p)
+    for i, r in got.items():
+        linked = {got[y]["class_id"] for x, y in pairs + [(b, a) for a, b in pairs] if x == i} - {r["class_id"]}
+        assert r["links"] == len(linked) and partners[i] == r["copies"] - 1 + sum(got[c]["copies"] for c in linked)
+    assert near_duplicates.classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_document_of_several_texts(spark):
+    t = texts()
+    rows = [(1, t[0]), (1, t[7]), (2, t[0]), (3, t[0]), (4, t[7] + " more"), (5, t[7])]
+    got = {(r["doc_id_a"], r["doc_id_b"]) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (1, 4), (1, 5), (4, 5)}
+
+
+def test_large_groups_of_copies_lose_nothing(spark):
+    members = spark.createDataFrame([(0, i) for i in range(50)] + [(60, 60), (60, 61)], "rep bigint, doc_id bigint")
+    got = [(r["x"], r["y"]) for r in near_duplicates.copies_of(members, 7).collect()]
+    assert sorted(got) == [(i, j) for i in range(50) for j in range(i + 1, 50)] + [(60, 61)]
