@@ -48,13 +48,17 @@ _S = r"(?:[ \t\xa0]{1,2}|[ \t\xa0]{0,60}\r?\n[ \t\xa0]{0,60})"
 _AT = rf"{_S}?(?:@|\(at\)|\[at\]|\{{at\}}){_S}?"
 _DOT = rf"(?:\.|{_S}?(?:\(dot\)|\[dot\]|\{{dot\}}){_S}?)"
 _EMAIL = re.compile(rf"[\w.+\-]+{_AT}[\w\-]+(?:{_DOT}[\w\-]+)+", re.I)
+_GAP_BEFORE = re.compile(rf"{_S}$")
 _AT_SIGN = re.compile(r"@|[(\[{]at[)\]}]", re.I)
 #: Digits with usual separators, six at least.
 _DIGITS = re.compile(rf"(?<![\w.])[+(]?\d(?:{_S}?[().\-–/]{{0,2}}{_S}?\d){{5,24}}(?!\d)")
+#: Digits and what may stand between those of a number.
+_CLUSTER = re.compile(r"\d[\d \t\xa0\r\n().\-–/]{3,}\d")
 _CUT = re.compile(r"\s*\n\s*|\s{2,}|/|\)\W+")
 _LETTERS_BEFORE = re.compile(r"(?<![^\W\d_])(?:[A-Za-z]{2}\s|[A-Za-z]{1,3})$")
 _LETTER_AFTER = re.compile(r"\s?[A-Za-z](?![\w])")
 _CODE = re.compile(rf"(?<!\w)[A-Za-z]{{1,3}}\d{{5,10}}[A-Za-z]?(?!\w)|(?<!\w)[A-Za-z]{{2}}(?:{_S}?\d\d){{3}}{_S}?[A-Za-z](?!\w)")
+_CODE_END = re.compile(rf"{_S}?[A-Za-z](?!\w)")
 #: Words that name a kind of street, box or unit.
 STREETS = (
     "road", "rd", "street", "st", "avenue", "ave", "lane", "ln", "drive", "dr", "court", "ct", "square", "sq", "terrace",
@@ -80,6 +84,8 @@ _HEAD_UNIT = re.compile(rf"^{_UNIT},?{_S}", re.I)
 _UNIT_BEFORE = re.compile(rf"{_UNIT},?.$", re.I)
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: ASCII letters stay, everything else becomes a blank.
+_LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-–][^\W\d_]+)*\.?|[,(]")
 #: Particles of surnames.
 PARTICLES = frozenset("van von der den de del della di da du la le el al bin ibn zu ter ten".split())
@@ -123,6 +129,7 @@ class Lexicon(dict):
 
     def __init__(self, given: list[str], endings: list[str]):
         super().__init__()
+        self.tokens, self.bytes = _Tokens(self), _Bytes(self)
         self.given = frozenset(given)
         self.endings = tuple(endings)
 
@@ -143,43 +150,116 @@ class Lexicon(dict):
         self[word] = known
         return known
 
+    def marked(self, text: str) -> list[tuple[str, str]]:
+        """The words of a text that have a class, once each."""
+        if text.isascii():
+            found = map(self.bytes.__getitem__, set(text.encode().translate(_LETTERS).split()))
+        else:
+            found = ((w, self[w]) for w in set(_WORD.findall(text)))
+        return [x for x in found if x[1]]
+
     def kind(self, word: str) -> str:
         """g or s for words of names, empty for others."""
         known = self[word]
         return known if known in ("g", "s") else ""
 
 
+class _Bytes(dict):
+    """Words and their classes by their bytes."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: bytes) -> tuple[str, str]:
+        if len(self) > 500_000:
+            self.clear()
+        text = word.decode()
+        self[word] = out = (text, self.lexicon[text])
+        return out
+
+
+class _Tokens(dict):
+    """Class of a token of a name: an initial, a surname or given name, a particle, a short, capitalised or other word."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = out = self.read(w)
+        return out
+
+    def read(self, w: str) -> str:
+        if w == ",":
+            return ","
+        core = w.rstrip(".")
+        kinds = {self.lexicon.kind(core)} if core.isalpha() else {self.lexicon.kind(p) for p in _JOINTS.split(core)}
+        if len(core) == 1:
+            return "I." if w.endswith(".") else "I"
+        if "s" in kinds:
+            return "S"
+        if kinds == {"g"}:
+            return "G"
+        if core.lower() in PARTICLES:
+            return "p"
+        if len(core) <= 3 and core.isupper():
+            return "II"
+        return "W" if core[:1].isupper() else "w"
+
+
 _STREET_WORDS = frozenset((*STREETS, "rue", "via", "calle", "chemin"))
 
 
 def _numbers(text: str) -> Iterator[Span]:
-    for m in _DIGITS.finditer(text):
-        start, end = m.span()
-        ends = {end}
-        raw = m.group()
-        if text[end : end + 1] == ")" and raw.count("(") > raw.count(")"):
-            ends.add(end + 1)
-        after = _LETTER_AFTER.match(text, end)
-        if after:
-            ends.add(after.end())
-        starts = {start}
-        before = _LETTERS_BEFORE.search(text, max(0, start - 4), start)
-        if before:
-            starts.add(before.start())
-        if raw[0] == "(":
-            starts.add(start + 1)
-            if raw.count(")") == 0:
-                starts.discard(start)
-        for cut in _CUT.finditer(raw):  # two numbers may stand side by side
-            ends.add(start + cut.start())
-            starts.add(start + cut.end())
-        for a in starts:
-            for b in ends:
-                if 6 <= sum(c.isdigit() for c in text[a:b]):
-                    yield Span(a, b, "phone")
-                    yield Span(a, b, "id_number")
-    for m in _CODE.finditer(text):
-        yield Span(m.start(), m.end(), "id_number")
+    """Numbers and codes; both are sought only where digits and their separators stand together."""
+    after_digits, after_code = 0, 0
+    for cluster in _CLUSTER.finditer(text):
+        first, last = cluster.span()
+        digits = sum(map(str.isdigit, cluster.group()))
+        if digits < 5:
+            continue
+        if digits > 5:
+            at = max(after_digits, first - 1, 0)
+            while m := _DIGITS.search(text, at, last + 1):  # what follows the cluster is no digit
+                at = after_digits = m.end()
+                yield from _readings(text, m)
+        if not text[first - 1 : first].isalpha() and not _CODE_END.match(text, last):
+            continue
+        at = max(after_code, first - 66, 0)
+        while (m := _CODE.search(text, at, last + 80)) and m.start() < last:
+            at = after_code = m.end()
+            yield Span(m.start(), m.end(), "id_number")
+
+
+def _readings(text: str, m: re.Match) -> Iterator[Span]:
+    """Where a number may begin and end."""
+    start, end = m.span()
+    ends = {end}
+    raw = m.group()
+    if text[end : end + 1] == ")" and raw.count("(") > raw.count(")"):
+        ends.add(end + 1)
+    after = _LETTER_AFTER.match(text, end)
+    if after:
+        ends.add(after.end())
+    starts = {start}
+    before = _LETTERS_BEFORE.search(text, max(0, start - 4), start)
+    if before:
+        starts.add(before.start())
+    if raw[0] == "(":
+        starts.add(start + 1)
+        if raw.count(")") == 0:
+            starts.discard(start)
+    for cut in _CUT.finditer(raw):  # two numbers may stand side by side
+        ends.add(start + cut.start())
+        starts.add(start + cut.end())
+    for a in starts:
+        for b in ends:
+            if 6 <= sum(c.isdigit() for c in text[a:b]):
+                yield Span(a, b, "phone")
+                yield Span(a, b, "id_number")
 
 
 def _addresses(text: str, classes: set[str]) -> Iterator[Span]:
@@ -232,12 +312,13 @@ def _names(text: str, known: list[str], cues: list[str], lexicon: Lexicon) -> It
         here = next((i for i, t in enumerate(tokens) if t.end() > place), None)
         if here is None:
             continue
+        words = [t.group() for t in tokens]
+        kinds = [lexicon.tokens[w] for w in words]
         for i in range(max(0, here - NAME_WORDS + 1), min(here + 3, len(tokens))):
-            first = tokens[i].group()
-            if first in ",(":
+            if words[i] in ",(":
                 continue
             for j in range(max(i, here), min(i + NAME_WORDS, len(tokens))):
-                last = tokens[j].group()
+                last = words[j]
                 if last == "(":
                     break
                 a, b = tokens[i].start(), tokens[j].end()
@@ -246,7 +327,7 @@ def _names(text: str, known: list[str], cues: list[str], lexicon: Lexicon) -> It
                 if last == "," or (a, b) in seen:
                     continue
                 seen.add((a, b))
-                shape = _shape(tokens[i : j + 1], lexicon)
+                shape = _shape(kinds[i : j + 1])
                 if shape == TOO_LONG:
                     break
                 if shape is not None:
@@ -257,17 +338,19 @@ def _names(text: str, known: list[str], cues: list[str], lexicon: Lexicon) -> It
             continue
         for m in pattern.finditer(text):
             tokens = list(_TOKEN.finditer(text, *m.span(m.lastindex or 0)))[: 2 * NAME_WORDS]
+            words = [t.group() for t in tokens]
+            kinds = [lexicon.tokens[w] for w in words]
             for i in range(len(tokens) - 1):
                 # of a line's beginning only the whole is a candidate
                 for j in range(len(tokens) - 1 if pattern is _LISTED else i + 1, min(i + NAME_WORDS, len(tokens))):
-                    last = tokens[j].group()
+                    last = words[j]
                     a, b = tokens[i].start(), tokens[j].end()
                     if last.endswith(".") and len(last) > 2:
                         b -= 1
-                    if "," in (last, tokens[i].group()) or "(" in text[a:b] or (a, b) in seen:
+                    if "," in (last, words[i]) or "(" in text[a:b] or (a, b) in seen:
                         continue
                     seen.add((a, b))
-                    if _shape(tokens[i : j + 1], lexicon) not in (None, TOO_LONG):
+                    if _shape(kinds[i : j + 1]) not in (None, TOO_LONG):
                         yield Span(a, b, "name")
                 if pattern is _LISTED:
                     break
@@ -293,50 +376,35 @@ def _around(text: str, place: int) -> list[re.Match]:
     return out
 
 
-def _shape(tokens: list[re.Match], lexicon: Lexicon) -> str | None:
+def _shape(kinds: list[str]) -> str | None:
     """Classes of a span's words; None if the span cannot be a name."""
-    out = []
-    for t in tokens:
-        w = t.group()
-        if w == ",":
-            out.append(",")
-            continue
-        core = w.rstrip(".")
-        kinds = {lexicon.kind(core)} if core.isalpha() else {lexicon.kind(p) for p in _JOINTS.split(core)}
-        if len(core) == 1:
-            out.append("I." if w.endswith(".") else "I")
-        elif "s" in kinds:
-            out.append("S")
-        elif kinds == {"g"}:
-            out.append("G")
-        elif core.lower() in PARTICLES:
-            out.append("p")
-        elif len(core) <= 3 and core.isupper():
-            out.append("II")
-        else:
-            out.append("W" if core[:1].isupper() else "w")
-    shape = " ".join(out)
-    if out.count(",") > 1 or out.count("w") > 2:
+    if kinds.count(",") > 1 or kinds.count("w") > 2:
         return TOO_LONG
-    if out[-1] == "p":
+    if kinds[-1] == "p" or _NAMING.isdisjoint(kinds):
         return None
-    if not any(x in ("S", "G", "W", "w") for x in out):
-        return None
-    return shape
+    return " ".join(kinds)
+
+
+_NAMING = frozenset(("S", "G", "W", "w"))
 
 
 def candidates(text: str, lexicon: Lexicon) -> list[Span]:
     """All spans that may be personal information, in order of their end."""
     found: set[Span] = set()
-    if _AT_SIGN.search(text):
-        for m in _EMAIL.finditer(text):
+    at = 0
+    for sign in _AT_SIGN.finditer(text):
+        gap = _GAP_BEFORE.search(text, max(at, sign.start() - 130), sign.start())
+        start = gap.start() if gap else sign.start()
+        while start > at and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        if m := _EMAIL.match(text, start):
             found.add(Span(m.start(), m.end(), "email"))
+            at = m.end()
     found.update(_numbers(text))
-    words = set(_WORD.findall(text))
-    classes = {lexicon[w] for w in words}
-    found.update(_addresses(text, classes))
-    known = [w for w in words if lexicon[w] in ("g", "s")] if "g" in classes or "s" in classes else []
-    cues = [w for w in words if lexicon[w] == "c" or w.lower() == "dr"] if "c" in classes or "t" in classes else []  # dr is a kind of street, too
+    marked = lexicon.marked(text)
+    found.update(_addresses(text, {c for _, c in marked}))
+    known = [w for w, c in marked if c in ("g", "s")]
+    cues = [w for w, c in marked if c == "c" or w.lower() == "dr"]  # dr is a kind of street, too
     found.update(_names(text, known, cues, lexicon))
     return sorted((s for s in found if s.end - s.start <= LONGEST), key=lambda s: (s.end, s.start, s.kind))
 
@@ -345,82 +413,110 @@ def candidates(text: str, lexicon: Lexicon) -> list[Span]:
 
 _ANY_WORD = re.compile(r"\w+")
 _FOLLOW = re.compile(r"(\W*)(\w*)")
+_NINES = re.compile("9+")
 _DIGIT, _LETTER, _GAP = re.compile(r"\d"), re.compile(r"[^\W\d_]"), re.compile(r"\s+")
 
 
-def features(text: str, span: Span, lexicon: Lexicon) -> list[str]:
-    """Features of a whole span, prefixed by its kind."""
+class Context:
+    """What stands around the spans of a text; spans share beginnings and ends, so each is looked at once."""
+
+    def __init__(self, text: str, lexicon: Lexicon):
+        self.text, self.lexicon = text, lexicon
+        self.lefts: dict[int, tuple] = {}
+        self.rights: dict[int, tuple] = {}
+
+    def word(self, w: str) -> str:
+        return "#" if w.isdigit() else "~" + self.lexicon.kind(w) if self.lexicon.kind(w) else w
+
+    def left(self, a: int) -> tuple[str, bool, str, tuple[tuple[str, str], ...]]:
+        """The text before, whether it touches, the last word, and the features of it."""
+        if a not in self.lefts:
+            text = self.text
+            before = _GAP.sub(" ", text[max(0, a - 40) : a])
+            last = [m.span() for m in _ANY_WORD.finditer(before)][-2:]
+            w1 = self.word(before[slice(*last[-1])].lower() if last else "")
+            w2 = self.word(before[slice(*last[0])].lower() if len(last) > 1 else "")
+            mark = before[last[-1][1] :] if last else before
+            at_start = not before.strip() or "\n" in text[max(0, a - 2) : a]
+            found = (("l1", w1), ("l12", f"{w2} {w1}"), ("lm", mark.strip()[-2:]), ("line", str(at_start)))
+            self.lefts[a] = before, before[-1:].isalnum(), w1, found
+        return self.lefts[a]
+
+    def right(self, b: int) -> tuple[bool, str, tuple[tuple[str, str], ...]]:
+        """Whether the text behind touches, the signs before its first word, and the features of it."""
+        if b not in self.rights:
+            after = _GAP.sub(" ", self.text[b : b + 24])
+            follow = _FOLLOW.match(after)
+            sep = follow.group(1)[:3]
+            self.rights[b] = after[:1].isalnum(), sep, (("r1", sep + self.word(follow.group(2).lower())), ("rm", sep))
+        return self.rights[b]
+
+
+def features(span: Span, context: Context) -> list[tuple[str, str]]:
+    """Features of a whole span beside those of what stands around it: names and values."""
     a, b, kind = span
+    text, lexicon = context.text, context.lexicon
     inside = _GAP.sub(" ", text[a:b])
-    before = _GAP.sub(" ", text[max(0, a - 40) : a])
-    after = _GAP.sub(" ", text[b : b + 24])
-    last = [m.span() for m in _ANY_WORD.finditer(before)][-2:]
-    w1 = before[slice(*last[-1])].lower() if last else ""
-    w2 = before[slice(*last[0])].lower() if len(last) > 1 else ""
-    mark = before[last[-1][1] :] if last else before
-    word = lambda w: "#" if w.isdigit() else "~" + lexicon.kind(w) if lexicon.kind(w) else w
-    follow = _FOLLOW.match(after)
-    nxt, sep = word(follow.group(2).lower()), follow.group(1)[:3]
-    at_start = not before.strip() or "\n" in text[max(0, a - 2) : a]
-    out = [
-        "bias",
-        f"l1={word(w1)}",
-        f"l12={word(w2)} {word(w1)}",
-        f"lm={mark.strip()[-2:]}",
-        f"r1={sep}{nxt}",
-        f"rm={sep}",
-        f"line={at_start}",
-        f"alnum={before[-1:].isalnum() or after[:1].isalnum()}",
-    ]
+    before, touches, w1, _ = context.left(a)
+    touched, sep, _ = context.right(b)
+    out = [("bias", ""), ("alnum", str(touches or touched))]
     if kind in ("phone", "id_number"):
         shape = _DIGIT.sub("9", _LETTER.sub("A", inside))
         out += [
-            f"shape={shape}",
-            f"groups={' '.join(str(len(x)) for x in re.findall(r'9+', shape))}",
-            f"digits={shape.count('9')}",
-            f"first={shape[:1]}",
-            f"seps={''.join(sorted(set(shape) - {'9', 'A'}))}",
-            f"letters={shape.count('A')}",
-            f"open={inside.count('(') == inside.count(')')}",
-            f"l1shape={word(w1)}|{shape[:3]}",
+            ("shape", shape),
+            ("groups", " ".join(str(len(x)) for x in _NINES.findall(shape))),
+            ("digits", str(shape.count("9"))),
+            ("first", shape[:1]),
+            ("seps", "".join(sorted(set(shape) - {"9", "A"}))),
+            ("letters", str(shape.count("A"))),
+            ("open", str(inside.count("(") == inside.count(")"))),
+            ("l1shape", f"{w1}|{shape[:3]}"),
         ]
     elif kind == "name":
-        tokens = list(_TOKEN.finditer(text, a, b))
-        shape = _shape(tokens, lexicon) or "?"
-        case = "u" if inside.isupper() else "l" if inside.islower() else "t" if all(w[:1].isupper() or w in PARTICLES for w in _WORD.findall(inside)) else "m"
+        kinds = [lexicon.tokens[t] for t in _TOKEN.findall(text, a, b)]
+        shape = _shape(kinds) or "?"
+        words = _WORD.findall(inside)
+        case = "u" if inside.isupper() else "l" if inside.islower() else "t" if all(w[:1].isupper() or w in PARTICLES for w in words) else "m"
         out += [
-            f"shape={shape}",
-            f"case={case}",
-            f"n={len(tokens)}",
-            f"shape+l1={shape}|{word(w1)}",
-            f"shape+r={shape}|{sep}",
-            f"has={'S' in shape}{'G' in shape}{',' in shape}",
-            f"plain={sum(x in ('W', 'w') for x in shape.split())}",
-            f"case+shape={case}|{shape}",
-            f"function={min(2, sum(w in _FUNCTION for w in inside.lower().split()))}",
-            f"dangling={'I' in shape.split() or 'II' in shape.split()}",
+            ("shape", shape),
+            ("case", case),
+            ("n", str(len(kinds))),
+            ("shape+l1", f"{shape}|{w1}"),
+            ("shape+r", f"{shape}|{sep}"),
+            ("has", f"{'S' in shape}{'G' in shape}{',' in shape}"),
+            ("plain", str(kinds.count("W") + kinds.count("w"))),
+            ("case+shape", f"{case}|{shape}"),
+            ("function", str(min(2, sum(w in _FUNCTION for w in inside.lower().split())))),
+            ("dangling", str("I" in kinds or "II" in kinds)),
         ]
-        for x in _WORD.findall(inside):
-            if not lexicon.kind(x) and len(x) > 1:
-                out += [f"has_word={x.lower()}", f"end={x.lower()[-3:]}"]
+        for x in words:
+            if len(x) > 1 and not lexicon.kind(x):
+                low = x.lower()
+                out += [("has_word", low), ("end", low[-3:])]
     elif kind == "address":
         low = inside.lower()
         words = low.replace(",", " ").split()
         shape = " ".join("9" if x[0].isdigit() else x.rstrip(".") if x.rstrip(".") in STREETS or x in ("rue", "flat", "apt", "de", "du", "box", "p.o.") else "w" for x in words)
         out += [
-            f"shape={shape}",
-            f"stop={inside.endswith('.')}",
-            f"stop+last={words[-1] if inside.endswith('.') else ''}",
-            f"case={'u' if inside.isupper() else 'l' if inside.islower() else 't'}",
-            f"n={len(words)}",
-            f"wordcase={sum(x[:1].isupper() for x in inside.split())}",
-            f"tail_unit={bool(_NEXT_UNIT.match(text, b))}",
-            f"head_unit={bool(_UNIT_BEFORE.search(before))}",
-            f"last={words[-1]}",
+            ("shape", shape),
+            ("stop", str(inside.endswith("."))),
+            ("stop+last", words[-1] if inside.endswith(".") else ""),
+            ("case", "u" if inside.isupper() else "l" if inside.islower() else "t"),
+            ("n", str(len(words))),
+            ("wordcase", str(sum(x[:1].isupper() for x in inside.split()))),
+            ("tail_unit", str(bool(_NEXT_UNIT.match(text, b)))),
+            ("head_unit", str(bool(_UNIT_BEFORE.search(before)))),
+            ("last", words[-1]),
         ]
     else:
-        out += [f"spaces={inside.count(' ')}", f"dots={inside.count('.')}", f"end={inside[-1:].isalnum()}"]
-    return [f"{kind}:{x}" for x in out]
+        out += [("spaces", str(inside.count(" "))), ("dots", str(inside.count("."))), ("end", str(inside[-1:].isalnum()))]
+    return out
+
+
+def all_features(span: Span, context: Context) -> list[str]:
+    """All features of a span by name, prefixed by its kind, as they are learned and stored."""
+    found = [*features(span, context), *context.left(span.start)[3], *context.right(span.end)[2]]
+    return [f"{span.kind}:{name}={value}" if name != "bias" else f"{span.kind}:bias" for name, value in found]
 
 
 # --- decoding --------------------------------------------------------------------------------------
@@ -468,18 +564,43 @@ def best_division(spans: list[Span], scores: list[float]) -> list[Span]:
 class Model:
     def __init__(self, weights: dict[str, float], lexicon: Lexicon):
         self.weights, self.lexicon = weights, lexicon
-
-    def score(self, text: str, span: Span) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in features(text, span, self.lexicon))
+        #: Weights by kind, feature and value, so that scoring builds no names.
+        self.tables: dict[str, dict[str, dict[str, float]]] = {kind: {} for kind in KINDS}
+        for key, weight in weights.items():
+            kind, _, rest = key.partition(":")
+            name, _, value = rest.partition("=")
+            self.tables[kind].setdefault(name, {})[value] = weight
+
+    def scores(self, text: str, spans: list[Span]) -> list[float]:
+        """Scores of spans of a text; what stands around a span is scored once per kind and place."""
+        context = Context(text, self.lexicon)
+        none: dict[str, float] = {}
+        around: dict[tuple[str, str, int], float] = {}
+        out = []
+        for span in spans:
+            table, total = self.tables[span.kind].get, 0.0
+            for name, value in features(span, context):
+                total += table(name, none).get(value, 0.0)
+            for side, place in (("l", span.start), ("r", span.end)):
+                key = (span.kind, side, place)
+                if key not in around:
+                    found = context.left(place)[3] if side == "l" else context.right(place)[2]
+                    around[key] = sum(table(name, none).get(value, 0.0) for name, value in found)
+                total += around[key]
+            out.append(total)
+        return out
 
     def find(self, text: str | None) -> list[Span]:
         """The spans of personal information of a text, in order."""
         if not text:
             return []
+        spans = candidates(text, self.lexicon)
+        if not spans:
+            return []
+        score = dict(zip(spans, self.scores(text, spans)))
         out: list[Span] = []
-        for group in islands(candidates(text, self.lexicon)):
-            out += best_division(group, [self.score(text, s) for s in group])
+        for group in islands(spans):
+            out += best_division(group, [score[s] for s in group])
         return out
 
     def redact(self, text: str | None) -> str | None:

@@ -16,7 +16,7 @@ from bisect import bisect_right
 from collections import defaultdict
 from pathlib import Path
 
-from spanlex.llm.personal_data import MODEL, Lexicon, Model, Span, candidates, features, islands
+from spanlex.llm.personal_data import MODEL, Context, Lexicon, Model, Span, all_features, candidates, islands
 
 TEXTS, EPOCHS, RATE, DECAY = 8000, 8, 0.25, 1e-4
 
@@ -380,11 +380,11 @@ Island = tuple[list[Span], list[list[str]], list[int]]
 
 def prepare(text: str, gold: list[Span], lexicon: Lexicon) -> tuple[list[Island], int]:
     """Islands with features and the places of right spans; how many right spans are no candidates."""
-    right, out, hit = set(gold), [], 0
+    right, out, hit, context = set(gold), [], 0, Context(text, lexicon)
     for group in islands(candidates(text, lexicon)):
         chosen = [i for i, s in enumerate(group) if s in right]
         hit += len(chosen)
-        out.append((group, [features(text, s, lexicon) for s in group], chosen))
+        out.append((group, [all_features(s, context) for s in group], chosen))
     return out, len(right) - hit
 
 
