@@ -9,12 +9,17 @@ unusable frequencies, repeated and corrected rows. Defined results:
   earliest, a null ``seg`` is a passage of its own; rows equal in ``loaded_at`` count once, the larger tf;
 * an empty table gives an empty result; further columns are ignored.
 
-How it runs: the key of every row is salted with the hash bucket of its document, and rows are shuffled
-by that bucket. So the rows of a frequent term are spread over all tasks, while those of one (term,
-document) meet in one and corrections are resolved there. Salting every key and not only heavy ones
-needs no earlier pass to find them and costs rare terms nothing: a term has at most as many partials as
-documents. Inside a task one sort serves all further steps, which stream: nothing but the sorter grows
-with the data, and it spills. What is shuffled again is one partial per term and task.
+How it runs, a two-stage salted aggregation:
+
+1. One pass finds the heavy terms with a frequent-items sketch of bounded size. A term is heavy if it holds
+   more than one in ``SHARE * tasks`` of all rows, so there are at most ``SHARE * tasks`` of them, whatever
+   the data, and that bound is what makes them fit for a broadcast.
+2. Rows of a heavy term get one of as many salts as it takes to bring each under that share; other terms
+   have salt 0. The salt is a pseudo-random number drawn from the document id: a retried task draws the same,
+   and the rows of one (term, document), whose corrections have to be resolved, stay together. Rows are shuffled
+   by (term, salt), so no task gets a large part of a frequent term, nor of a document that holds many rows.
+3. Inside a task one sort serves all further steps, which stream: nothing but the sorter grows with the
+   data, and it spills. Partial results per (term, salt) are merged by term.
 """
 
 from __future__ import annotations
@@ -29,6 +34,10 @@ from spanlex.session import shuffle_width
 TASK_BYTES = 6 << 20
 #: Spark reports no less than this for frames whose size it doesn't know.
 UNKNOWN_BYTES = 1 << 55
+#: A term is heavy if it holds more than one in this many times the tasks of all rows.
+SHARE = 4
+#: Terms a sketch keeps at most, whatever the number of tasks.
+TRACKED = 1_000_000
 #: Frequencies and ids below these limits are compared as one number.
 ID_BITS, TF_BITS = 40, 23
 
@@ -61,48 +70,64 @@ def task_count(df: DataFrame) -> int:
     return max(shuffle_width(df.sparkSession), min(100_000, -(-size // TASK_BYTES)))
 
 
-def ordered(postings: DataFrame) -> DataFrame:
-    """Usable rows by document, term and passage, with what follows each row in its document.
+def heavy_terms(rows: DataFrame, most: int) -> DataFrame:
+    """``(term, salts)`` of the terms that hold more than one in ``most`` of the rows: at most ``most`` of them.
 
-    Columns ``doc_id, h, term, tf`` and three marks: ``counts`` on the row of a passage that counts,
-    ``new_record`` on one row of each (document, term), ``new_document`` on one row of each document.
-    The hash in front of the term lets the sorter compare numbers before strings.
+    The sketch overstates a count by less than 1 / (3 * most) of the rows, and misses no such term.
     """
-    w = W.partitionBy("doc_id").orderBy("h", "term", "seg", "loaded_at", "tf")
-    follows = (
-        usable(postings)
-        .repartition(task_count(postings), "doc_id")
+    tracked = min(TRACKED, max(1024, 8 * most))
+    sketch = rows.agg(F.expr(f"approx_top_k(term, {min(most, tracked)}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n"))
+    found = sketch.select(F.explode("top").alias("t"), "n").where(F.col("t.count") * most > F.col("n"))
+    heavy = found.select(F.col("t.item").alias("term"), F.ceil(F.col("t.count") * most / F.col("n")).cast("int").alias("salts"))
+    return rows.sparkSession.createDataFrame(heavy.collect(), heavy.schema)  # at most ``most`` rows
+
+
+def salted(postings: DataFrame, most: int | None = None) -> DataFrame:
+    """Usable rows with their ``salt``, partitioned by (term, salt)."""
+    tasks = task_count(postings)
+    rows = usable(postings)
+    heavy = heavy_terms(rows, most or SHARE * tasks)
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts"))).cast("int")
+    marked = rows.join(F.broadcast(heavy), "term", "left").withColumn("salt", salt).drop("salts")
+    return marked.repartition(tasks, "term", "salt")
+
+
+def ordered(postings: DataFrame, most: int | None = None) -> DataFrame:
+    """Usable rows by term, salt, document and passage, seen with the row before and the row behind.
+
+    Columns ``h, term, salt, doc_id, tf``, ``counts`` on the row of a passage that counts, and ``last_record``: the
+    document of the row before of the same term and salt, null for the first. The hash in front of the term
+    lets the sorter compare numbers before strings.
+    """
+    w = W.partitionBy("h", "term", "salt").orderBy("doc_id", "seg", "loaded_at", "tf")
+    seen = (
+        salted(postings, most)
         .withColumn("h", F.xxhash64("term"))
-        .withColumn("next_term", F.lead("term").over(w))
+        .withColumn("last_record", F.lag("doc_id").over(w))
+        .withColumn("next_record", F.lead("doc_id").over(w))
         .withColumn("next_seg", F.lead("seg").over(w))
     )
-    ends = F.col("next_term").isNull() | (F.col("next_term") != F.col("term"))
-    return follows.select(
-        "doc_id",
-        "h",
-        "term",
-        "tf",
-        (ends | ~F.col("next_seg").eqNullSafe(F.col("seg"))).alias("counts"),
-        ends.alias("new_record"),
-        F.col("next_term").isNull().alias("new_document"),
+    ends = F.col("next_record").isNull() | (F.col("next_record") != F.col("doc_id"))
+    return seen.select(
+        "h", "term", "salt", "doc_id", "tf", (ends | ~F.col("next_seg").eqNullSafe(F.col("seg"))).alias("counts"), "last_record"
     )
 
 
-def document_totals(postings: DataFrame) -> DataFrame:
-    """``(doc_id, term, tf)``: current frequencies summed over passages.
+def document_totals(postings: DataFrame, most: int | None = None) -> DataFrame:
+    """``(term, salt, doc_id, tf)``: current frequencies summed over passages.
 
-    Rows arrive sorted by (doc_id, h, term), so the aggregation streams over them; the maximum of a
+    Rows arrive sorted by (h, term, salt, doc_id), so the aggregation streams over them; the maximum of a
     string is there to make the planner keep to the sorted form, which needs no hash table.
     """
-    rows = ordered(postings).where("counts")
-    sums = rows.groupBy("doc_id", "h", "term").agg(F.sum("tf").alias("tf"), F.max("term").alias("same"))
-    return sums.select("doc_id", F.col("same").alias("term"), "tf")
+    rows = ordered(postings, most).where("counts")
+    sums = rows.groupBy("h", "term", "salt", "doc_id").agg(F.sum("tf").alias("tf"), F.max("term").alias("same"))
+    return sums.where("same is not null").select("term", "salt", "doc_id", "tf")
 
 
-def top_document(postings: DataFrame) -> DataFrame:
+def top_document(postings: DataFrame, most: int | None = None) -> DataFrame:
     """``(term, doc_id, tf)``: the document where each term is most frequent, the smallest id among equals.
 
-    Two-stage salted aggregation: partials per (term, salt), then their merge by term. Both keep one
+    Partials per (term, salt), then their merge by term. Both keep one
     comparable number per term: the frequency in front of the reversed id. Values too large for that
     are compared as a wide decimal instead, so the result is exact for any input.
     """
@@ -112,8 +137,10 @@ def top_document(postings: DataFrame) -> DataFrame:
     # tf * 2^64 - doc_id: orders by tf, then by smaller id, for all 64-bit ids
     wide = F.when(~small, F.expr(f"cast(tf as decimal(19,0)) * {1 << 62}BD * 4BD - doc_id"))
     best = (
-        document_totals(postings)
-        .select("term", packed.alias("packed"), wide.cast("decimal(38,0)").alias("wide"))
+        document_totals(postings, most)
+        .select("term", "salt", packed.alias("packed"), wide.cast("decimal(38,0)").alias("wide"))
+        .groupBy("term", "salt")
+        .agg(F.max("packed").alias("packed"), F.max("wide").alias("wide"))
         .groupBy("term")
         .agg(F.max("packed").alias("packed"), F.max("wide").alias("wide"))
     )
@@ -135,8 +162,9 @@ def top_document(postings: DataFrame) -> DataFrame:
     )
 
 
-def term_totals(postings: DataFrame) -> DataFrame:
+def term_totals(postings: DataFrame, most: int | None = None) -> DataFrame:
     """``(term, df, cf, max_tf)`` of every term, by the same two stages."""
-    return document_totals(postings).groupBy("term").agg(
+    partial = document_totals(postings, most).groupBy("term", "salt").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf")
     )
+    return partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))

@@ -2,6 +2,9 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from spanlex.operators import partials
 
 SCHEMA = "run_id int, doc_id bigint, seg int, term string, tf bigint, loaded_at timestamp_ntz, extra string"
@@ -42,13 +45,14 @@ def sample(n=3000, seed=1):
     return out + out[:200]
 
 
-def test_top_document_and_totals(spark):
+@pytest.mark.parametrize("most", [None, 40])
+def test_top_document_and_totals(spark, most):
     rows = sample()
     frame = spark.createDataFrame(rows, SCHEMA)
     expected = brute(rows)
-    got = {r["term"]: (r["doc_id"], r["tf"]) for r in partials.top_document(frame).collect()}
+    got = {r["term"]: (r["doc_id"], r["tf"]) for r in partials.top_document(frame, most).collect()}
     assert got == {t: (lambda d, n: (d, n))(*min(c.items(), key=lambda x: (-x[1], x[0]))) for t, c in expected.items()}
-    got = {r["term"]: (r["df"], r["cf"], r["max_tf"]) for r in partials.term_totals(frame).collect()}
+    got = {r["term"]: (r["df"], r["cf"], r["max_tf"]) for r in partials.term_totals(frame, most).collect()}
     assert got == {t: (len(c), sum(c.values()), max(c.values())) for t, c in expected.items()}
     plain = defaultdict(Counter)
     for r in partials.current(frame).collect():
@@ -74,8 +78,20 @@ def test_extreme_numbers(spark):
     assert got == {"x": (big - 1, 5), "y": (-5, 2), "z": (9, 1 << 40), "w": (4, 6)}
 
 
+def test_heavy_terms_are_divided(spark):
+    """A term of a third of all rows is spread, the rows of one of its documents stay together, and nothing is lost."""
+    rows = [(1, d, 0, "Hot " if d % 2 else "hot", 1 + d % 5, T0, "") for d in range(3000)] + [(1, d, 1, f"t{d}", 1, T0, "") for d in range(6000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    heavy = {r["term"]: r["salts"] for r in partials.heavy_terms(partials.usable(frame), 48).collect()}
+    assert set(heavy) == {"hot"} and 16 <= heavy["hot"] <= 18
+    parts = partials.salted(frame, 48).where("term = 'hot'").groupBy("salt").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).collect()
+    assert len(parts) == heavy["hot"] and sum(r["n"] for r in parts) == 3000 and all(r["n"] == r["d"] < 300 for r in parts)
+    assert {r["term"]: r["df"] for r in partials.term_totals(frame, 48).collect()}["hot"] == 3000
+
+
 def test_plan_has_one_wide_shuffle(spark, small):
     frame = partials.top_document(spark.read.parquet(f"{small}/postings.parquet"))
     plan = frame._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("Exchange hashpartitioning") == 2  # by (term, salt), then the partials by term
+    assert "hashpartitioning(term" in plan and "salt" in plan
     assert "PushedFilters: [IsNotNull" in plan
