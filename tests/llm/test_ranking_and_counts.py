@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from spanlex.llm import registry
-from spanlex.llm.term_frequency import term_frequencies
+from spanlex.llm.term_frequency import counters, term_frequencies
 from spanlex.llm.top_n import top_n
 
 T0 = datetime(2024, 1, 1)
@@ -57,3 +57,14 @@ def test_marks(spark):
     got = {r["term"]: (r["occurrences"], r["records"], r["mark"]) for r in term_frequencies(spark.createDataFrame(rows, POSTINGS)).collect()}
     assert got == {"the": (19, 8, "common"), "two": (3, 2, "rare"), "mid": (3, 3, None)}
     assert term_frequencies(spark.createDataFrame([], POSTINGS)).count() == 0
+
+
+def test_counters_hold_the_last_record(spark):
+    """Salted counters of a heavy term add up to its records, each of which is in one of them."""
+    rows = [(1, d, s, "hot", 1 + s, T0, "x") for d in range(200) for s in (0, 1)] + [(1, d, 0, f"t{d}", 1, T0, "x") for d in range(400)]
+    frame = spark.createDataFrame(rows, POSTINGS)
+    got = [r for r in counters(frame, 24).where("term = 'hot'").collect()]
+    assert len(got) > 5 and sum(r["records"] for r in got) == 200 and sum(r["occurrences"] for r in got) == 600
+    assert max(r["last_record"] for r in got) == 199 and all(r["records"] < 60 for r in got)
+    plain = {r["term"]: tuple(r) for r in term_frequencies(frame).collect()}
+    assert {r["term"]: tuple(r) for r in term_frequencies(frame, most=24).collect()} == plain and plain["hot"][1:] == (600, 200, None)
