@@ -31,6 +31,32 @@ LANGUAGES = (
 )
 
 
+#: Letters of invented languages, by script: none of them has a listed function word but by chance.
+SCRIPTS = ("aeiouyåäöøæbdfghjklmnprstv", "aeiouąęóybcdłńprsśtwzźżk", "аеиоуыэюябвгдзйклмнпрстхчш", "αεηιουωβγδκλμνπρστφχ", "اويبتثجحدرسشعفقكلمن", "אבגדהוזחטיכלמנסעפצקרשת")
+
+
+class Language:
+    """An invented language: a script, short words that come again and again, and longer ones."""
+
+    def __init__(self, r: random.Random):
+        self.letters = r.choice(SCRIPTS)
+        own = lambda low, high: "".join(r.choice(self.letters) for _ in range(r.randint(low, high)))
+        self.short = [own(1, 3) for _ in range(r.randint(8, 22))]
+        self.parts = [own(1, 3) for _ in range(30)]
+
+    def word(self, r: random.Random) -> str:
+        return "".join(r.choice(self.parts) for _ in range(r.randint(2, 5)))
+
+    def text(self, r: random.Random, size: int) -> str:
+        share, out = r.uniform(0.28, 0.5), []
+        while sum(map(len, out)) < size:
+            n = r.randint(7, 24)
+            words = [r.choice(self.short[: r.randint(3, len(self.short))]) if r.random() < share else self.word(r) for _ in range(n)]
+            words[r.randrange(n)] += ","
+            out.append(" ".join(words).capitalize() + r.choice("...!?"))
+        return " ".join(out)
+
+
 def word(r: random.Random) -> str:
     return "".join(r.choice(("ba", "ne", "ri", "to", "lus", "gen", "mo", "ka", "pel", "dra", "os", "in", "e", "st")) for _ in range(r.randint(2, 5)))
 
@@ -44,6 +70,14 @@ def sentence(r: random.Random, language: list[str], share: float) -> str:
 
 
 def prose(r: random.Random, size: int) -> str:
+    if r.random() < 0.06:  # a script without blanks
+        signs = [chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(150)]
+        clause = lambda: "".join(r.choice(signs) for _ in range(r.randint(4, 16)))
+        text = "".join(clause() + r.choice("\uff0c\uff0c\u3002") for _ in range(size // 10)) + "\u3002"
+        return "\n".join(text[i : i + 40] for i in range(0, len(text), 40)) if r.random() < 0.4 else text
+    if size > 300 and r.random() < 0.35:
+        text = Language(r).text(r, size)
+        return wrapped(r, text) if r.random() < 0.6 else text
     language, share = r.choice(LANGUAGES), r.uniform(0.33, 0.6)
     out: list[str] = []
     while sum(map(len, out)) < size:
@@ -77,7 +111,9 @@ def name(r: random.Random) -> str:
 
 def other(r: random.Random, size: int) -> str:
     """Anything but running text, at least ``size`` characters."""
-    kind = r.randrange(16)
+    kind = r.randrange(20)
+    foreign, mark = Language(r), r.choice(("o ", "- ", "* ", "• ", "a ", "e ", "1. "))
+    bad = "".join(r.choice("ÃÂâï¿½œ™©°¬ž¢‚") for _ in range(9))
     cols, sep = r.randint(2, 7), r.choice(("\t", " | ", ";", " ", "  "))
     joint = r.choice(("\n", "\r\n"))
     line = {
@@ -97,13 +133,17 @@ def other(r: random.Random, size: int) -> str:
         13: lambda: r.choice((" > ", "  ", " | ")).join(r.choice((word(r), "home", "search", "contact", "next page", "help", "top", "print", "login")) for _ in range(9)),
         14: lambda: word(r) if r.random() < 0.6 else f"{word(r)} {word(r)}",
         15: lambda: f"{r.randint(1, 40)}. {word(r)} {r.choice(('of', 'in', 'and', 'by'))} {word(r)} " + "." * r.randint(5, 30) + f" {r.randint(1, 300)}",
+        16: lambda: mark + " ".join(word(r) for _ in range(r.randint(1, 3))),
+        17: lambda: mark + " ".join(foreign.word(r) for _ in range(r.randint(1, 3))),
+        18: lambda: " ".join("".join(r.choice(bad) for _ in range(r.randint(1, 4))) + word(r)[r.randint(0, 3) :] for _ in range(9)),
+        19: lambda: sep.join([foreign.word(r), *(value(r) for _ in range(cols))]),
     }[kind]
     rows: list[str] = []
     if r.random() < 0.3:
         rows.append(f"table {r.randint(1, 9)}. {word(r)} of {word(r)} by {word(r)}")
     while sum(map(len, rows)) < size:
         rows.append(line())
-    return (" " if kind in (10, 11, 12, 13) and r.random() < 0.7 else joint).join(rows)
+    return (" " if kind in (10, 11, 12, 13, 18) and r.random() < 0.7 else joint).join(rows)
 
 
 def labelled(n: int, seed: int) -> tuple[list[str], np.ndarray]:

@@ -163,7 +163,52 @@ links as (
 select doc_id, class_id, copies, coalesce(links, 0) as links from kinds left join links using (class_id) where copies > 1 or links > 0
 """
 
+_SHARE = text_quality.LINE_SHARE
+STATISTICS = rf"""
+with common as (select list(word) as given from common_words where word is not null),
+base as (
+  select doc_id, text, given, regexp_replace(text, '[\s\x0b\x85\xa0\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', '', 'g') as solid,
+    list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda l: regexp_matches(l, '\S')) as lines,
+    list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '') as words,
+    flatten(list_transform(regexp_split_to_array(lower(text), '\r\n|\r|\n'), lambda l: case when length(l) > {text_quality.LONG_LINE}
+      then string_split(regexp_replace(l, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)) else [l] end)) as parts
+  from documents, common),
+short as (
+  select *, list_sort(list_filter(words, lambda w: length(w) <= {text_quality.SHORT} and not regexp_matches(w, '[0-9_]'))) as short from base),
+own as (
+  select *, list_distinct(list_filter(short, lambda w, i: i > 1 and w = short[i - 1])) as own,
+    list_transform(parts, lambda p: {{'p': p, 'n': length(replace(p, ' ', '')), 'w': list_filter(regexp_split_to_array(p, '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')}}) as cut
+  from short),
+judged as (
+  select *, list_transform(cut, lambda x: {{'n': x.n, 'words': len(x.w),
+    'hits': len(list_filter(x.w, lambda w, i: list_contains(({list(dict.fromkeys(text_quality.FUNCTION_WORDS))!r}), w) and (i > 1 or length(w) > 1))),
+    'own': len(list_filter(x.w, lambda w: list_contains(own, w))), 'kinds': len(list_distinct(list_filter(x.w, lambda w: list_contains(own, w)))),
+    'letters': length(regexp_replace(x.p, '[^\p{{L}}]+', '', 'g'))}}) as j from own),
+counted as (
+  select doc_id, text, length(solid) as n_chars, len(words) as n_words, len(lines) as n_lines, len(list_distinct(words)) as n_distinct,
+    length(regexp_replace(solid, '[^\p{{L}}\p{{N}}_]+', '', 'g')) as word_chars, len(short) - len(list_distinct(short)) as repeated,
+    coalesce(list_sum(list_transform(j, lambda x: x.n)), 0) as part_chars, coalesce(list_sum(list_transform(j, lambda x: x.hits)), 0) as hits,
+    coalesce(list_sum(list_transform(list_filter(j, lambda x: x.words >= 3 and x.hits >= {_SHARE} * x.words), lambda x: x.n)), 0) as running_chars,
+    coalesce(list_sum(list_transform(list_filter(j, lambda x: (x.words >= 3 and x.hits >= {_SHARE} * x.words)
+      or (x.words >= 5 and x.kinds >= 2 and x.own >= {_SHARE} * x.words and x.letters >= {text_quality.LETTERS} * x.n)), lambda x: x.n)), 0) as echo_chars,
+    length(regexp_replace(solid, '[^\p{{N}}]+', '', 'g')) as digits, length(regexp_replace(solid, '[^\p{{L}}]+', '', 'g')) as letters,
+    len(list_filter(lines, lambda l: regexp_matches(l, '[.!?:;]\s*$'))) as ended,
+    len(list_filter(words, lambda w: list_contains(given, w))) as common
+  from judged)
+select doc_id, n_chars, n_words, n_lines, round(word_chars / nullif(n_words, 0), 6) as mean_word, round(common / nullif(n_words, 0), 6) as common_share,
+  round(hits / nullif(n_words, 0), 6) as function_share, round(running_chars / nullif(part_chars, 0), 6) as running,
+  round(echo_chars / nullif(part_chars, 0), 6) as echoing, round(repeated / nullif(n_words, 0), 6) as repeated_short,
+  round(digits / nullif(n_chars, 0), 6) as digit_ratio, round(letters / nullif(n_chars, 0), 6) as letter_ratio,
+  round((n_chars - digits - letters) / nullif(n_chars, 0), 6) as symbol_ratio, round(ended / nullif(n_lines, 0), 6) as punct_lines,
+  round(n_words / nullif(n_lines, 0), 6) as words_per_line, round(n_distinct / nullif(n_words, 0), 6) as distinct_share,
+  round(n_chars / nullif(n_words, 0), 6) as mean_gap
+from counted
+"""
+
 ORACLE = {
+    "p2_statistics": STATISTICS,
+    "p2_found": f"""with s as ({STATISTICS}), f as (select doc_id, n_chars, {", ".join(f"coalesce({c}, 0) as {c}" for c in text_quality.FEATURES)} from s)
+select doc_id from f where n_chars >= 80 and {text_quality.case_expression(text_quality.load_rules()).replace("D ", "e0 ")} > 0""",
     "p4_found": SIMILAR,
     "p5_found": NEAR_DUPLICATES,
     "p5_classes": CLASSES,

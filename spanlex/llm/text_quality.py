@@ -7,9 +7,11 @@ statistics are column expressions over the whole text, without a shuffle. Define
 * ``n_chars`` counts characters that are not white space; a line is what stands between line ends (CR, LF or
   CRLF) and isn't blank; a word is a maximal run of letters, digits and underscores of the lower-cased text;
 * a line ends in punctuation if its last non-blank character is one of ``. ! ? : ;``;
-* ``running`` is the share of the text's characters in running lines, those in which at least
-  ``LINE_SHARE`` of the words are function words of some language (of a longer line each sentence is judged
-  on its own), white space but tabs left out. Repeated rows of a document come out repeated.
+* ``running`` is the share of the text's characters in lines (of a longer line each sentence by itself) of which
+  at least ``LINE_SHARE`` of the words are function words of some language, white space but tabs left out;
+* ``echoing`` is the same share, where besides the listed ones a text's own function words count: short words it
+  repeats, of which a line of letters has to hold two at least. So it is open to languages nobody listed, and
+  to scripts that put no blanks between words. Repeated rows of a document come out repeated.
 
 Rules are learned by incremental reduced-error pruning on labelled documents (``quality_training``), ordered,
 and stored as conditions on the statistics; they run as one SQL CASE expression.
@@ -39,10 +41,14 @@ FUNCTION_WORDS = tuple(
     """.split()
 )
 LINE_SHARE = 0.2
+#: Letters of the short words that are looked for again in a text.
+SHORT = 3
+#: Letters among the characters of a line that may be running by the text's own short words.
+LETTERS = 0.85
 #: A line longer than this is judged sentence by sentence.
 LONG_LINE = 200
 FEATURES = (
-    "running", "function_share", "digit_ratio", "symbol_ratio", "mean_word", "words_per_line",
+    "running", "echoing", "repeated_short", "distinct_share", "function_share", "digit_ratio", "symbol_ratio", "mean_word", "words_per_line",
     "punct_lines", "letter_ratio", "mean_gap",
 )
 MODEL = "quality_rules.json"
@@ -51,6 +57,9 @@ MODEL = "quality_rules.json"
 _WORDS = r"[\x00-/:-@\[-^`{-\x7f[^\x00-\x7f\p{L}\p{N}]]+"
 _NO_LETTERS = r"[\x00-@\[-`{-\x7f[^\x00-\x7f\p{L}]]+"
 _NO_DIGITS = r"[\x00-/:-\x7f[^\x00-\x7f\p{N}]]+"
+_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_SPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
+_STOPS = r"[\u3001\u3002\uff01\uff0c\uff0e\uff1f\u104b\u17d4]|[\p{IsThai}\p{IsLao}]{20}"
 _BLANK = r"[\s\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
@@ -67,41 +76,50 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None) -> DataFr
     )
     lines = F.expr(r"filter(split(text, '\r\n|\r|\n'), l -> l rlike '\\S')")
     # each step is evaluated once: what a lambda uses twice is a value of the step before
-    cut = F.transform(parts, lambda p: F.struct(F.length(F.replace(p, F.lit(" "), F.lit(""))).alias("n"), F.split(p, _WORDS).alias("w")))
+    cut = F.transform(parts, lambda p: F.struct(p.alias("p"), F.length(F.replace(p, F.lit(" "), F.lit(""))).alias("n"), F.split(p, _WORDS).alias("w")))
+    words_in = lambda w: F.size(w) - (w[0] == "").cast("int") - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
     judged = F.transform(
         cut,
         lambda x: F.struct(
-            x["n"].alias("n"),
-            (F.size(x["w"]) - (x["w"][0] == "").cast("int") - ((F.size(x["w"]) > 1) & (F.element_at(x["w"], -1) == "")).cast("int")).alias("words"),
-            F.size(F.filter(x["w"], _is_function)).alias("hits"),
+            x["p"].alias("p"), x["n"].alias("n"), x["w"].alias("w"), words_in(x["w"]).alias("words"),
+            # a single letter in front is the mark of an item
+            F.size(F.filter(x["w"], lambda w, i: _is_function(w) & ((i > (x["w"][0] == "").cast("int")) | (F.length(w) > 1)))).alias("hits"),
         ),
     )
-    second = docs.select(
-        "doc_id",
-        F.regexp_replace(text, _BLANK, "").alias("solid"),
-        lines.alias("lines"),
-        judged.alias("parts"),
-        text,
+    all_words = F.filter(F.split(F.lower("text"), _WORDS), lambda w: w != "")
+    first = docs.select("doc_id", F.regexp_replace(text, _BLANK, "").alias("solid"), lines.alias("lines"), judged.alias("parts"), all_words.alias("words"))
+    short = F.array_sort(F.filter("words", lambda w: (F.length(w) <= SHORT) & (F.translate(w, "0123456789_", "") == w)))
+    second = first.withColumn("dense", F.col("solid").rlike(_DENSE)).withColumn("short", short).withColumn(
+        "own", F.array_distinct(F.filter("short", lambda w, i: (i > 0) & (w == F.get("short", i - 1))))
     )
     add = lambda acc, x: acc + x
     total = lambda xs: F.aggregate(xs, F.lit(0), add)
-    runs = F.filter("parts", lambda p: (p["hits"] >= LINE_SHARE * p["words"]) & (p["words"] >= 3))
+    listed = lambda p: (p["hits"] >= LINE_SHARE * p["words"]) & (p["words"] >= 3)
+    of_own = lambda p: F.size(F.filter(p["w"], lambda w: F.array_contains("own", w)))
+    lettered = lambda p: F.length(F.regexp_replace(p["p"], _NO_LETTERS, "")) >= LETTERS * p["n"]
+    echo = lambda p: (
+        (p["words"] >= 5) & (F.size(F.array_intersect(p["w"], F.col("own"))) >= 2) & (of_own(p) >= LINE_SHARE * p["words"]) & lettered(p)
+    )
+    # scripts without blanks between words: a line with a mark of a sentence, mostly of such letters
+    dense = lambda p: (
+        F.col("dense") & (p["n"] >= 8) & p["p"].rlike(_STOPS) & (2 * F.length(F.regexp_replace(p["p"], _SPACED, "")) >= p["n"])
+    )
     third = second.select(
         "doc_id",
         F.length("solid").alias("n_chars"),
-        total(F.transform("parts", lambda p: p["words"])).alias("n_words"),
+        F.size("words").alias("n_words"),
         F.size("lines").alias("n_lines"),
         F.length(F.regexp_replace("solid", _WORDS, "")).alias("word_chars"),
-        F.size(F.array_distinct(F.filter(F.split(F.lower("text"), _WORDS), lambda w: w != ""))).alias("n_distinct"),
+        F.size(F.array_distinct("words")).alias("n_distinct"),
+        (F.size("short") - F.size(F.array_distinct("short"))).alias("repeated"),
         total(F.transform("parts", lambda p: p["n"])).alias("part_chars"),
-        total(F.transform(runs, lambda p: p["n"])).alias("running_chars"),
+        total(F.transform(F.filter("parts", listed), lambda p: p["n"])).alias("running_chars"),
+        total(F.transform(F.filter("parts", lambda p: listed(p) | echo(p) | dense(p)), lambda p: p["n"])).alias("echo_chars"),
         total(F.transform("parts", lambda p: p["hits"])).alias("hits"),
         F.length(F.regexp_replace("solid", _NO_DIGITS, "")).alias("digits"),
         F.length(F.regexp_replace("solid", _NO_LETTERS, "")).alias("letters"),
         F.size(F.filter("lines", lambda l: F.rtrim(l).rlike(r"[.!?:;]\s*$"))).alias("ended"),
-        (F.size(F.filter(F.split(F.lower("text"), _WORDS), lambda w: w.isin(*common_words))) if common_words else F.lit(None).cast("int")).alias(
-            "common"
-        ),
+        (F.size(F.filter("words", lambda w: w.isin(*common_words))) if common_words else F.lit(None).cast("int")).alias("common"),
     )
     share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     return third.select(
@@ -113,6 +131,8 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None) -> DataFr
         share("common", "n_words").alias("common_share"),
         share("hits", "n_words").alias("function_share"),
         share("running_chars", "part_chars").alias("running"),
+        share("echo_chars", "part_chars").alias("echoing"),
+        share("repeated", "n_words").alias("repeated_short"),
         share("digits", "n_chars").alias("digit_ratio"),
         share("letters", "n_chars").alias("letter_ratio"),
         F.try_divide(

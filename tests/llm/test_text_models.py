@@ -25,6 +25,44 @@ def test_rules_on_examples(spark):
     assert got == {2, 4, 9}
 
 
+#: Running text in languages without listed function words.
+FOREIGN = (
+    "Было показано, что уровень сыворотки был повышен у большинства больных, и изменение не было малым. Кроме того, в группе не было ни одного случая, при котором бы это не было так, и у всех больных, за исключением трёх, это было видно.",
+    "Det visade sig att nivån i serum var högre än i den andra gruppen, och att det inte var en liten skillnad. Av de som fick det var det en som inte kunde se det, och i den andra gruppen var det två.",
+    "Wykazano, że poziom w surowicy był wyższy niż u innych osób i że nie była to mała zmiana. W tej grupie nie było osoby, u której by to się nie stało, a u tych, którzy to mieli, nie było to tak jasne. Nie jest to jednak tak, że to się nie stało.",
+    "Hastaların çoğunda serum düzeyi yüksek bulundu ve bu değişim az değildi. Bu durum ilk gün de var idi, ama bir kişi de bunu söylemedi. Bu da bir kez daha şunu gösterdi ki bu ilaç az da olsa iyi bir etki yapar ve bu etki uzun sürer.",
+    "研究结果表明，血清水平在大多数患者中升高。变化不小，并且在第二天仍然存在。所有的患者都接受了治疗，没有人死亡。" * 2,
+)
+
+
+def test_running_text_of_any_language(spark):
+    rows = [(i, t) for i, t in enumerate(FOREIGN)] + [(100 + i, "\n".join(t[k : k + 60] for k in range(0, len(t), 60)).upper()) for i, t in enumerate(FOREIGN[:4])]
+    lists = ["\n".join(f"{mark}{w} {v}" for w in "scar rash wall cornea relapse stomach bladder kidney uterus".split() for v in ("low", "high", "mean")) for mark in ("o ", "  o ", "- ", "")]
+    bad = " ".join(f"Ãâ{w}¿ï" for w in "scar rash wall cornea relapse stomach bladder kidney uterus".split() * 3)
+    rows += [(1000 + i, t) for i, t in enumerate([*lists, bad])]
+    got = {r["doc_id"] for r in text_quality.not_running(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1000 + i for i in range(5)}
+
+
+def test_scripts_absent_from_training(spark):
+    import random
+
+    r = random.Random(8)
+    texts, truth = [], []
+    for letters in ("աեէըիոօբգդզկլմնպստրցք", "აეიოუბგდვზკლმნპრსტხ"):
+        assert letters not in quality_training.SCRIPTS
+        for _ in range(30):
+            language = quality_training.Language(r)
+            language.letters = letters
+            own = lambda low, high: "".join(r.choice(letters) for _ in range(r.randint(low, high)))  # noqa: B023, E731
+            language.short, language.parts = [own(1, 3) for _ in range(15)], [own(1, 3) for _ in range(30)]
+            texts += [language.text(r, 600), "\n".join(f"{language.word(r)} {language.word(r)}" for _ in range(40))]
+            truth += [False, True]
+    x = quality_training.features(spark, texts)
+    said = np.any([quality_training.covers(rule, x) for rule in text_quality.load_rules()], axis=0)
+    assert (said == np.array(truth)).mean() > 0.9
+
+
 def test_held_out_accuracy(spark):
     texts, truth = quality_training.labelled(300, 77)
     x = quality_training.features(spark, texts)
