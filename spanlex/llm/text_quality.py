@@ -20,6 +20,7 @@ and stored as conditions on the statistics; they run as one SQL CASE expression.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame
@@ -57,7 +58,6 @@ MODEL = "quality_rules.json"
 _WORDS = r"[\x00-/:-@\[-^`{-\x7f[^\x00-\x7f\p{L}\p{N}]]+"
 _NO_LETTERS = r"[\x00-@\[-`{-\x7f[^\x00-\x7f\p{L}]]+"
 _NO_DIGITS = r"[\x00-/:-\x7f[^\x00-\x7f\p{N}]]+"
-_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 _SPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
 _STOPS = r"[\u3001\u3002\uff01\uff0c\uff0e\uff1f\u104b\u17d4]|[\p{IsThai}\p{IsLao}]{20}"
 _BLANK = r"[\s\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -67,6 +67,52 @@ def _is_function(word: Column) -> Column:
     return word.isin(*dict.fromkeys(FUNCTION_WORDS))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _is_short(word: Column) -> Column:
+    return (F.length(word) <= SHORT) & (word != "") & (F.translate(word, "0123456789_", "") == word)
+
+
+def _own(words: Column) -> Column:
+    """The short words that a text repeats."""
+    return _let(F.array_sort(F.filter(words, _is_short)), lambda s: F.array_distinct(F.filter(s, lambda w, i: (i > 0) & (w == F.get(s, i - 1)))))
+
+
+def _judged(text: Column) -> Column:
+    """Characters, words and function words of every part of a text with its own words, and its kind.
+
+    1 is a running part by listed words, 2 one by the text's own or by its script, 0 any other.
+    """
+    counted = F.transform(
+        text["c"],
+        lambda x: F.struct(
+            x.alias("x"),
+            (F.size(x["w"]) - (x["w"][0] == "").cast("int") - ((F.size(x["w"]) > 1) & (F.element_at(x["w"], -1) == "")).cast("int")).alias("words"),
+            # a single letter in front is the mark of an item
+            F.size(F.filter(x["w"], lambda w, i: _is_function(w) & ((i > (x["w"][0] == "").cast("int")) | (F.length(w) > 1)))).alias("hits"),
+        ),
+    )
+
+    def kind(p: Column) -> Column:
+        n, part, own = p["x"]["n"], p["x"]["p"], text["own"]
+        listed = (p["hits"] >= LINE_SHARE * p["words"]) & (p["words"] >= 3)
+        echo = (
+            (p["words"] >= 5)
+            & (F.size(own) >= 2)
+            & (F.size(F.filter(p["x"]["w"], lambda w: F.array_contains(own, w))) >= LINE_SHARE * p["words"])
+            & (F.size(F.array_intersect(p["x"]["w"], own)) >= 2)
+            & (F.length(F.regexp_replace(part, _NO_LETTERS, "")) >= LETTERS * n)
+        )
+        # scripts without blanks between words: a line with a mark of a sentence, mostly of such letters
+        dense = (n >= 8) & (p["words"] * 3 <= n) & part.rlike(_STOPS) & (2 * F.length(F.regexp_replace(part, _SPACED, "")) >= n)
+        return F.when(listed, 1).when(echo | dense, 2).otherwise(0)
+
+    return F.transform(counted, lambda p: F.struct(p["x"]["n"].alias("n"), p["words"].alias("words"), p["hits"].alias("hits"), kind(p).alias("kind")))
+
+
 def statistics(docs: DataFrame, common_words: list[str] | None = None) -> DataFrame:
     """One row of statistics per row of ``docs``, with ``doc_id``."""
     text = F.col("text")
@@ -75,46 +121,30 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None) -> DataFr
         rf"if(length(l) > {LONG_LINE}, split(l, '(?<=[.!?;])\\s+'), array(l))))"
     )
     lines = F.expr(r"filter(split(text, '\r\n|\r|\n'), l -> l rlike '\\S')")
-    # each step is evaluated once: what a lambda uses twice is a value of the step before
+    # each step is evaluated once: what is used twice is bound by a step of its own, and only small values leave it
     cut = F.transform(parts, lambda p: F.struct(p.alias("p"), F.length(F.replace(p, F.lit(" "), F.lit(""))).alias("n"), F.split(p, _WORDS).alias("w")))
-    words_in = lambda w: F.size(w) - (w[0] == "").cast("int") - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
-    judged = F.transform(
-        cut,
-        lambda x: F.struct(
-            x["p"].alias("p"), x["n"].alias("n"), x["w"].alias("w"), words_in(x["w"]).alias("words"),
-            # a single letter in front is the mark of an item
-            F.size(F.filter(x["w"], lambda w, i: _is_function(w) & ((i > (x["w"][0] == "").cast("int")) | (F.length(w) > 1)))).alias("hits"),
-        ),
-    )
-    all_words = F.filter(F.split(F.lower("text"), _WORDS), lambda w: w != "")
-    first = docs.select("doc_id", F.regexp_replace(text, _BLANK, "").alias("solid"), lines.alias("lines"), judged.alias("parts"), all_words.alias("words"))
-    short = F.array_sort(F.filter("words", lambda w: (F.length(w) <= SHORT) & (F.translate(w, "0123456789_", "") == w)))
-    second = first.withColumn("dense", F.col("solid").rlike(_DENSE)).withColumn("short", short).withColumn(
-        "own", F.array_distinct(F.filter("short", lambda w, i: (i > 0) & (w == F.get("short", i - 1))))
+    judged = _let(cut, lambda c: _let(F.struct(c.alias("c"), _own(F.flatten(c["w"])).alias("own")), _judged))
+    second = docs.select(
+        "doc_id",
+        F.regexp_replace(text, _BLANK, "").alias("solid"),
+        lines.alias("lines"),
+        judged.alias("parts"),
+        F.filter(F.split(F.lower("text"), _WORDS), lambda w: w != "").alias("words"),
     )
+    short = F.filter("words", _is_short)
     add = lambda acc, x: acc + x
     total = lambda xs: F.aggregate(xs, F.lit(0), add)
-    listed = lambda p: (p["hits"] >= LINE_SHARE * p["words"]) & (p["words"] >= 3)
-    of_own = lambda p: F.size(F.filter(p["w"], lambda w: F.array_contains("own", w)))
-    lettered = lambda p: F.length(F.regexp_replace(p["p"], _NO_LETTERS, "")) >= LETTERS * p["n"]
-    echo = lambda p: (
-        (p["words"] >= 5) & (F.size(F.array_intersect(p["w"], F.col("own"))) >= 2) & (of_own(p) >= LINE_SHARE * p["words"]) & lettered(p)
-    )
-    # scripts without blanks between words: a line with a mark of a sentence, mostly of such letters
-    dense = lambda p: (
-        F.col("dense") & (p["n"] >= 8) & p["p"].rlike(_STOPS) & (2 * F.length(F.regexp_replace(p["p"], _SPACED, "")) >= p["n"])
-    )
     third = second.select(
         "doc_id",
         F.length("solid").alias("n_chars"),
-        F.size("words").alias("n_words"),
+        total(F.transform("parts", lambda p: p["words"])).alias("n_words"),
         F.size("lines").alias("n_lines"),
         F.length(F.regexp_replace("solid", _WORDS, "")).alias("word_chars"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
-        (F.size("short") - F.size(F.array_distinct("short"))).alias("repeated"),
+        (F.size(short) - F.size(F.array_distinct(short))).alias("repeated"),
         total(F.transform("parts", lambda p: p["n"])).alias("part_chars"),
-        total(F.transform(F.filter("parts", listed), lambda p: p["n"])).alias("running_chars"),
-        total(F.transform(F.filter("parts", lambda p: listed(p) | echo(p) | dense(p)), lambda p: p["n"])).alias("echo_chars"),
+        total(F.transform("parts", lambda p: F.when(p["kind"] == 1, p["n"]).otherwise(0))).alias("running_chars"),
+        total(F.transform("parts", lambda p: F.when(p["kind"] > 0, p["n"]).otherwise(0))).alias("echo_chars"),
         total(F.transform("parts", lambda p: p["hits"])).alias("hits"),
         F.length(F.regexp_replace("solid", _NO_DIGITS, "")).alias("digits"),
         F.length(F.regexp_replace("solid", _NO_LETTERS, "")).alias("letters"),
