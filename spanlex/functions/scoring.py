@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +32,12 @@ def bm25(tf: Column, idf_: Column, dl: Column, avdl: Column, k1: float = 1.6, b:
 def bm25_bound(max_tf: Column, idf_: Column, min_dl: Column, avdl: Column, k1: float = 1.6, b: float = 0.75) -> Column:
     """Largest BM25 weight a term can reach: its largest tf in the shortest document."""
     return idf_ * bm25_tf(max_tf, min_dl, avdl, k1, b)
+
+
+def weights_of(
+    method: str, tf: np.ndarray, idf_: np.ndarray, dl: np.ndarray, avdl: float, k1: float = 1.6, b: float = 0.75
+) -> np.ndarray:
+    """The weights of many postings at once, for scoring whole blocks of documents."""
+    if method == "tfidf":
+        return idf_ * (1.0 + np.log(tf))
+    return idf_ * ((k1 + 1.0) * tf / (k1 * ((1.0 - b) + b * (dl / avdl)) + tf))

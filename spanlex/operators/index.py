@@ -6,13 +6,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanlex.functions import codec as C
 from spanlex.functions.text import term_rows, tokens, without_stopwords
+from spanlex.session import durable, shuffle_width
+
+#: Bits of an id inside a range of documents, in which lists are walked, and postings of a stored part of a list.
+RANGE_BITS, PART = 16, 512 * C.BLOCK
+#: A term is heavy if it has more than one in so many times the tasks of all postings.
+SHARE = 4
 
 
 @dataclass(frozen=True)
@@ -112,12 +122,11 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     """Dense term ids from 0 in term order.
 
     Terms are range-partitioned and numbered inside each partition; the offsets of the partitions are
-    a frame of as many rows as partitions. No single task sees all terms.
+    a frame of as many rows as partitions. No single task sees all terms. The ranges are drawn from a sample, so
+    the partitioned terms are written once, and both readings see the same ranges.
     """
-    terms = postings.select("term").distinct()
-    ranged = terms.repartitionByRange("term").sortWithinPartitions("term").withColumn("p", F.spark_partition_id())
-    from pyspark.sql import Window as W
-
+    terms = postings.select("term").distinct().repartitionByRange("term").withColumn("p", F.spark_partition_id())
+    ranged = durable(terms, "vocabulary")
     local = ranged.withColumn("i", F.row_number().over(W.partitionBy("p").orderBy("term")) - 1)
     # one row per partition: bounded by the number of shuffle partitions
     sizes = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
@@ -131,45 +140,114 @@ def lookup(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.join(terms.select("term").distinct(), "term", "left_semi")
 
 
-def posting_lists(postings: DataFrame) -> DataFrame:
-    """One row per term with ids ascending and their frequencies.
+def positioned(postings: DataFrame) -> DataFrame:
+    """``(term, doc_id, tf, gap, at, total)``: every posting's place in its term's list, from 1, and the gap before it.
 
-    This is the codec boundary: a term's whole list is one value, as the storage format wants it.
+    The gap is the difference to the term's previous document id, the first id itself. Lists are walked in
+    ranges of ids, so a term of every document is as many pieces as there are ranges of documents; only the
+    numbers of postings and the last ids of the ranges are carried over. ``postings`` is read twice.
     """
-    pair = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
-    return postings.groupBy("term").agg(pair.alias("l")).select(
-        "term", F.col("l.doc_id").alias("doc_ids"), F.col("l.tf").alias("tfs")
-    )
-
-
-def encode_lists(lists: DataFrame, codec: str) -> DataFrame:
-    return lists.select(
+    ranged = postings.select("term", "doc_id", "tf", F.shiftright("doc_id", RANGE_BITS).alias("range"))
+    pieces = ranged.groupBy("term", "range").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+    across = W.partitionBy("term").orderBy("range")
+    borders = pieces.select(
         "term",
-        F.lit(codec).alias("codec"),
-        C.encode_column("doc_ids", codec, True).alias("postings"),
-        C.encode_column("tfs", codec, False).alias("tfs"),
+        "range",
+        F.coalesce(F.sum("n").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.lag("last", 1, 0).over(across).alias("previous"),
+        F.sum("n").over(W.partitionBy("term")).alias("total"),
     )
-
-
-def decode_lists(encoded: DataFrame, codec: str) -> DataFrame:
-    return encoded.select(
+    inside = W.partitionBy("term", "range").orderBy("doc_id")
+    local = ranged.withColumn("i", F.row_number().over(inside)).withColumn("prior", F.lag("doc_id").over(inside))
+    return local.join(borders, ["term", "range"]).select(
         "term",
-        C.decode_column("postings", codec, True).alias("doc_ids"),
-        C.decode_column("tfs", codec, False).alias("tfs"),
+        "doc_id",
+        "tf",
+        (F.col("doc_id") - F.coalesce("prior", "previous")).alias("gap"),
+        (F.col("before") + F.col("i")).alias("at"),
+        "total",
     )
 
 
 def posting_gaps(postings: DataFrame) -> DataFrame:
-    """Difference to the term's previous document id; the first id itself."""
-    from pyspark.sql import Window as W
+    return positioned(postings).select("term", "doc_id", "tf", "gap", "at")
+
 
-    w = W.partitionBy("term").orderBy("doc_id")
-    return postings.select(
-        "term", "doc_id", "tf", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(w)).alias("gap"),
-        F.row_number().over(w).alias("at"),
+def posting_parts(postings: DataFrame) -> DataFrame:
+    """``(term, part, total, doc_ids, tfs, gaps)``: every term's list, ids ascending, in parts of up to ``PART`` postings.
+
+    Parts hold whole blocks of the codecs, and all but a term's last are full.
+    """
+    rows = positioned(postings).withColumn("part", F.expr(f"cast((at - 1) div {PART} as int)"))
+    packed = F.sort_array(F.collect_list(F.struct("at", "doc_id", "tf", "gap"))).alias("l")  # at most PART
+    return rows.groupBy("term", "part").agg(packed, F.max("total").alias("total")).select(
+        "term", "part", "total", F.col("l.doc_id").alias("doc_ids"), F.col("l.tf").alias("tfs"), F.col("l.gap").alias("gaps")
     )
 
 
+def posting_lists(postings: DataFrame) -> DataFrame:
+    """One row per term with ids ascending and their frequencies: whole lists as one value, for those who want that."""
+    parts = F.sort_array(F.collect_list(F.struct("part", "doc_ids", "tfs"))).alias("l")
+    whole = posting_parts(postings).groupBy("term").agg(parts)
+    return whole.select("term", F.flatten("l.doc_ids").alias("doc_ids"), F.flatten("l.tfs").alias("tfs"))
+
+
+ENCODED = "term string, part int, total bigint, base bigint, codec string, postings binary, tfs binary"
+
+
+def encode_parts(parts: DataFrame, codec: str) -> DataFrame:
+    """Parts of lists as bytes; those of a term one after the other are the bytes of its list. ``base`` is the id before a part."""
+    if codec not in C.CODECS:
+        raise ValueError(f"unknown codec {codec!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            ids, tfs, gaps = (_flat(batch.column(i)) for i in (3, 4, 5))
+            part, total = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            heads = np.where(part == 0, total, -1)
+            begins = ids[1][:-1]
+            base = ids[0][begins] - gaps[0][begins] if n else np.empty(0, dtype=np.int64)
+            out = [_blobs(*C.encode_batch(v, o, codec, heads)) for v, o in (ids if codec == "standard" else gaps, tfs)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(base), pa.array([codec] * n, pa.string()), *out],
+                names=["term", "part", "total", "base", "codec", "postings", "tfs"],
+            )
+
+    return parts.select("term", "part", "total", "doc_ids", "tfs", "gaps").mapInArrow(run, ENCODED)
+
+
+def decode_parts(encoded: DataFrame) -> DataFrame:
+    """``(term, doc_id, tf)`` of encoded parts, each of which names its codec."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, part, base, codec = (batch.column(i) for i in (0, 1, 2, 3))
+            ids, tfs, sizes = [], [], []
+            for p, b, c, x, y in zip(part.to_pylist(), base.to_pylist(), codec.to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                values = C.decode_one(x, c, p == 0)
+                ids.append(values if c == "standard" else b + np.cumsum(values))
+                tfs.append(C.decode_one(y, c, p == 0))
+                sizes.append(len(values))
+            if sizes:
+                again = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [terms.take(again), pa.array(np.concatenate(ids)), pa.array(np.concatenate(tfs))], names=["term", "doc_id", "tf"]
+                )
+
+    return encoded.select("term", "part", "base", "codec", "postings", "tfs").mapInArrow(run, "term string, doc_id bigint, tf bigint")
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all lists of a column, and where each list begins."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _blobs(data: bytes, starts: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def size_standard(postings: DataFrame) -> DataFrame:
     eight = (F.count(F.lit(1)) * 8).alias
     return postings.groupBy("term").agg(eight("postings_bytes"), eight("tfs_bytes"))
@@ -184,8 +262,6 @@ def size_vbe(postings: DataFrame) -> DataFrame:
 
 def _pfor_total(rows: DataFrame, value: str, out: str) -> DataFrame:
     """``4 + sum over blocks of (4 + 3 + slots + exceptions)`` for one stream."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("term", "block")
     ranked = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn(
         "r", F.row_number().over(w.orderBy(F.col(value))) - 1
@@ -210,6 +286,19 @@ def size_pfor(postings: DataFrame) -> DataFrame:
     return _pfor_total(rows, "gap", "postings_bytes").join(_pfor_total(rows, "tf", "tfs_bytes"), "term")
 
 
-def salt(col: Column, width: int) -> Column:
-    """A stable bucket of a key, for spreading the rows of a hot term by document."""
-    return F.pmod(F.xxhash64(col), F.lit(width)).cast("int")
+def with_statistics(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """Postings with the statistics ``(term, df, ...)`` of their term, heavy terms spread over tasks.
+
+    A heavy term has more than one in ``SHARE * tasks`` of the postings, so there are fewer than that many, which is
+    the bound that makes them fit for a broadcast. Its postings get a salt by document, its statistics are
+    repeated for every salt.
+    """
+    most = SHARE * shuffle_width(postings.sparkSession)
+    whole = stats.agg(F.sum("df").alias("all"))  # one row
+    heavy = stats.crossJoin(F.broadcast(whole)).where(F.col("df") * most > F.col("all"))
+    heavy = F.broadcast(heavy.select("term", F.ceil(F.col("df") * most / F.col("all")).cast("int").alias("salts")))
+    spread = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts"))).cast("int")
+    left = postings.join(heavy, "term", "left").withColumn("salt", spread).drop("salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    right = stats.join(heavy, "term", "left").withColumn("salt", copies).drop("salts")
+    return left.join(right, ["term", "salt"]).drop("salt")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlex.functions import scoring as S
-from spanlex.operators.index import Index
+from spanlex.operators.index import Index, with_statistics
 from spanlex.operators.retrieve import query_terms, top_k
 from spanlex.operators.vectors import top_inner_products
 
@@ -39,7 +39,7 @@ class Model:
 
 def cells(index: Index) -> DataFrame:
     """``(term, doc_id, w)``: the tf-idf weighted matrix."""
-    rows = index.postings.join(index.term_stats.select("term", "df"), "term").crossJoin(F.broadcast(index.corpus_stats))
+    rows = with_statistics(index.postings, index.term_stats.select("term", "df")).crossJoin(F.broadcast(index.corpus_stats))
     return rows.select("term", "doc_id", S.tfidf(F.col("tf"), S.idf(F.col("n"), F.col("df"))).alias("w"))
 
 

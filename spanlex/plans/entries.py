@@ -11,7 +11,8 @@ from spanlex.functions import codec as C
 from spanlex.functions import scoring as S
 from spanlex.operators import evaluate, index, lsi, partials, retrieve
 from spanlex.operators.index import FULL, STOPPED, SURFACE, Analyzer, Index
-from spanlex.session import durable, table
+from spanlex.session import durable, fresh_path, table
+from spanlex.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,10 +122,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 # --- codecs -----------------------------------------------------------------------------------------
 
 
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """Postings as a written table, for what reads them twice."""
+    return durable(plain_postings(spark, d), "postings")
+
+
 @query
 def postings_list(spark: SparkSession, d: str) -> DataFrame:
     """Every term's documents ascending with their frequencies, as text."""
-    lists = index.posting_lists(plain_postings(spark, d))
+    lists = index.posting_lists(_written(spark, d))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return lists.select("term", text("doc_ids"), text("tfs"))
 
@@ -132,7 +138,7 @@ def postings_list(spark: SparkSession, d: str) -> DataFrame:
 @query
 def vbe_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Differences of successive document ids."""
-    return index.posting_gaps(plain_postings(spark, d)).select("term", "doc_id", "gap")
+    return index.posting_gaps(_written(spark, d)).select("term", "doc_id", "gap")
 
 
 @query
@@ -144,40 +150,75 @@ def standard_bytes_per_term(spark: SparkSession, d: str) -> DataFrame:
 @query
 def vbe_bytes_per_term(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of every term's lists in the variable-byte codec."""
-    return index.size_vbe(plain_postings(spark, d))
+    return index.size_vbe(_written(spark, d))
 
 
 @query
 def optpfor_bytes_per_term(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of every term's lists in the patched frame-of-reference codec."""
-    return index.size_pfor(durable(plain_postings(spark, d), "postings"))
+    return index.size_pfor(_written(spark, d))
 
 
-def _encoded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    lists = durable(index.posting_lists(plain_postings(spark, d)), "lists")
-    return {name: index.encode_lists(lists, name) for name in C.CODECS}
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    """All lists in all codecs, in parts."""
+    parts = durable(index.posting_parts(_written(spark, d)), "parts")
+    out = [index.encode_parts(parts, name) for name in C.CODECS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query
 def codec_bytes_per_term(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of every term's lists as really encoded, by codec."""
-    parts = [
-        e.select("term", "codec", F.length("postings").cast("bigint").alias("postings_bytes"), F.length("tfs").cast("bigint").alias("tfs_bytes"))
-        for e in _encoded(spark, d).values()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _encoded(spark, d).groupBy("term", "codec").agg(
+        F.sum(F.length("postings")).alias("postings_bytes"), F.sum(F.length("tfs")).alias("tfs_bytes")
+    )
 
 
 @query
 def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Lists decoded from their bytes, by codec, as postings."""
-    out = None
-    for name, encoded in _encoded(spark, d).items():
-        pair = F.explode(F.arrays_zip("doc_ids", "tfs")).alias("p")
-        rows = index.decode_lists(encoded, name).select("term", pair)
-        rows = rows.select(F.lit(name).alias("codec"), "term", F.col("p.doc_ids").alias("doc_id"), F.col("p.tfs").alias("tf"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    encoded = durable(_encoded(spark, d), "encoded")
+    out = [index.decode_parts(encoded.where(F.col("codec") == name)).withColumn("codec", F.lit(name)) for name in C.CODECS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _stored(spark: SparkSession, d: str, codec: str) -> str:
+    """The path of the collection's index, stored afresh."""
+    path = fresh_path(spark, "index")
+    store.save(built(spark, d), path, codec)
+    return path
+
+
+@query
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Term statistics of an index that was stored with encoded lists and read back."""
+    return index.term_stats(store.load(spark, _stored(spark, d, "vbe")).postings)
+
+
+@query
+def stored_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of three terms and an unknown one, read from a stored index by its term."""
+    return store.point_lookup(spark, _stored(spark, d, "optpfordelta"), ["the", "serum", "kidney", "zzzunknown"])
+
+
+@query
+def stored_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten best documents of every query by BM25, ranked from a stored index."""
+    return retrieve.retrieve(store.load(spark, _stored(spark, d, "vbe")), asked(spark, d), "bm25")
+
+
+@query
+def sequential_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of all lists of an index in the order of a sequential reader: their size and first and last document."""
+    parts = store.scan(built(spark, d))
+    return parts.select("term", "part", F.size("doc_ids").alias("n"), F.get("doc_ids", 0).alias("first_id"), F.element_at("doc_ids", -1).alias("last_id"))
+
+
+@query
+def merge_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of postings, of documents with even ids and of all, merged: frequencies of what both hold are summed."""
+    post = _written(spark, d)
+    return index.merge_postings(post.where("doc_id % 2 = 0"), post)
 
 
 # --- weights and retrieval --------------------------------------------------------------------------

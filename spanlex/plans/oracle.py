@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from spanlex.functions.codec import BLOCK
 from spanlex.functions.stopwords import ENGLISH
+from spanlex.operators.index import PART
 
 K1, B = "1.6", "0.75"
 
@@ -221,6 +222,13 @@ select doc_id, cast(coalesce(len(w), 0) as bigint) as n_tokens, cast(coalesce(le
     + pfor("tf", "tfs")
     + " "
     + " union all ".join(f"select term, '{c}' as codec, postings_bytes, tfs_bytes from ({sql})" for c, sql in SIZES.items()),
+    "store_roundtrip": _S + " select term, df, max_tf, cf from tstat",
+    "stored_lookup": _W + " select term, doc_id, tf from post where term in ('the', 'serum', 'kidney')",
+    "stored_topk": _Q + scores("bm25") + ranked() + SHOW,
+    "sequential_scan": _W
+    + f""", placed as (select *, row_number() over (partition by term order by doc_id) - 1 as pos from post)
+select term, cast(pos // {PART} as int) as part, cast(count(*) as int) as n, min(doc_id) as first_id, max(doc_id) as last_id from placed group by 1, 2""",
+    "merge_two_runs": _W + " select term, doc_id, cast(tf * (case when doc_id % 2 = 0 then 2 else 1 end) as bigint) as tf from post",
     "codec_roundtrip": _W
     + " select codec, term, doc_id, tf from post, (values ('standard'), ('vbe'), ('optpfordelta')) c(codec)",
     "idf": _S + f" select term, round({IDF}, 6) as idf from tstat, corpus",

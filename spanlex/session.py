@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/spanlex/{what}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, what: str = "stage") -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
@@ -39,7 +44,7 @@ def durable(df: DataFrame, what: str = "stage") -> DataFrame:
     is used for every call, so nothing is ever overwritten.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanlex/{what}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

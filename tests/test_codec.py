@@ -53,3 +53,33 @@ def test_refusals():
         C.encode([1], "zip", True)
     with pytest.raises(ValueError):
         C.decode(b"", "zip", True)
+
+
+def test_lists_in_parts(spark, monkeypatch):
+    """Lists that go through many ranges of ids and many parts: places, gaps, bytes and numbers are those of whole lists."""
+    from pyspark.sql import functions as F
+
+    from spanlex.operators import index
+
+    monkeypatch.setattr(index, "RANGE_BITS", 5)
+    monkeypatch.setattr(index, "PART", 2 * C.BLOCK)
+    r = random.Random(3)
+    lists = {"hot": list(range(0, 3000, 2)), "one": [7], "far": sorted(r.sample(range(10**9), 400)), "full": list(range(256)), "last": list(range(5, 5 + 257))}
+    tfs = {t: [r.choice([1, 1, 2, 700, 10**6]) for _ in ids] for t, ids in lists.items()}
+    rows = [(t, d, f) for t, ids in lists.items() for d, f in zip(ids, tfs[t])]
+    r.shuffle(rows)
+    postings = spark.createDataFrame(rows, "term string, doc_id bigint, tf bigint")
+    parts = index.posting_parts(postings)
+    whole = {x["term"]: (x["doc_ids"], x["tfs"]) for x in index.posting_lists(postings).collect()}
+    assert whole == {t: (ids, tfs[t]) for t, ids in lists.items()}
+    assert parts.agg(F.max(F.size("doc_ids"))).first()[0] == 2 * C.BLOCK
+    for name in C.CODECS:
+        encoded = index.encode_parts(parts, name)
+        got = {}
+        for x in encoded.orderBy("term", "part").collect():
+            a, b = got.get(x["term"], (b"", b""))
+            got[x["term"]] = a + bytes(x["postings"]), b + bytes(x["tfs"])
+        assert got == {t: (C.encode(ids, name, True), C.encode(tfs[t], name, False)) for t, ids in lists.items()}
+        assert sorted(map(tuple, index.decode_parts(encoded).collect())) == sorted(rows)
+    with pytest.raises(ValueError):
+        index.encode_parts(parts, "zip")

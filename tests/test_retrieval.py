@@ -96,6 +96,25 @@ def test_wand_admission(spark):
     assert {q: got.get(q, []) for q in expected} == expected
 
 
+@pytest.mark.parametrize("held, cells", [(10**6, 8_000_000), (5, 60)])
+def test_blocks_equal_joins(spark, monkeypatch, held, cells):
+    """Block-wise scoring gives the rows of the joins, with many ties, zero weights, small blocks and early cuts."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(9)]
+    docs = [(d, f"n{r.randint(0, 40):02d}" if d % 7 else None, "b", " ".join(["all", *(r.choice(words) for _ in range(r.choice([2, 2, 3, 6])))])) for d in range(220)]
+    index = build(spark.createDataFrame(docs, "doc_id bigint, doc_name string, block string, text string"))
+    q = asked(spark, "w1 w2 w2", "all", "all w3", "zzz", "w4 w5 w6 w7 all all", "w8", "", None)
+    monkeypatch.setattr(retrieve, "HELD", held)
+    monkeypatch.setattr(retrieve, "CELLS", cells)
+    for method in ("tfidf", "bm25", "bm25_wand"):
+        for k in (1, 4, 300):
+            rows = lambda: sorted((x["qid"], x["rank"], x["score"], x["doc_name"] or "") for x in retrieve.retrieve(index, q, method, k).collect())  # noqa: B023, E731
+            blocks = rows()
+            monkeypatch.setattr(retrieve, "QUERY_ROWS", 0)
+            assert blocks == rows() and blocks
+            monkeypatch.setattr(retrieve, "QUERY_ROWS", 2_000_000)
+
+
 def test_metrics(spark):
     frame = spark.createDataFrame([("q", i + 1, rel) for i, rel in enumerate([1, 0, 1, 1, 0])], "qid string, rank int, rel int")
     value = lambda name: evaluate.metric(frame, name).first()["value"]

@@ -45,6 +45,8 @@ def test_store(spark, tree, codec):
     key = lambda i: sorted(map(tuple, i.postings.select("doc_id", "term", "tf").collect()))
     assert key(loaded) == key(index) and loaded.analyzer == FULL
     assert [r["term"] for r in store.scan(loaded).collect()] == sorted({t for _, t, _ in key(index)})
+    got = sorted(map(tuple, store.point_lookup(spark, path, ["appl", "zzz"]).select("doc_id", "term", "tf").collect()))
+    assert got == [x for x in key(index) if x[1] == "appl"] and len(got) == 2
     with pytest.raises(Exception):
         store.save(index, path, codec)
 
