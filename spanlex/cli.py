@@ -1,8 +1,8 @@
 """Command line: build an index, search it, evaluate it.
 
     python -m spanlex.cli build --data_dir collection --output_dir index [--method spimi|bsbi]
-        [--compression standard|vbe|optpfordelta] [--lsi] [--lsi_k 100]
-    python -m spanlex.cli search "words" [-k 10] [-m tfidf|bm25|bm25_wand|lsi] [--output_dir index]
+        [--compression standard|vbe|optpfordelta] [--lsi] [--lsi_k 100] [--memory_threshold 10]
+    python -m spanlex.cli search "words" [-k 10] [-m tfidf|bm25|bm25_wand|lsi] [--output_dir index] [--data_dir collection]
     python -m spanlex.cli search --file queries.txt ...
     python -m spanlex.cli evaluate --metric RBP --scoring bm25 --queries queries.txt --qrels qrels.txt
 """
@@ -41,6 +41,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     b.add_argument("--lsi_k", type=int, default=100)
     b.add_argument("--data_dir", default="collection")
     b.add_argument("--output_dir", default="index")
+    b.add_argument("--memory_threshold", type=float, help="MB after which counts are spilled; the session's memory settings decide that here")
     s = commands.add_parser("search")
     which = s.add_mutually_exclusive_group(required=True)
     which.add_argument("query", nargs="?")
@@ -48,6 +49,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     s.add_argument("-k", type=int, default=10)
     s.add_argument("--method", "-m", choices=METHODS, default="tfidf")
     s.add_argument("--output_dir", default="index")
+    s.add_argument("--data_dir", help="folder of the collection; the beginning of each document found is shown")
     e = commands.add_parser("evaluate")
     e.add_argument("--metric", choices=evaluate.METRICS, default="RBP", type=str.upper)
     e.add_argument("--scoring", choices=METHODS, default="tfidf", type=str.lower)
@@ -71,28 +73,40 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"Error: file {args.file!r} not found.")
             return 1
         queries = collection.plain_queries(spark, args.file) if args.file else spark.createDataFrame([("1", args.query)], "qid string, text string")
-        show(queries, ranked(spark, index, args.output_dir, queries, args.method, args.k), args.method)
+        ranking = ranked(spark, index, args.output_dir, queries, args.method, args.k)
+        if args.data_dir:
+            texts = collection.text_collection(spark, args.data_dir).select("doc_name", F.substring(F.trim("text"), 1, 60).alias("start"))
+            ranking = ranking.join(texts, "doc_name", "left")
+        show(queries, ranking, args.method)
         return 0
     queries = collection.keyed_queries(spark, args.queries)
+    judgments = collection.qrels(spark, args.qrels)
+    unjudged = queries.join(judgments, "qid", "left_anti").count()
+    if unjudged == queries.count():
+        print(f"Error: {args.qrels!r} has no judgment of any query of {args.queries!r}.")
+        return 1
+    if unjudged:
+        print(f"Note: {unjudged} queries have no judgment.")
     ranking = ranked(spark, index, args.output_dir, queries, args.scoring, args.k)
     numbered = ranking.withColumn("doc_id", evaluate.doc_number())
-    value = evaluate.mean(evaluate.judge(numbered, collection.qrels(spark, args.qrels)), args.metric).first()["value"]
+    value = evaluate.mean(evaluate.judge(numbered, judgments), args.metric).first()["value"]
     print(f"Mean {args.metric} of {args.scoring} over {queries.count()} queries = {value}")
     return 0
 
 
 def show(queries: DataFrame, ranking: DataFrame, method: str) -> None:
-    """Print rankings: k rows per query."""
-    results: dict[str, list] = {}
-    for r in ranking.orderBy("qid", "rank").collect():
-        results.setdefault(r["qid"], []).append(r)
-    for q in queries.orderBy(F.length("qid"), "qid").collect():
-        print(f"Query  : {q['text']}\nMethod : {method}\nResults :")
-        for r in results.get(q["qid"], []):
-            print(f"  {r['doc_name']:30} {r['score']:>.3f}")
-        if q["qid"] not in results:
-            print("  No results found.")
-        print("-" * 40)
+    """Print a table of rankings: k rows per query, in the order of the queries."""
+    lists: dict[str, list] = {}
+    for row in ranking.orderBy("qid", "rank").collect():
+        lists.setdefault(row["qid"], []).append(row.asDict())
+    for qid, text in queries.orderBy(F.length("qid"), "qid").select("qid", "text").collect():
+        print(f"[{method}] {text}")
+        for row in lists.get(qid, [{}]):
+            if not row:
+                print("    No results found.")
+                continue
+            start = " ".join((row.get("start") or "").split())
+            print(f"{row['rank']:>5}. {row['score']:9.4f}  {row['doc_name']}" + (f"  {start}" if start else ""))
 
 
 if __name__ == "__main__":

@@ -6,18 +6,22 @@ length. U is never built: U'q = S^-1 V' (A'q), and A'q are plain tf-idf sums of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix, RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlex.functions import scoring as S
-from spanlex.operators.index import Index, with_statistics
-from spanlex.operators.retrieve import query_terms, top_k
-from spanlex.operators.vectors import top_inner_products
+from spanlex.operators.index import Index, vocabulary, with_statistics
+from spanlex.operators.retrieve import CELLS, DOCUMENTS, Batch, batch_of, hits_of, top_k
+from spanlex.operators.vectors import nearest
+from spanlex.session import durable
 
 #: Documents up to which the Gram matrix is decomposed on the driver (its size is the square of this).
 DENSE_LIMIT = 4000
@@ -73,14 +77,13 @@ def build(index: Index, k: int | None = None) -> Model:
         v = vectors[:, order][:, keep]
         pairs = [(d, [float(x) for x in row]) for d, row in zip(ids, v)]
         return Model(spark.createDataFrame(pairs, "doc_id bigint, v array<double>"), [float(s) for s in sigma[keep]])
-    from spanlex.operators.index import vocabulary
-
     coded = matrix.join(vocabulary(index.postings), "term")
-    by_doc = coded.groupBy("doc_id").agg(F.collect_list(F.struct("term_id", "w")).alias("x")).persist()
-    rows = by_doc.rdd.map(lambda r: (r["doc_id"], Vectors.sparse(terms, {c["term_id"]: c["w"] for c in r["x"]}))).cache()
-    svd = RowMatrix(rows.map(lambda r: r[1]), numCols=terms).computeSVD(k, computeU=True, rCond=TOLERANCE)
-    left = rows.map(lambda r: r[0]).zip(svd.U.rows.map(lambda u: [float(x) for x in u]))
-    return Model(spark.createDataFrame(left, "doc_id bigint, v array<double>"), [float(s) for s in svd.s])
+    # a written table: rows come in one order whatever is read again, and documents keep their ids
+    by_doc = durable(coded.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("x")), "lsi-rows")
+    rows = by_doc.rdd.map(lambda r: IndexedRow(r["doc_id"], Vectors.sparse(terms, [c["term_id"] for c in r["x"]], [c["w"] for c in r["x"]])))
+    svd = IndexedRowMatrix(rows.persist(StorageLevel.MEMORY_AND_DISK), numCols=terms).computeSVD(k, computeU=True, rCond=TOLERANCE)
+    left = svd.U.rows.map(lambda r: (r.index, [float(x) for x in r.vector]))
+    return Model(durable(spark.createDataFrame(left, "doc_id bigint, v array<double>"), "lsi-vectors"), [float(s) for s in svd.s])
 
 
 def unit_documents(model: Model) -> DataFrame:
@@ -97,24 +100,68 @@ def _unit(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def fold(index: Index, model: Model, queries: DataFrame) -> DataFrame:
-    """``(qid, vec)``: queries in the space of the model, repeated terms damped as in documents."""
-    asked = query_terms(queries, index).join(index.term_stats.select("term", "df"), "term")
-    asked = asked.crossJoin(F.broadcast(index.corpus_stats))
-    asked = asked.select("qid", "term", S.tfidf(F.col("qtf"), S.idf(F.col("n"), F.col("df"))).alias("q"))
-    products = asked.join(cells(index), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("t"))
-    parts = products.join(model.doc_vectors, "doc_id").select("qid", "t", F.posexplode("v").alias("j", "v"))
-    sums = parts.groupBy("qid", "j").agg(F.sum(F.col("t") * F.col("v")).alias("x"))
-    rows = sums.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("l"))
-    inverse = F.array(*[F.lit(1.0 / (s * s)) for s in model.sigma])
-    return _unit(rows.select("qid", F.zip_with(F.col("l.x"), inverse, lambda x, i: x * i).alias("x")), "qid")
+def fold(index: Index, model: Model, queries: Batch) -> np.ndarray:
+    """Queries in the space of the model, of length one, repeated terms damped as in documents; zeros for those without any.
+
+    The sums over documents are built block by block in every task; what is shuffled is a vector per query and task.
+    """
+    hits, df = hits_of(index, queries)
+    n_docs = max(1, index.corpus_stats.first()["n"])
+    idf = np.where(df > 0, np.log(n_docs / np.maximum(df, 1)), 0.0)
+    asked = idf[queries.place] * (1.0 + np.log(queries.times))
+    rows = hits.join(model.doc_vectors, "doc_id").select(F.col("x.t").alias("t"), F.col("x.tf").alias("tf"), "v")
+    k, number = model.k, len(queries.qids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((number, k))
+        size = max(16, min(DOCUMENTS, CELLS // max(1, len(queries.terms), number)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                block = batch.slice(at, size)
+                t, tf, v = (block.column(i).flatten().to_numpy() for i in (0, 1, 2))
+                weight = np.zeros((len(queries.terms), block.num_rows))
+                place = np.repeat(np.arange(block.num_rows), np.diff(block.column(0).offsets.to_numpy()))
+                weight[t, place] = S.weights_of("tfidf", tf.astype(float), idf[t], tf, 1.0)
+                products = np.zeros((number, block.num_rows))
+                for i in range(number):
+                    some = slice(queries.start[i], queries.start[i + 1])
+                    products[i] = asked[some] @ weight[queries.place[some]]
+                total += products @ v.reshape(block.num_rows, k)
+        there = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(list(total[there]), pa.list_(pa.float64()))], names=["q", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for q, x in zip(batch.column(0).to_pylist(), batch.column(1).flatten().to_numpy().reshape(-1, k)):
+                total[q] = total.get(q, 0.0) + x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["q", "x"])
+
+    sums = rows.mapInArrow(run, "q int, x array<double>").repartition("q").mapInArrow(add, "q int, x array<double>").toArrow()  # at most CELLS numbers
+    out = np.zeros((number, k))
+    if sums.num_rows:
+        out[sums.column(0).to_numpy()] = np.array(sums.column(1).to_pylist())
+    out /= np.square(model.sigma)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.where(norm > 1e-12, out / np.maximum(norm, 1e-300), 0.0)
 
 
 def retrieve(index: Index, model: Model, queries: DataFrame, k: int = 10) -> DataFrame:
     """Top k documents of every query by cosine; negative ones count. Queries without known terms have none."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    scores = top_inner_products(fold(index, model, queries), unit_documents(model), k)
-    ranked = top_k(scores.withColumn("score", F.round("score", 9)).join(index.names, "doc_id"), k)
+    batch = batch_of(queries, index)
+    if batch is None:  # two halves, each with its own pass
+        half = F.pmod(F.xxhash64("qid"), F.lit(2))
+        return retrieve(index, model, queries.where(half == 0), k).unionByName(retrieve(index, model, queries.where(half == 1), k))
+    docs = durable(unit_documents(model).join(index.names, "doc_id").select("doc_id", "doc_name", "vec"), "lsi-documents")
+    most = max(1, CELLS // max(1, model.k))
+    out = None
+    for at in range(0, max(1, len(batch.qids)), most):
+        some = batch.some(at, at + most)
+        vectors = fold(index, model, some)
+        there = np.flatnonzero(vectors.any(axis=1))
+        rows = nearest(docs, [some.qids[i] for i in there], vectors[there], k)
+        out = rows if out is None else out.unionByName(rows)
+    ranked = top_k(out, k)
     return ranked.select("qid", "rank", "doc_id", "doc_name", F.round("score", 6).alias("score"))
-

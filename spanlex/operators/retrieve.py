@@ -79,6 +79,11 @@ class Batch:
     times: np.ndarray
     terms: list[str]
 
+    def some(self, first: int, last: int) -> Batch:
+        """The queries from ``first`` up to ``last``."""
+        a, b = self.start[first], self.start[min(last, len(self.qids))]
+        return Batch(self.qids[first:last], self.start[first : min(last, len(self.qids)) + 1] - a, self.place[a:b], self.times[a:b], self.terms)
+
 
 def batch_of(queries: DataFrame, index: Index) -> Batch | None:
     """The queries as arrays; None if they hold more than ``QUERY_ROWS`` terms."""
@@ -94,6 +99,16 @@ def batch_of(queries: DataFrame, index: Index) -> Batch | None:
     return Batch(qids, start, term.indices.to_numpy(), rows.column(2).to_numpy().astype(float), term.dictionary.to_pylist())
 
 
+def hits_of(index: Index, queries: Batch) -> tuple[DataFrame, np.ndarray]:
+    """``(doc_id, x)`` of documents with terms of the queries, x being (place t, tf) of each; and the documents of each term."""
+    terms = index.postings.sparkSession.createDataFrame(list(enumerate(queries.terms)), "t int, term string")  # at most QUERY_ROWS
+    hits = durable(index.postings.join(F.broadcast(terms), "term").select("t", "doc_id", "tf"), "hits")
+    df = np.zeros(len(queries.terms), dtype=np.int64)
+    for r in hits.groupBy("t").count().collect():  # at most as many as terms
+        df[r["t"]] = r["count"]
+    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("t", "tf")).alias("x")), df  # lists of at most as many as terms
+
+
 def best(index: Index, queries: Batch, method: str, k: int, k1: float = 1.6, b: float = 0.75, by_id: bool = False) -> DataFrame:
     """``(qid, doc_id, doc_name, score)``: of every task the documents that may be among the k best of a query.
 
@@ -101,18 +116,12 @@ def best(index: Index, queries: Batch, method: str, k: int, k1: float = 1.6, b:
     """
     if method not in ("bm25", "tfidf"):
         raise ValueError(f"unknown method {method!r}")
-    spark = index.postings.sparkSession
-    terms = spark.createDataFrame(list(enumerate(queries.terms)), "t int, term string")  # at most QUERY_ROWS
-    hits = durable(index.postings.join(F.broadcast(terms), "term").select("t", "doc_id", "tf"), "hits")
-    df = np.zeros(len(queries.terms), dtype=np.int64)
-    for r in hits.groupBy("t").count().collect():  # at most as many as terms
-        df[r["t"]] = r["count"]
+    hits, df = hits_of(index, queries)
     lengths = durable(index.doc_stats, "lengths")
     whole = lengths.where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avdl")).first()
     n_docs, avdl = max(1, whole["n"]), whole["avdl"] or 1.0
     idf = np.where(df > 0, np.log(n_docs / np.maximum(df, 1)), 0.0)
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("t", "tf")).alias("x"))  # at most as many as terms
-    rows = by_doc.join(lengths, "doc_id").join(index.names, "doc_id")
+    rows = hits.join(lengths, "doc_id").join(index.names, "doc_id")
     rows = rows.select("doc_id", "doc_name", "dl", F.col("x.t").alias("t"), F.col("x.tf").alias("tf"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +150,19 @@ def best(index: Index, queries: Batch, method: str, k: int, k1: float = 1.6, b:
     return rows.mapInArrow(run, "qid string, doc_id bigint, doc_name string, score double")
 
 
+def _runs(flags: np.ndarray, owner: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flags set before each owner's first row, and the rows of each owner."""
+    sizes = np.bincount(owner, minlength=number)
+    first = np.append(0, np.cumsum(sizes))[:-1]
+    return np.append(0, np.cumsum(flags))[first], sizes
+
+
 class _Task:
     """What a task has found so far."""
 
-    def __init__(self, queries: Batch, k: int, by_id: bool):
+    def __init__(self, queries: Batch, k: int, by_id: bool, floor: float = 0.0):
         self.queries, self.k, self.by_id = queries, k, by_id
-        self.least = np.zeros(len(queries.qids))
+        self.least = np.full(len(queries.qids), floor)
         self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]] = []
         self.held = 0
 
@@ -179,6 +195,25 @@ class _Task:
             self.parts.append((np.concatenate(owner), ids[at], names.take(pa.array(at)), np.concatenate(scores)))
             self.held += len(at)
 
+    def take(self, scores: np.ndarray, ids: np.ndarray, names: pa.Array) -> None:
+        """Keep the k best of every row of scores, of whatever sign, of documents in the order of ties."""
+        n = scores.shape[1]
+        if n > self.k:
+            kth = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
+        else:
+            kth = np.full(len(scores), -np.inf)
+        q, at = np.nonzero((scores >= kth[:, None]) & (scores >= self.least[:, None]))
+        # rows are in order, and documents in the order of ties inside a row
+        above = scores[q, at] > kth[q]
+        ties = np.cumsum(~above) - np.repeat(*_runs(~above, q, len(scores)))
+        room = self.k - np.bincount(q[above], minlength=len(scores))
+        keep = above | (ties <= room[q])
+        q, at = q[keep], at[keep]
+        if n > self.k:
+            self.least = np.maximum(self.least, kth)
+        self.parts.append((q, ids[at], names.take(pa.array(at)), scores[q, at]))
+        self.held += len(q)
+
     def joined(self) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         q, ids, names, scores = zip(*self.parts)
         return np.concatenate(q), np.concatenate(ids), pa.concat_arrays(names), np.concatenate(scores)
@@ -200,7 +235,7 @@ class _Task:
             first = np.searchsorted(q[at], np.arange(len(self.queries.qids)))
             keep[at[np.arange(len(at)) - first[q[at]] < self.k]] = True
         full = np.bincount(q, minlength=len(least)) >= self.k
-        self.least = np.where(full, np.maximum(self.least, np.where(np.isfinite(least), least, 0.0)), self.least)
+        self.least = np.where(full & np.isfinite(least), np.maximum(self.least, least), self.least)
         self.parts = [(q[keep], ids[keep], names.filter(pa.array(keep)), scores[keep])]
         self.held = int(keep.sum())
 

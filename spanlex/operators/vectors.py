@@ -1,4 +1,4 @@
-"""Inner-product top-k of a set of query vectors against all document vectors, block by block."""
+"""Inner-product top-k of a bounded set of query vectors against all document vectors, block by block."""
 
 from __future__ import annotations
 
@@ -6,45 +6,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BLOCK = 2048
+from spanlex.operators.retrieve import CELLS, DOCUMENTS, HELD, Batch, _Task
 
 
-def _blocks(rows: DataFrame, key: str, n: int, prefix: str) -> DataFrame:
-    """Rows gathered into blocks of about ``BLOCK``: keys, and vectors one after the other."""
-    number = max(1, -(-n // BLOCK))
-    return (
-        rows.groupBy(F.pmod(F.xxhash64(key), F.lit(number)).alias(f"{prefix}_block"))
-        .agg(F.collect_list(F.struct(key, "vec")).alias("x"))
-        .select(F.col(f"x.{key}").alias(f"{prefix}_keys"), F.flatten("x.vec").alias(f"{prefix}_vecs"))
-    )
+def nearest(docs: DataFrame, qids: list[str], vectors: np.ndarray, k: int) -> DataFrame:
+    """``(qid, doc_id, doc_name, score)``: of every task the k best documents of each query, for a final ranking.
 
-
-def top_inner_products(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """``(qid, doc_id, score)``: per query and block of documents the k best, for a final ranking.
-
-    ``queries(qid, vec)`` and ``docs(doc_id, vec)`` hold vectors of one length. Every pair of a query block
-    and a document block is one row, so memory per task is two blocks and nothing is broadcast.
+    ``docs(doc_id, doc_name, vec)`` are compared where they lie, in blocks; a task sends on k rows per query.
+    The query vectors go to all tasks, so they have to be bounded by the caller. Scores are rounded to nine
+    digits, and ties go by name, descending.
     """
-    q = _blocks(queries, "qid", queries.count(), "q")
-    d = _blocks(docs, "doc_id", docs.count(), "d")
+    none = np.empty(0, dtype=np.int64)
+    asked = Batch(qids, none, none, none, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Task(asked, k, False, -np.inf)
+        size = max(16, min(DOCUMENTS, CELLS // max(1, len(qids))))
         for batch in batches:
-            for i in range(batch.num_rows):
-                qids, ids = batch.column(0)[i].as_py(), batch.column(2)[i].values.to_numpy()
-                x = batch.column(1)[i].values.to_numpy().reshape(len(qids), -1)
-                y = batch.column(3)[i].values.to_numpy().reshape(len(ids), -1)
-                scores = x @ y.T
-                # ties at the last place stay in, the final ranking decides them
-                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else scores.min(axis=1)
-                a, b = np.nonzero(scores >= least[:, None] - 1e-9)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([qids[j] for j in a], pa.string()), pa.array(ids[b], pa.int64()), pa.array(scores[a, b])],
-                    names=["qid", "doc_id", "score"],
-                )
-
-    pairs = q.crossJoin(d).select("q_keys", "q_vecs", "d_keys", "d_vecs")
-    return pairs.mapInArrow(run, "qid string, doc_id bigint, score double")
+            for at in range(0, batch.num_rows if qids else 0, size):
+                block = batch.slice(at, size)
+                order = pc.array_sort_indices(block.column(1), order="descending").to_numpy()
+                rows = block.column(2).flatten().to_numpy().reshape(block.num_rows, -1)[order]
+                task.take(np.round(vectors @ rows.T, 9), block.column(0).to_numpy()[order], block.column(1).take(pa.array(order)))
+                if task.held > HELD:
+                    task.cut()
+        yield from task.rows()
+
+    return docs.select("doc_id", "doc_name", "vec").mapInArrow(run, "qid string, doc_id bigint, doc_name string, score double")

@@ -304,6 +304,20 @@ def lsi_topk(spark: SparkSession, d: str) -> DataFrame:
     return lsi.retrieve(built_index, lsi.build(built_index), asked(spark, d))
 
 
+@query
+def lsi_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of every query's ranking by latent semantic indexing: rows, whether ranks are dense, scores fall, and are cosines."""
+    rows = lsi_topk(spark, d).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "score"))).alias("l"))  # ten rows
+    falls = F.forall(F.sequence(F.lit(1), F.size("l")), lambda i: (i == 1) | (F.element_at("l", i)["score"] <= F.element_at("l", F.greatest(i - 1, F.lit(1)))["score"]))
+    return rows.select(
+        "qid",
+        F.size("l").cast("bigint").alias("n"),
+        (F.col("l.rank") == F.sequence(F.lit(1), F.size("l"))).alias("dense"),
+        falls.alias("falling"),
+        F.forall("l.score", lambda x: F.abs(x) <= 1.000001).alias("cosines"),
+    )
+
+
 # --- evaluation -------------------------------------------------------------------------------------
 
 

@@ -228,6 +228,10 @@ select doc_id, cast(coalesce(len(w), 0) as bigint) as n_tokens, cast(coalesce(le
     "sequential_scan": _W
     + f""", placed as (select *, row_number() over (partition by term order by doc_id) - 1 as pos from post)
 select term, cast(pos // {PART} as int) as part, cast(count(*) as int) as n, min(doc_id) as first_id, max(doc_id) as last_id from placed group by 1, 2""",
+    "lsi_invariants": _Q
+    + f""", kept as (select * from post where term not in {STOP}), n as (select count(distinct doc_id) as n from kept),
+useful as (select term from kept group by term having count(*) < (select n from n))
+select qid, (select least(10, n) from n) as n, true as dense, true as falling, true as cosines from qterm where term in (select term from useful) group by qid""",
     "merge_two_runs": _W + " select term, doc_id, cast(tf * (case when doc_id % 2 = 0 then 2 else 1 end) as bigint) as tf from post",
     "codec_roundtrip": _W
     + " select codec, term, doc_id, tf from post, (values ('standard'), ('vbe'), ('optpfordelta')) c(codec)",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -20,21 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares, as the cluster names it.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder takes its place.
+    Only in a local session (tests, a laptop) a temporary folder takes its place where the setting is absent.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
     own = getattr(spark.sparkContext, "_spanlex_shared", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="spanlex-")
         spark.sparkContext._spanlex_shared = own
     return own
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new folder in the shared one."""
-    return f"{shared_dir(spark)}/spanlex/{what}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, below one of this session that is removed when the session's driver ends."""
+    context = spark.sparkContext
+    base = getattr(context, "_spanlex_tables", None)
+    if base is None:
+        base = context._spanlex_tables = f"{shared_dir(spark)}/spanlex/{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, context, base)
+    return f"{base}/{what}-{uuid.uuid4().hex}"
+
+
+def _remove(context: SparkContext, path: str) -> None:
+    """Delete a folder if the session is still there; what a killed driver leaves is for the cluster to clear."""
+    try:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:
+        pass
 
 
 def durable(df: DataFrame, what: str = "stage") -> DataFrame:

@@ -39,9 +39,8 @@ def keyed_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, path: str) -> DataFrame:
-    """``(qid, doc_id, rel)``: every pair listed in the first two columns is relevant."""
+    """``(qid, doc_id, rel)``: every pair listed in the first two columns is relevant; lines without a number there are left out."""
     words = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(F.trim("value") != "").select(words.alias("w")).where(F.size("w") >= 2)
-    return rows.select(
-        F.element_at("w", 1).alias("qid"), F.element_at("w", 2).try_cast("bigint").alias("doc_id"), F.lit(1).alias("rel")
-    ).distinct()
+    pairs = rows.select(F.element_at("w", 1).alias("qid"), F.element_at("w", 2).try_cast("bigint").alias("doc_id"), F.lit(1).alias("rel"))
+    return pairs.where("doc_id is not null").distinct()

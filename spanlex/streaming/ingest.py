@@ -1,7 +1,8 @@
 """Continuous ingestion: documents arriving as a stream become runs of partial postings.
 
-Every micro-batch writes one run ``(run_id, term, doc_id, tf)``; the index is the merge of all runs. A batch that
-is repeated after a failure replaces its own run, so nothing counts twice.
+Every micro-batch writes one run ``(run_id, term, doc_id, tf)``; the index is made of all runs. A batch that
+is repeated after a failure replaces its own run. A document that comes again in a later batch replaces
+what earlier runs hold of it, also if no term of it is left; of rows of a document in one batch the terms are summed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanlex.operators.index import SURFACE, Analyzer, Index, merge_postings
+from spanlex.operators.index import SURFACE, Analyzer, Index
 
 
 def index_stream(docs: DataFrame, path: str, analyzer: Analyzer = SURFACE) -> StreamingQuery:
@@ -27,6 +28,8 @@ def index_stream(docs: DataFrame, path: str, analyzer: Analyzer = SURFACE) -> St
 
 def merged(spark: SparkSession, path: str, analyzer: Analyzer = SURFACE) -> Index:
     """The index over all runs written so far."""
-    runs = spark.read.parquet(f"{path}/runs")
-    names = spark.read.parquet(f"{path}/names").groupBy("doc_id").agg(F.max("doc_name").alias("doc_name"))
-    return Index(merge_postings(runs).select("doc_id", "term", "tf"), names, analyzer)
+    names = spark.read.parquet(f"{path}/names")
+    latest = names.groupBy("doc_id").agg(F.max(F.struct("run_id", "doc_name")).alias("m"))
+    latest = latest.select("doc_id", F.col("m.run_id").alias("run_id"), F.col("m.doc_name").alias("doc_name"))
+    runs = spark.read.parquet(f"{path}/runs").join(latest.select("doc_id", "run_id"), ["doc_id", "run_id"], "left_semi")
+    return Index(runs.select("doc_id", "term", "tf"), latest.select("doc_id", "doc_name"), analyzer)

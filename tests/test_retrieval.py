@@ -128,7 +128,7 @@ def test_metrics(spark):
         evaluate.metric(frame, "MRR")
 
 
-def test_lsi_equals_dense_algebra(spark):
+def test_lsi_equals_dense_algebra(spark, monkeypatch):
     import numpy as np
 
     r = random.Random(2)
@@ -151,4 +151,12 @@ def test_lsi_equals_dense_algebra(spark):
     cosine = vectors @ folded / np.linalg.norm(vectors, axis=1) / np.linalg.norm(folded)
     for (_, name, _, _), c in zip(docs, cosine):
         assert got[name] == pytest.approx(c, abs=1e-5)
+    big = lsi.build(index, 6) if not monkeypatch.setattr(lsi, "DENSE_LIMIT", 0) else None
+    assert np.allclose(big.sigma, model.sigma)
+    monkeypatch.setattr(lsi, "CELLS", 12)
+    monkeypatch.setattr(retrieve, "HELD", 3)
+    again = {x["doc_name"]: x["score"] for x in lsi.retrieve(index, big, asked(spark, "zzz", text, "w1"), 20).where("qid = '1'").collect()}
+    assert again.keys() == got.keys() and all(abs(again[n] - got[n]) < 2e-6 for n in got)
+    few = lsi.retrieve(index, big, asked(spark, "zzz", text, "w1"), 3).where("qid = '1'").orderBy("rank").collect()
+    assert [x["doc_name"] for x in few] == sorted(got, key=lambda n: (-got[n], n))[:3]
     assert model.k == 6 and math.isclose(model.sigma[0], s[0], rel_tol=1e-9)

@@ -33,7 +33,7 @@ def test_query_files(spark, tmp_path):
     assert got == [("Q1", "a b"), ("Q2", "c")]
     (tmp_path / "r").write_text("Q1 3 x\nQ1 3 y\nQ2 x\n")
     got = sorted((r["qid"], r["doc_id"] or 0, r["rel"]) for r in collection.qrels(spark, str(tmp_path / "r")).collect())
-    assert got == [("Q1", 3, 1), ("Q2", 0, 1)]
+    assert got == [("Q1", 3, 1)]
 
 
 @pytest.mark.parametrize("codec", [None, "standard", "vbe", "optpfordelta"])
@@ -62,17 +62,22 @@ def test_lsi_store(spark, tree):
 
 def test_cli(spark, tree, capsys):
     out = str(tree / "index")
-    assert cli.main(["build", "--data_dir", str(tree / "c"), "--output_dir", out, "--method", "bsbi"], spark) == 0
+    assert cli.main(["build", "--data_dir", str(tree / "c"), "--output_dir", out, "--method", "bsbi", "--memory_threshold", "20"], spark) == 0
     assert cli.main(["search", "apples", "--output_dir", out, "-m", "bm25"], spark) == 0
     said = capsys.readouterr().out
     assert "2/sub/3.txt" in said and "1/10.txt" not in said
     assert cli.main(["search", "zzz", "--output_dir", out], spark) == 0
     assert "No results found." in capsys.readouterr().out
     assert cli.main(["search", "--file", str(tree / "none"), "--output_dir", out], spark) == 1
+    assert cli.main(["search", "cherry", "--output_dir", out, "--data_dir", str(tree / "c")], spark) == 0
+    assert "banana cherry" in capsys.readouterr().out
     (tree / "q").write_text("Q1 cherry\n")
     (tree / "r").write_text("Q1 10\n")
     assert cli.main(["evaluate", "--metric", "ap", "--scoring", "bm25_wand", "--queries", str(tree / "q"), "--qrels", str(tree / "r"), "--output_dir", out], spark) == 0
     assert "= 1.0" in capsys.readouterr().out
+    (tree / "r").write_text("Q7 10\n")
+    assert cli.main(["evaluate", "--queries", str(tree / "q"), "--qrels", str(tree / "r"), "--output_dir", out], spark) == 1
+    assert "no judgment" in capsys.readouterr().out
 
 
 def test_stream(spark, tmp_path):
@@ -85,3 +90,9 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, index.postings.collect())) == [(1, "apple", 1), (1, "pie", 1), (2, "apple", 2)]
     q = spark.createDataFrame([("1", "pie")], "qid string, text string")
     assert retrieve.retrieve(index, q, "bm25").first()["doc_name"] == "a"
+    # a document that comes again replaces what was there
+    spark.createDataFrame([(1, "c", "pie cherry"), (3, "d", "")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.index_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out")).awaitTermination()
+    index = ingest.merged(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, index.postings.collect())) == [(1, "cherry", 1), (1, "pie", 1), (2, "apple", 2)]
+    assert sorted(map(tuple, index.names.collect())) == [(1, "c"), (2, "b"), (3, "d")]
