@@ -9,9 +9,10 @@ Input is ``results(qid, doc_id, doc_name, score, scored_at)``. Defined results:
 * null qids form one group, null doc_ids one item; smaller groups come out whole; an empty table gives
   an empty result; further columns are ignored.
 
-A group of any size is hashed into subgroups by item, so no task ever holds a whole large group. Each
-subgroup resolves superseded rows and keeps its first N; the survivors, at most N per subgroup, are ranked
-once more. The first ranking is exact because all rows of an item share a subgroup.
+A group of any size is hashed into subgroups by item, at least as many as there are tasks, so no task ever holds a
+whole large group. Superseded rows are dropped in every task before the shuffle and resolved after it, so an item
+delivered very often is one row per task. Each subgroup keeps its first N, again before its rows meet; the survivors, at most
+N per subgroup, are ranked once more. The first ranking is exact because all rows of an item share a subgroup.
 """
 
 from __future__ import annotations
@@ -20,25 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SUBGROUPS = 32
+from spanlex.session import shuffle_width
 
+#: Subgroups of a group at least.
+SUBGROUPS = 32
 
-def latest(results: DataFrame, subgroups: int = SUBGROUPS) -> DataFrame:
-    """Usable rows, the one that counts of each (qid, doc_id), with the item's subgroup.
 
-    Partitions are by (qid, subgroup): the aggregation and the first ranking share one shuffle.
-    """
+def latest(results: DataFrame, subgroups: int | None = None) -> DataFrame:
+    """Usable rows, the one that counts of each (qid, doc_id), with the item's subgroup."""
+    subgroups = subgroups or max(SUBGROUPS, shuffle_width(results.sparkSession))
     usable = results.where(F.col("score").isNotNull() & ~F.isnan("score")).select(
         "qid",
         F.pmod(F.xxhash64("doc_id"), F.lit(subgroups)).alias("sub"),
         "doc_id",
         F.struct("scored_at", (F.col("score") + F.lit(0.0)).alias("score"), "doc_name").alias("v"),
     )
-    best = usable.repartition("qid", "sub").groupBy("qid", "sub", "doc_id").agg(F.max("v").alias("v"))
+    best = usable.groupBy("qid", "sub", "doc_id").agg(F.max("v").alias("v"))
     return best.select("qid", "sub", "doc_id", F.col("v.score").alias("score"), F.col("v.doc_name").alias("doc_name"))
 
 
-def top_n(results: DataFrame, n: int = 10, subgroups: int = SUBGROUPS) -> DataFrame:
+def top_n(results: DataFrame, n: int = 10, subgroups: int | None = None) -> DataFrame:
     """``(qid, rank, doc_id, doc_name, score)`` of the n first items of every group."""
     if n < 1:
         raise ValueError("n must be at least 1")
