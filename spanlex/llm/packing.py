@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanlex.session import durable
+from spanlex.session import durable, shuffle_width
 
 CAPACITY = 2048
 CLASSES = 32
 DEPTH = 6
-SALTS = 64
+#: Subdivisions of the items of a size: as many as tasks, between these bounds.
+SALTS, MOST_SALTS = 64, 256
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,19 +199,20 @@ def pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``(id, piece, start, n, container)`` for ``items(id, size)``.
 
-    The driver receives one count per (size, salt): at most ``capacity * SALTS`` rows, however many items.
+    The driver receives one count per (size, salt): at most ``capacity * MOST_SALTS`` rows, however many items.
     """
+    salts = min(MOST_SALTS, max(SALTS, shuffle_width(items.sparkSession)))
     rows = durable(
-        pieces(items, capacity).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int")), "sizes"
+        pieces(items, capacity).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int")), "sizes"
     )
-    counts = rows.groupBy("n", "salt").count().collect()  # bounded: capacity * SALTS
+    counts = rows.groupBy("n", "salt").count().collect()  # bounded: capacity * MOST_SALTS
     histogram: dict[int, int] = {}
     offsets: dict[tuple[int, int], int] = {}
     for r in sorted(counts, key=lambda r: (r["n"], r["salt"])):
         offsets[r["n"], r["salt"]] = histogram.get(r["n"], 0)
         histogram[r["n"]] = histogram.get(r["n"], 0) + r["count"]
     where = places(plan(histogram, capacity))
-    base = np.zeros((capacity + 1, SALTS), dtype=np.int64)
+    base = np.zeros((capacity + 1, salts), dtype=np.int64)
     for (n, salt), offset in offsets.items():
         base[n, salt] = offset
 
@@ -230,3 +232,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     number = F.row_number().over(W.partitionBy("n", "salt").orderBy("id", "piece")) - 1
     ranked = rows.select("id", "piece", "start", "n", "salt", number.cast("bigint").alias("rank"))
     return ranked.mapInArrow(assign, "id bigint, piece int, start bigint, n bigint, container bigint")
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row on containers ``(id, piece, start, n, container)``: their number, the items and sizes in them, the largest load, and the share of room used."""
+    loads = packed.groupBy("container").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("pieces"))
+    return loads.agg(
+        F.count(F.lit(1)).alias("containers"),
+        F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"),
+        F.coalesce(F.sum("load"), F.lit(0)).alias("used"),
+        F.max("load").alias("largest"),
+        F.try_divide(F.sum("load").cast("double"), (F.count(F.lit(1)) * capacity).cast("double")).alias("fill"),
+    )

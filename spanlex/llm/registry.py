@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlex.llm import near_duplicates, packing, personal_data, similar_vectors, term_frequency, text_quality, tokenizer, top_n
-from spanlex.session import table
+from spanlex.session import durable, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +72,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.withColumnsRenamed({"id": "doc_id", "n": "n_tokens"})
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of the containers: the documents in them, none overfull, only long ones split, and hardly more than the least possible number."""
+    packed = durable(p8_containers(spark, d), "containers")
+    one = packing.fill(packed.withColumnRenamed("n_tokens", "n"))
+    docs = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("size"))
+    split = docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.bool_and(F.expr("pieces = ceil(size / 2048)")), F.lit(True)).alias("only_long_split"))
+    return one.crossJoin(F.broadcast(split)).select(  # two single rows
+        "documents", "only_long_split", (F.col("largest") <= 2048).alias("none_overfull"), (F.col("containers") <= 1 + 1.01 * F.ceil(F.col("used") / 2048)).alias("well_filled")
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Personal information found in the texts."""
     return personal_data.find(table(spark, d, "documents"))
@@ -94,6 +105,7 @@ QUERIES = {
     "p5_classes": p5_classes,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
 }
@@ -206,6 +218,7 @@ from counted
 """
 
 ORACLE = {
+    "p8_fill": "select count(distinct doc_id) as documents, true as only_long_split, true as none_overfull, true as well_filled from documents where length(text) > 0",
     "p2_statistics": STATISTICS,
     "p2_found": f"""with s as ({STATISTICS}), f as (select doc_id, n_chars, {", ".join(f"coalesce({c}, 0) as {c}" for c in text_quality.FEATURES)} from s)
 select doc_id from f where n_chars >= 80 and {text_quality.case_expression(text_quality.load_rules()).replace("D ", "e0 ")} > 0""",

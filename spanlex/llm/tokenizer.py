@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 FOLDER = "/opt/tokenizers"
@@ -193,13 +194,24 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def shipped(docs: DataFrame, path: str | None) -> str:
+    """The name under which every executor gets the vocabulary file; only the driver has to have its folder."""
+    path = path or vocabulary_path()
+    context = docs.sparkSession.sparkContext
+    sent = context.__dict__.setdefault("_spanlex_vocabularies", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, ids)`` of every row; no shuffle."""
-    path = path or vocabulary_path()
+    name = shipped(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = encoder(path)
+            e = encoder(SparkFiles.get(name))
             flat, ends = array("i"), [0]
             for text in batch.column(1).to_pylist():
                 flat += e.encode(text)
@@ -212,11 +224,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens)`` of every row; no shuffle."""
-    path = path or vocabulary_path()
+    name = shipped(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = encoder(path)
+            e = encoder(SparkFiles.get(name))
             counts = [len(e.encode(text)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
