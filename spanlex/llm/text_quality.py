@@ -113,8 +113,18 @@ def _judged(text: Column) -> Column:
     return F.transform(counted, lambda p: F.struct(p["x"]["n"].alias("n"), p["words"].alias("words"), p["hits"].alias("hits"), kind(p).alias("kind")))
 
 
-def statistics(docs: DataFrame, common_words: list[str] | None = None) -> DataFrame:
-    """One row of statistics per row of ``docs``, with ``doc_id``."""
+def _counts(words: Column, common_words: list[str] | None) -> list[Column]:
+    """Distinct words of a text, repetitions of short ones, and common words."""
+    each, short = F.filter(words, lambda w: w != ""), F.filter(words, _is_short)
+    return [
+        F.size(F.array_distinct(each)).alias("n_distinct"),
+        (F.size(short) - F.size(F.array_distinct(short))).alias("repeated"),
+        (F.size(F.filter(words, lambda w: w.isin(*common_words))) if common_words else F.lit(None).cast("int")).alias("common"),
+    ]
+
+
+def statistics(docs: DataFrame, common_words: list[str] | None = None, full: bool = True) -> DataFrame:
+    """One row of statistics per row of ``docs``, with ``doc_id``; those on distinct and common words only if ``full``."""
     text = F.col("text")
     parts = F.expr(
         r"flatten(transform(split(lower(text), '\r\n|\r|\n'), l -> "
@@ -123,15 +133,17 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None) -> DataFr
     lines = F.expr(r"filter(split(text, '\r\n|\r|\n'), l -> l rlike '\\S')")
     # each step is evaluated once: what is used twice is bound by a step of its own, and only small values leave it
     cut = F.transform(parts, lambda p: F.struct(p.alias("p"), F.length(F.replace(p, F.lit(" "), F.lit(""))).alias("n"), F.split(p, _WORDS).alias("w")))
-    judged = _let(cut, lambda c: _let(F.struct(c.alias("c"), _own(F.flatten(c["w"])).alias("own")), _judged))
+    whole = lambda c: _counts(F.flatten(c["w"]), common_words) if full else []
+    judged = _let(
+        cut, lambda c: _let(F.struct(c.alias("c"), _own(F.flatten(c["w"])).alias("own")), lambda t: F.struct(_judged(t).alias("parts"), *whole(c)))
+    )
     second = docs.select(
         "doc_id",
         F.regexp_replace(text, _BLANK, "").alias("solid"),
         lines.alias("lines"),
-        judged.alias("parts"),
-        F.filter(F.split(F.lower("text"), _WORDS), lambda w: w != "").alias("words"),
+        judged.alias("j"),
     )
-    short = F.filter("words", _is_short)
+    second = second.withColumn("parts", F.col("j.parts"))
     add = lambda acc, x: acc + x
     total = lambda xs: F.aggregate(xs, F.lit(0), add)
     third = second.select(
@@ -140,8 +152,7 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None) -> DataFr
         total(F.transform("parts", lambda p: p["words"])).alias("n_words"),
         F.size("lines").alias("n_lines"),
         F.length(F.regexp_replace("solid", _WORDS, "")).alias("word_chars"),
-        F.size(F.array_distinct("words")).alias("n_distinct"),
-        (F.size(short) - F.size(F.array_distinct(short))).alias("repeated"),
+        *[(F.col(f"j.{c}") if full else F.lit(None).cast("int")).alias(c) for c in ("n_distinct", "repeated", "common")],
         total(F.transform("parts", lambda p: p["n"])).alias("part_chars"),
         total(F.transform("parts", lambda p: F.when(p["kind"] == 1, p["n"]).otherwise(0))).alias("running_chars"),
         total(F.transform("parts", lambda p: F.when(p["kind"] > 0, p["n"]).otherwise(0))).alias("echo_chars"),
@@ -149,7 +160,6 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None) -> DataFr
         F.length(F.regexp_replace("solid", _NO_DIGITS, "")).alias("digits"),
         F.length(F.regexp_replace("solid", _NO_LETTERS, "")).alias("letters"),
         F.size(F.filter("lines", lambda l: F.rtrim(l).rlike(r"[.!?:;]\s*$"))).alias("ended"),
-        (F.size(F.filter("words", lambda w: w.isin(*common_words))) if common_words else F.lit(None).cast("int")).alias("common"),
     )
     share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     return third.select(
@@ -181,6 +191,11 @@ def load_rules() -> list[list[tuple[str, str, float]]]:
     return [[tuple(c) for c in rule] for rule in raw["rules"]]
 
 
+def _needs_all() -> bool:
+    """Whether a rule uses statistics on distinct words."""
+    return any(name in ("distinct_share", "repeated_short", "common_share") for rule in load_rules() for name, _, _ in rule)
+
+
 def case_expression(rules: list[list[tuple[str, str, float]]]) -> str:
     """Ordered rules as SQL: the number of the first rule that holds, 0 if none does."""
     arms = []
@@ -192,7 +207,7 @@ def case_expression(rules: list[list[tuple[str, str, float]]]) -> str:
 
 def not_running(docs: DataFrame, least_chars: int = 80) -> DataFrame:
     """``(doc_id, rule)`` of the documents that are mostly no running text, with the rule that says so."""
-    stats = statistics(docs).fillna(0.0, subset=list(FEATURES))
+    stats = statistics(docs, full=_needs_all()).fillna(0.0, subset=list(FEATURES))
     row = F.struct("doc_id", "n_chars", F.expr(case_expression(load_rules())).alias("rule"))
     # a filter would be pushed below the projections and evaluate the statistics again for each condition;
     # it can't pass a generator
