@@ -75,6 +75,10 @@ _RUE = re.compile(
     rf"(?<![\w.\-])(?:{_UNIT},?{_S})?{_HOUSE},?{_S}(?:rue|avenue|boulevard|place|via|calle|chemin){_S}(?:(?:de|du|des|la|le|del|della|l'|d'){_S}?){{0,2}}[^\W\d_][\w\-]+(?:,?{_S}{_UNIT})?",
     re.I,
 )
+_CALLE = re.compile(
+    rf"(?<!\w)(?:calle|via|plaza|piazza|rua|avenida|viale|corso){_S}(?:(?:de|del|della|dei|da|do|la|las|los){_S}){{0,2}}[^\W\d_][\w'’\-]*(?:{_S}[^\W\d_][\w'’\-]*){{0,2}},?{_S}\d{{1,4}}(?: ?[a-z])?(?!\w)(?:,?{_S}{_UNIT})?",
+    re.I,
+)
 _WEG = re.compile(rf"(?<!\w)[^\W\d_][\w\-]*(?:weg|stra(?:ß|ss)e|str\.|gasse|platz|allee|ring|ufer){_S}\d{{1,4}}(?: ?[a-z])?(?!\w)", re.I)
 _BOX = re.compile(rf"(?<!\w)p\.?{_S}?o\.?{_S}?box{_S}\d{{1,6}}(?!\w)|(?<!\w)postfach{_S}\d{{1,6}}(?!\w)", re.I)
 _WEG_END = re.compile(r"(?:weg|stra(?:ß|ss)e|str|gasse|platz|allee|ring|ufer)$", re.I)
@@ -91,27 +95,32 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-–][^\W\d_]+)*\.?|[,(]")
 PARTICLES = frozenset("van von der den de del della di da du la le el al bin ibn zu ter ten".split())
 #: Phrases before which persons are named; they open a search whatever the words look like.
 _CUES = re.compile(
-    r"(?:(?:signed|read|examined|reviewed|written|cut)\s+by\s|thank\s|thanks\s+to\s|widow\s+of\s|according\s+to\s"
-    r"|(?:sent|requests)\s+to\s|letter\s+from\s|kin:?\s|dear\s|mrs|mr\b\.?|ms\b\.?|miss\s|dr\b\.?|prof)",
+    r"(?:(?:signed|read|examined|reviewed|written|cut|reported|told|photographs|admitted)\s+by\s|thank\s|thanks\s+to\s|widow\s+of\s|according\s+to\s"
+    r"|(?:sent|requests)\s+to\s|letter\s+from\s|kin:?\s|dear\s|mrs|mr\b\.?|ms\b\.?|miss\s|dr\b\.?|prof|herr\s|frau\s|señora?\s|mme\s|monsieur\s|madame\s|signora?\s|nurse\s|captain\s)",
     re.I,
 )
+_AND = re.compile(r"\s(?:and|und|et|y|e|&)\s", re.I)
 #: Words with which a cue begins; what begins with prof is another.
-_CUE_WORDS = frozenset("signed read examined reviewed written cut thank thanks widow according sent requests letter kin dear mrs mr ms miss dr".split())
+_CUE_WORDS = frozenset("signed read examined reviewed written cut reported told photographs admitted thank thanks widow according sent requests letter kin dear mrs mr ms miss dr herr frau señor señora mme monsieur madame signor signora nurse captain".split())
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪİĶĹĻĽŁŃŅŇŌŐŒŘŚŞŠŢŤŪŮŰŲŹŻŽΑ-ΩА-Я"
 _CAP = rf"[{_UP}](?:['’][{_UP}])?[^\W\d_{_UP}][^\W\d_]*(?:['’\-–][^\W\d_]+)*"
 _PART = rf"(?:{'|'.join(sorted(PARTICLES))})"
 #: Runs of capitalised words, initials and particles of two words or more, as "Given I. van Surname" or "Surname, G. I.".
 _RUN = re.compile(
-    rf"(?<![^\s(\[<\"'“„«;:,/|])(?:{_CAP}|[{_UP}]\.?|{_PART}(?={_S}))(?:(?:,?{_S}|(?<=\.))(?:{_CAP}|[{_UP}]\.?(?!\w)|{_PART}(?={_S})|[{_UP}]{{2,3}}(?!\w))){{1,6}}(?![^\s.,;:!?)\]>\"'”“»/|])"
+    rf"(?<![^\s(\[<\"'“„«;:,/|\ufeff])(?:{_CAP}|[{_UP}]\.?|{_PART}(?={_S}))(?:(?:,?{_S}|(?<=\.))(?:{_CAP}|[{_UP}]\.?(?!\w)|{_PART}(?={_S})|[{_UP}]{{2,3}}(?!\w))){{1,6}}(?![^\s.,;:!?)\]>\"'”“»/|])"
 )
 _INITIAL = re.compile(r"(?<![\w.])[^\W\d_]\.")
 _LONE = r"[^\W\d_]\.?"
 _ANY = r"[^\W\d_]{2,}(?:['’\-–][^\W\d_]+)*"
-#: In text of one case: words around initials, and two to four words that begin a line and end at a comma or bracket.
+#: Words around initials in text of one case, and two to five words that begin a line or sentence and end at a comma or bracket.
 _INITIALS = re.compile(
     rf"(?<![\w.'’\-])(?:(?:{_ANY}{_S})?(?:[^\W\d_]\.{_S}?){{1,3}}(?:{_PART}{_S}){{0,2}}{_ANY}|{_ANY},{_S}(?:{_ANY}{_S})?[^\W\d_]\.(?:{_S}?[^\W\d_]\.)?)(?!\w)", re.I
 )
-_LISTED = re.compile(rf"^[ \t]*({_ANY}{_S}(?:(?:{_LONE}|{_PART}){_S}){{0,3}}{_ANY})(?=\s?[,(<:])|^[ \t]*({_ANY}[ ][^\W\d_]{{1,3}})(?=[:,])", re.M | re.I)
+_LISTED = re.compile(
+    rf"^[ \t\ufeff]*({_ANY}{_S}(?:(?:{_LONE}|{_PART}){_S}){{0,3}}{_ANY})(?=\s?[,(<:])|^[ \t\ufeff]*({_ANY}[ ][^\W\d_]{{1,3}})(?=[:,])"
+    rf"|[.;>)]\s{{1,3}}({_ANY}{_S}(?:(?:{_LONE}|{_PART}){_S}){{0,3}}{_ANY})(?=\s?[,(<])",
+    re.M | re.I,
+)
 
 
 _FUNCTION = frozenset(FUNCTION_WORDS) - PARTICLES
@@ -122,24 +131,18 @@ def _space(text: str) -> str:
 
 
 class Lexicon(dict):
-    """Class by word: g given name, s surname by its ending, t kind of street, w street name of one word, b box, c word of a cue.
+    """Class by word: t kind of street, w street name of one word, b box, c word of a cue. A dictionary that fills itself.
 
-    Given names and endings of surnames come with the model. A dictionary that fills itself.
+    No class depends on a list of names.
     """
 
-    def __init__(self, given: list[str], endings: list[str]):
+    def __init__(self) -> None:
         super().__init__()
-        self.tokens, self.bytes = _Tokens(self), _Bytes(self)
-        self.given = frozenset(given)
-        self.endings = tuple(endings)
+        self.tokens, self.bytes = _Tokens(), _Bytes(self)
 
     def __missing__(self, word: str) -> str:
         low = word.lower()
-        if low in self.given:
-            known = "g"
-        elif len(low) > 5 and low.endswith(self.endings):
-            known = "s"
-        elif low in _STREET_WORDS:
+        if low in _STREET_WORDS:
             known = "t"
         elif len(low) > 5 and _WEG_END.search(low):
             known = "w"
@@ -158,11 +161,6 @@ class Lexicon(dict):
             found = ((w, self[w]) for w in set(_WORD.findall(text)))
         return [x for x in found if x[1]]
 
-    def kind(self, word: str) -> str:
-        """g or s for words of names, empty for others."""
-        known = self[word]
-        return known if known in ("g", "s") else ""
-
 
 class _Bytes(dict):
     """Words and their classes by their bytes."""
@@ -180,11 +178,7 @@ class _Bytes(dict):
 
 
 class _Tokens(dict):
-    """Class of a token of a name: an initial, a surname or given name, a particle, a short, capitalised or other word."""
-
-    def __init__(self, lexicon: Lexicon):
-        super().__init__()
-        self.lexicon = lexicon
+    """Class of a token of a name: an initial, a particle, a short, capitalised or other word."""
 
     def __missing__(self, w: str) -> str:
         if len(self) > 500_000:
@@ -193,16 +187,11 @@ class _Tokens(dict):
         return out
 
     def read(self, w: str) -> str:
+        core = w.rstrip(".")
         if w == ",":
             return ","
-        core = w.rstrip(".")
-        kinds = {self.lexicon.kind(core)} if core.isalpha() else {self.lexicon.kind(p) for p in _JOINTS.split(core)}
         if len(core) == 1:
             return "I." if w.endswith(".") else "I"
-        if "s" in kinds:
-            return "S"
-        if kinds == {"g"}:
-            return "G"
         if core.lower() in PARTICLES:
             return "p"
         if len(core) <= 3 and core.isupper():
@@ -210,7 +199,7 @@ class _Tokens(dict):
         return "W" if core[:1].isupper() else "w"
 
 
-_STREET_WORDS = frozenset((*STREETS, "rue", "via", "calle", "chemin"))
+_STREET_WORDS = frozenset((*STREETS, "rue", "via", "calle", "chemin", "plaza", "piazza", "rua", "avenida", "viale", "corso"))
 
 
 def _numbers(text: str) -> Iterator[Span]:
@@ -263,7 +252,7 @@ def _readings(text: str, m: re.Match) -> Iterator[Span]:
 
 
 def _addresses(text: str, classes: set[str]) -> Iterator[Span]:
-    patterns = [p for c, ps in (("t", (_STREET, _RUE)), ("w", (_WEG,)), ("b", (_BOX,))) if c in classes for p in ps]
+    patterns = [p for c, ps in (("t", (_STREET, _RUE, _CALLE)), ("w", (_WEG,)), ("b", (_BOX,))) if c in classes for p in ps]
     for pattern in patterns:
         at = 0
         while m := pattern.search(text, at):
@@ -281,7 +270,7 @@ def _addresses(text: str, classes: set[str]) -> Iterator[Span]:
                         yield Span(x, y, "address")
             # the next search may begin inside, at the next number
             inner = _NUMBER_END.search(text, a + 1)
-            at = b if pattern in (_WEG, _BOX) or not inner else max(a + 1, min(b, inner.end()))
+            at = b if pattern in (_WEG, _BOX, _CALLE) or not inner else max(a + 1, min(b, inner.end()))
 
 
 _NUMBER_END = re.compile(r"\d+\W")
@@ -296,16 +285,18 @@ def _whole(text: str, word: str) -> Iterator[int]:
         at = text.find(word, at + size)
 
 
-def _names(text: str, known: list[str], cues: list[str], lexicon: Lexicon) -> Iterator[Span]:
-    """Runs of name-like words around known words and behind cues, with every plausible beginning and end.
+def _names(text: str, cues: list[str], lexicon: Lexicon) -> Iterator[Span]:
+    """Runs of words behind cues, capitalised runs, words around initials, and beginnings of lines and sentences.
 
-    Whatever the words are, names also come from their shape: capitalised runs, initials and beginnings of lines.
+    All by shape, whatever the words are, with every plausible beginning and end.
     """
     places: set[int] = set()
-    for word in known:
-        places.update(_whole(text, word))
     for word in cues:
-        places.update(m.end() for at in _whole(text, word) if (m := _CUES.match(text, at)))
+        for at in _whole(text, word):
+            if m := _CUES.match(text, at):
+                places.add(m.end())
+                if more := _AND.search(text, m.end(), m.end() + 60):  # a second person
+                    places.add(more.end())
     seen: set[tuple[int, int]] = set()
     for place in sorted(places):
         tokens = _around(text, place)
@@ -357,7 +348,6 @@ def _names(text: str, known: list[str], cues: list[str], lexicon: Lexicon) -> It
 
 
 TOO_LONG = "-"
-_JOINTS = re.compile(r"['’\-–]")
 
 
 def _around(text: str, place: int) -> list[re.Match]:
@@ -385,7 +375,7 @@ def _shape(kinds: list[str]) -> str | None:
     return " ".join(kinds)
 
 
-_NAMING = frozenset(("S", "G", "W", "w"))
+_NAMING = frozenset(("W", "w"))
 
 
 def candidates(text: str, lexicon: Lexicon) -> list[Span]:
@@ -403,9 +393,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[Span]:
     found.update(_numbers(text))
     marked = lexicon.marked(text)
     found.update(_addresses(text, {c for _, c in marked}))
-    known = [w for w, c in marked if c in ("g", "s")]
     cues = [w for w, c in marked if c == "c" or w.lower() == "dr"]  # dr is a kind of street, too
-    found.update(_names(text, known, cues, lexicon))
+    found.update(_names(text, cues, lexicon))
     return sorted((s for s in found if s.end - s.start <= LONGEST), key=lambda s: (s.end, s.start, s.kind))
 
 
@@ -414,9 +403,15 @@ def candidates(text: str, lexicon: Lexicon) -> list[Span]:
 _ANY_WORD = re.compile(r"\w+")
 _FOLLOW = re.compile(r"(\W*)(\w*)")
 _NINES = re.compile("9+")
+_RUNS = re.compile(r"\d+|[^\W\d_]+|\s+")
 _DIGIT, _LETTER, _GAP = re.compile(r"\d"), re.compile(r"[^\W\d_]"), re.compile(r"\s+")
 
 
+def _outline(text: str) -> str:
+    """Words as a or A, numbers as 9, all else as it is but white space."""
+    return _RUNS.sub(lambda m: "9" if m.group()[0].isdigit() else "A" if m.group()[0].isupper() else "a" if m.group()[0].isalnum() else "", text)
+
+
 class Context:
     """What stands around the spans of a text; spans share beginnings and ends, so each is looked at once."""
 
@@ -426,7 +421,7 @@ class Context:
         self.rights: dict[int, tuple] = {}
 
     def word(self, w: str) -> str:
-        return "#" if w.isdigit() else "~" + self.lexicon.kind(w) if self.lexicon.kind(w) else w
+        return "#" if w.isdigit() else w
 
     def left(self, a: int) -> tuple[str, bool, str, tuple[tuple[str, str], ...]]:
         """The text before, whether it touches, the last word, and the features of it."""
@@ -438,7 +433,10 @@ class Context:
             w2 = self.word(before[slice(*last[0])].lower() if len(last) > 1 else "")
             mark = before[last[-1][1] :] if last else before
             at_start = not before.strip() or "\n" in text[max(0, a - 2) : a]
-            found = (("l1", w1), ("l12", f"{w2} {w1}"), ("lm", mark.strip()[-2:]), ("line", str(at_start)))
+            cue = [m.group().strip().lower() for m in _CUES.finditer(before)][-1:]
+            found = (
+                ("l1", w1), ("l12", f"{w2} {w1}"), ("lm", mark.strip()[-2:]), ("line", str(at_start)), ("lcue", " ".join(cue)), ("ls", _outline(before)[-6:])
+            )
             self.lefts[a] = before, before[-1:].isalnum(), w1, found
         return self.lefts[a]
 
@@ -448,7 +446,7 @@ class Context:
             after = _GAP.sub(" ", self.text[b : b + 24])
             follow = _FOLLOW.match(after)
             sep = follow.group(1)[:3]
-            self.rights[b] = after[:1].isalnum(), sep, (("r1", sep + self.word(follow.group(2).lower())), ("rm", sep))
+            self.rights[b] = after[:1].isalnum(), sep, (("r1", sep + self.word(follow.group(2).lower())), ("rm", sep), ("rs", _outline(after)[:6]))
         return self.rights[b]
 
 
@@ -483,20 +481,20 @@ def features(span: Span, context: Context) -> list[tuple[str, str]]:
             ("n", str(len(kinds))),
             ("shape+l1", f"{shape}|{w1}"),
             ("shape+r", f"{shape}|{sep}"),
-            ("has", f"{'S' in shape}{'G' in shape}{',' in shape}"),
+            ("comma", str("," in kinds)),
             ("plain", str(kinds.count("W") + kinds.count("w"))),
             ("case+shape", f"{case}|{shape}"),
             ("function", str(min(2, sum(w in _FUNCTION for w in inside.lower().split())))),
             ("dangling", str("I" in kinds or "II" in kinds)),
         ]
         for x in words:
-            if len(x) > 1 and not lexicon.kind(x):
+            if len(x) > 1:
                 low = x.lower()
                 out += [("has_word", low), ("end", low[-3:])]
     elif kind == "address":
         low = inside.lower()
         words = low.replace(",", " ").split()
-        shape = " ".join("9" if x[0].isdigit() else x.rstrip(".") if x.rstrip(".") in STREETS or x in ("rue", "flat", "apt", "de", "du", "box", "p.o.") else "w" for x in words)
+        shape = " ".join("9" if x[0].isdigit() else x.rstrip(".") if x.rstrip(".") in STREETS or x in _STREET_WORDS or x in ("flat", "apt", "de", "du", "box", "p.o.") else "w" for x in words)
         out += [
             ("shape", shape),
             ("stop", str(inside.endswith("."))),
@@ -617,7 +615,7 @@ class Model:
 @lru_cache(maxsize=1)
 def load() -> Model:
     raw = json.loads(resources.files("spanlex.llm").joinpath("models", MODEL).read_text(encoding="utf-8"))
-    return Model(raw["weights"], Lexicon(raw["given"], raw["endings"]))
+    return Model(raw["weights"], Lexicon())
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -18,23 +18,8 @@ from pathlib import Path
 
 from spanlex.llm.personal_data import MODEL, Context, Lexicon, Model, Span, all_features, candidates, islands
 
-TEXTS, EPOCHS, RATE, DECAY = 8000, 8, 0.25, 1e-4
+TEXTS, EPOCHS, RATE, DECAY, LEAST = 20000, 6, 0.25, 1e-4, 6
 
-GIVEN = (
-    "Almort Anna Brisca Dorvan Elspira Fenwick Gadra Hestor Ilvane Jessamy Jorund Jürgen Kesira Korvin Lunara Maddoc "
-    "Maria Mirelda Nerise Orlando Oskrin Peter Petra Quillan Renée Rosamund Sofía Stellan Tavik Thomas Tibor Ursa Vanessa "
-    "Velna Wendel Xandra Yorick Zelda Eleanor Hugo Ingrid Marcus Clara Edwin"
-).split()
-STEMS = (
-    "Yarn Rusk Ostr Jarn Fenn Krael Brask Wexl Gorl Parr Morv Lusk Ilm Fisk Drum Croy Vosk Velm Ulb Tov Nedd Zell Thram "
-    "Orv Ebb Dask Hask Quin Selv Sorv Kest Hald Penn Grav"
-).split()
-ENDINGS = (
-    "wick osk umer hurst essen ovell ault strand arde ivane igard ellin ebray bray ington inder mark anek ottar"
-).split()
-PLACES = "Kestrelby Sallowby Hasken Quillen Bramwith Tavenbury Thornquay Ostrel Mossgarth Velder Wintermere Larkmoor Pellgate Fernhollow Dunmarrow Harrow Linden".split()
-TOWNS = "Norvale Vessenheim Brasswick Kellingard Ostermoor Dunharrow Pelmouth Tavenbury Marwick Lindhurst".split()
-HOSTS = "ward7.invalid hospital.test clinic.example lab.norvale.example uni-ostermoor.test mail.kellingard.example path-dept.example registry.example.org".split()
 FILLER = (
     "the level of the serum was increased in most of 38 patients . in the first and in the second of the data the mean "
     "dose was 41.0 ( p 0.04 ) in the rats . it is of interest that the renal output was measured at 85 and at 56 hours , "
@@ -50,7 +35,7 @@ FILLER = (
     "was on the road . patients in the control row were kept at the place of the study . we thank all of the wards"
 ).split(" . ")
 
-#: Held-out names: neither the given names nor the surnames or their endings occur in training.
+#: Held-out names of real languages. Training knows invented names only.
 UNSEEN_GIVEN = (
     "Ravi Priya Chen Wei Yuki Hiroshi Fatima Omar Aisha Kwame Ngozi Sven Astrid Pablo Lucía Giovanni Chiara Dmitri Olga Pavel "
     "Siobhan Declan Rhys Mehmet Leyla Nguyen Linh Arjun Tomasz Agnieszka John Mary William Susan François Amélie Heinrich Grete"
@@ -60,6 +45,12 @@ UNSEEN_SURNAMES = (
     "Petrova Novák O'Brien Murphy Davies Yilmaz Demir Tran Pham Gupta Kowalski Nowak Smith Johnson Brown Lefèvre Dubois Müller Schmidt"
 ).split()
 
+#: Frequent endings of European surnames.
+SURNAME_ENDINGS = (
+    "son sen ssen man mann berg stein ski sky ska ov ova ev in ez es ic ton ley well ell land strand ford ault ard ier eau ini elli "
+    "etti ano ström gren qvist dal by wick hurst worth field er ker s ing ington mark ler bach ett osk ek ak ík ane ey ay ham more ar"
+).split()
+
 WORDS = (
     "renal output serum plasma liver dose acute chronic blood cell tissue growth colon edema skin gland protein enzyme virus fever heart "
     "lung rat human study effect treatment level cancer tumor bone nerve muscle brain response analysis therapy infection rate acid "
@@ -75,9 +66,6 @@ def tag(kind: str, text: str) -> str:
 
 
 class Maker:
-    #: Share of persons and of things called after persons whose words are in no list.
-    strange = 0.4
-
     def __init__(self, seed: int):
         self.r = random.Random(seed)
 
@@ -88,17 +76,19 @@ class Maker:
         word = "".join(one() for _ in range(r.randint(low, high)))
         return (word if len(word) > 2 else word + r.choice(("ng", "nn", "rr", "ra"))).capitalize()
 
-    def strange_given(self) -> str:
+    def given(self) -> str:
         return self.syllables(1, 3)
 
-    def strange_surname(self) -> str:
-        return self.syllables(1, 4) + self.r.choice(("", "", "", "", "son", "ski", "ov", "ez", "man"))
+    def one(self) -> str:
+        return self.syllables(1, 3) + (self.r.choice(SURNAME_ENDINGS) if self.r.random() < 0.6 else "")
 
-    def given(self) -> str:
-        return self.strange_given() if self.r.random() < self.strange else self.r.choice(GIVEN)
+    def place(self) -> str:
+        return self.syllables(1, 3) + self.r.choice(("", "", "by", "ton", "field", "ham", "ford", "dale", "berg", "ville"))
 
-    def one(self) -> str:
-        return self.strange_surname() if self.r.random() < self.strange else self.r.choice(STEMS) + self.r.choice(ENDINGS)
+    def host(self) -> str:
+        r = self.r
+        part = lambda: self.syllables(1, 3).lower() + r.choice(("", "", str(r.randint(1, 9))))
+        return r.choice(("", "", "mail.", "lab.", "uni-")) + part() + r.choice(("", f"-{part()}")) + r.choice((".org", ".com", ".edu", ".test", ".example", ".invalid", ".example.org", ".net"))
 
     def surname(self) -> str:
         one = self.one
@@ -159,7 +149,7 @@ class Maker:
         return label + tag("id_number", number)
 
     def street(self) -> str:
-        r, p = self.r, self.r.choice(PLACES)
+        r, p = self.r, self.place()
         kind = r.choice("Road Street Lane Drive Court Terrace Crescent Avenue Square Rd St. Ave Blvd".split())
         house = r.randint(1, 2400)
         k = r.random()
@@ -173,17 +163,18 @@ class Maker:
             t = f"{house}-{house + 2} {p} Square"
         elif k < 0.78:
             t = f"{r.randint(1, 150)}{r.choice(('', 'b', 'bis', 'ter'))} rue {r.choice(('', 'de ', 'du '))}{p}"
-        elif k < 0.9:
+        elif k < 0.84:
+            t = f"{r.choice(('calle', 'Calle', 'via', 'Via', 'Plaza', 'Piazza', 'Rua', 'Avenida'))} {r.choice(('', '', 'de ', 'del '))}{p}{r.choice((' ', ', '))}{r.randint(1, 160)}"
+        elif k < 0.92:
             t = f"{p}{r.choice(('weg', 'straße'))} {r.randint(1, 160)}"
         else:
             t = f"P.O. Box {r.randint(10, 2500)}"
         return tag("address", t)
 
     def email(self) -> str:
-        r, s = self.r, (self.r.choice(STEMS) + self.r.choice(ENDINGS)).lower()
-        g = r.choice(GIVEN).lower()
+        r, s, g = self.r, self.one().lower(), self.given().lower()
         local = r.choice((f"{g}.{s}", f"{g[0]}{s}", f"{s}{r.randint(10, 99)}", f"{s}_{g[0]}", f"{g}+reprints", f"{s}-lab"))
-        host = r.choice(HOSTS)
+        host = self.host()
         k = r.random()
         if k < 0.12:
             t = f"{local} {r.choice(('(at)', '[at]'))} {host.replace('.', r.choice((' (dot) ', '.')))}"
@@ -204,17 +195,17 @@ class Maker:
             lambda: f"According to {self.name()} and {self.name()}, the dose was never exceeded.",
             lambda: f"The patient, {r.choice(('Mrs.', 'Mr.', 'Miss'))} {self.name()}, {self.id()}, was admitted at night.",
             lambda: f"One case ({self.id()}) was lost to follow-up.",
-            lambda: f"{self.full()} ({self.id()}; home {self.phone()}) refused the biopsy.",
+            *(lambda: f"{self.full()} ({self.id()}; home {self.phone()}) refused the biopsy.",) * 2,
             lambda: f"The widow of {self.name()} was reached by telephone ({self.phone()}).",
-            lambda: f"Address reprint requests to Dr. {self.name()}, {self.street()}, {r.choice(TOWNS)}.",
-            lambda: f"All of the affected households lived near {self.street()} in {r.choice(TOWNS)}.",
+            lambda: f"Address reprint requests to Dr. {self.name()}, {self.street()}, {self.place()}.",
+            lambda: f"All of the affected households lived near {self.street()} in {self.place()}.",
             lambda: f"Moved in the spring to {self.street()}; new contact {self.email()}.",
             lambda: f"Requests for the strain should be sent to {self.name()} <{self.email()}>.",
             lambda: f"Correspondence: {self.email()}.",
             lambda: f"tel/fax {self.phone()}; e-mail {self.email()}.",
             lambda: f"Emergency code break: {self.phone()}.",
             lambda: f"Further tables may be had by calling {self.phone()} {r.choice(('ext. 12', 'after noon', 'ext. 40'))}.",
-            lambda: f"{self.name()}, {self.street()}, {r.choice(TOWNS)}.",
+            lambda: f"{self.name()}, {self.street()}, {self.place()}.",
             lambda: f"{self.full()}, {self.street()}, {self.phone()}.",
             lambda: f"{self.full()}, {self.id()}.",
             lambda: f"Next of kin: {self.name()}, {self.street()}, {self.phone()}.",
@@ -222,6 +213,22 @@ class Maker:
             lambda: f"{self.name()} and {self.name()} {r.choice(('reviewed the slides', 'were seen', 'counted the cells', 'agreed'))}.",
             lambda: f"{r.choice(('The sections were cut by', 'In a letter from', 'The sera came from', 'As was shown by', 'The records of', 'It was seen by', 'Dear', 'Thanks to'))} {self.name()}{r.choice((',', '.', ' in the spring.', ' at the hospital.'))}",
             lambda: f"{self.name()} {r.choice(('died', 'was seen', 'came', 'wrote'))} at {r.randint(20, 90)} years.",
+            lambda: self.role(),
+        ))()
+
+    def role(self) -> str:
+        """Persons behind titles, roles and prepositions of several languages."""
+        r = self.r
+        title = r.choice((
+            "Patient", "Nurse", "nurse", "Captain", "Prof.", "Professor", "Herr", "Frau", "Señor", "Señora", "Mme", "Monsieur", "Madame", "Signora", "Signor",
+            "Dr", "Dr.", "Mr", "Mrs", "Ms.",
+        ))
+        what = r.choice(("was admitted", "was discharged", "wrote the report", "came again", "agreed", "wurde aufgenommen", "a été admis", "fue ingresado", "called"))
+        return r.choice((
+            lambda: f"{title} {self.name()} {what}{r.choice(('.', ' in the spring.', f' by {title.lower()} {self.name()}.'))}",
+            lambda: f"It was {r.choice(('reported', 'told', 'reviewed'))} by {self.name()} and {self.name()}.",
+            lambda: f"{r.choice(('Kin', 'Reported by', 'Signed by', 'Dear'))} {self.name()}{r.choice(('', '.', ', ward 3', '; ' + self.name()))}",
+            lambda: f"{r.choice(('Letter from', 'It was told by', 'Reported by', 'Photographs by'))} {self.name()} {r.choice(('the', 'wurde die', 'la'))} {self.term()} {what}.",
         ))()
 
     def lookalike(self) -> str:
@@ -237,8 +244,9 @@ class Maker:
             lambda: f"Registered as trial CCT{self.d(8)} before the first dose.",
             lambda: f"See this journal, vol. {r.randint(1, 99)}, pp. {self.d(3)}-{self.d(4)}, {r.randint(1930, 1975)}.",
             lambda: f"The box of {r.randint(2, 99)} vials and flat {r.randint(2, 9)} mm dishes were stored on the road side of the ward.",
+            lambda: f"It was given via {self.term()} {r.randint(2, 90)} {r.choice(('times', 'days', 'of the rats', 'mg'))}, and via the {self.term()} {r.randint(2, 9)} times.",
             lambda: f"Tubes were kept @ {r.randint(2, 42)} c for {r.randint(2, 40)} min.",
-            lambda: f"{self.bare()} disease and the {self.bare()} test were seen at {r.choice(TOWNS)}.",
+            lambda: f"{self.bare()} disease and the {self.bare()} test were seen at {self.place()}.",
             lambda: f"Stained with {self.bare()} dye and fixed by {self.bare()} acid.",
             *(lambda: self.capitals(),) * 6,
             lambda: f"The {self.bare()} syndrome was found in {self.d(2)} of {self.d(3)} cases.",
@@ -270,6 +278,9 @@ class Maker:
         r, t = self.r, self.term
         head = f"{t()} {t()}" if r.random() < 0.8 else f"{t()} {r.choice('abcdekp')} {t()}"
         tail = ", ".join(self.d(r.randint(1, 3)) for _ in range(r.randint(1, 6)))
+        value, unit = r.choice(("-", "+", "++", "n.d.", self.d(3), f"{self.d(2)}.{self.d(1)}")), r.choice(("mg", "ml", "sec", "per cent", "mEq/l"))
+        if r.random() < 0.3:
+            return f"{head if r.random() < 0.6 else t()}: {value} {unit}"
         return r.choice((f"{head}, {tail}", f"{head}, {tail}", f"{head}: {self.d(2)}.{self.d(1)} mg", f"{head}, {t()}, {t()} {t()}", f"{head} ({self.d(2)}), {t()}", f"{head}; {t()}"))
 
     def capitals(self) -> str:
@@ -279,8 +290,8 @@ class Maker:
         return r.choice((
             lambda: f"{title()}.",
             lambda: f"{title()}\n{title()}: the {r.choice(WORDS)}.",
-            lambda: f"The {title()} of {r.choice(TOWNS)} was used.",
-            lambda: f"{r.choice(TOWNS)} {r.choice(('General Hospital', 'University', 'Medical School', 'Clinic', 'County'))} in {r.choice(('North', 'South', 'New', 'Upper'))} {r.choice(TOWNS)}.",
+            lambda: f"The {title()} of {self.place()} was used.",
+            lambda: f"{self.place()} {r.choice(('General Hospital', 'University', 'Medical School', 'Clinic', 'County'))} in {r.choice(('North', 'South', 'New', 'Upper'))} {self.place()}.",
             lambda: f"The {self.bare()} {r.choice(('Institute', 'Foundation', 'Hospital', 'Method', 'Test', 'Disease', 'Syndrome', 'Stain', 'Virus', 'Reflex', 'Sign'))} was named.",
             lambda: f"{self.bare()} {self.bare()} {r.choice(('disease', 'syndrome', 'test', 'stain', 'method', 'virus', 'reaction'))} was seen.",
             lambda: f"{r.choice(('Die', 'Der', 'Das', 'Eine', 'Nach', 'Bei', 'In', 'Les', 'Une', 'El', 'Los', 'Il'))} {r.choice((title(), t().capitalize()))} {r.choice(('von', 'der', 'wurde', 'de', 'de la'))} {r.choice(('gemessen', 'beobachtet'))}.",
@@ -293,15 +304,25 @@ class Maker:
         r = self.r
         noun = r.choice("Gewebe Leber Größe Durchblutung Entzündung Niere Wirkung Drüse Säure Geschwulst Kranken Flüssigkeit".split())
         other = r.choice("Gewebe Leber Behandlung Übertragung Messung Schwäche Zuckergehalt".split())
-        if r.random() < 0.3:
+        if r.random() < 0.25:
             return r.choice((
                 f"Nach der {other} wurde eine plötzliche {noun} {r.choice(('gemessen', 'beobachtet', 'gelöst', 'vergessen'))}, die für die {other} spricht.",
                 f"Die frühe {noun} wurde bei den {other} und in der Niere {r.choice(('gemessen', 'erhöht', 'vergessen'))}.",
                 f"Bei {r.randint(2, 400)} Kranken war die {noun} der {other} nicht gemessen ({r.randint(2, 90)}.{self.d(3)}).",
+                f"{r.choice(('Das', 'Die', 'Der', 'Ein', 'Dieses'))} {r.choice((noun, 'Verhältnis', 'Auftreten', 'Ergebnis', 'Vorkommen', 'Mittel'))} {r.choice(('von', 'der', 'zu', 'bei', 'aus'))} {self.term()} {r.choice(('zu', 'und', 'mit'))} {self.term()} war erhöht.",
                 f"Es wird über die {noun} während der schwere {other} berichtet.",
             ))
         text = r.choice(FILLER)
-        return text[:1].upper() + text[1:] + "."
+        if r.random() < 0.5:  # what stands behind names stands behind other words, too
+            words = text.split()
+            for _ in range(r.randint(1, 2)):
+                at = r.randint(1, len(words))
+                words[at:at] = [r.choice((f"({self.term()}, {r.randint(2, 90)}.{self.d(3)})", f"({self.term()})", f", {self.d(2)} ,", ": ", f"; {self.term()}, {self.term()} ,", f"( {self.term()} , {self.d(2)} )"))]
+            text = " ".join(words).replace(" , ", ", ").replace(" ,", ",") if r.random() < 0.7 else " ".join(words)
+        text = text[:1].upper() + text[1:] + "."
+        if r.random() < 0.25:
+            text = r.choice((f"Im Verlauf der {noun} stieg die {other} an, ", f"Bei den {noun} war das {other} erhöht, ", f"Über die {noun} von {self.d(2)} Kranken: ")) + text
+        return text
 
     def person_line(self) -> str:
         r = self.r
@@ -314,7 +335,7 @@ class Maker:
         return f"{who}: rapid {r.choice(('edema', 'colon', 'gland'))}. {r.choice(('acta', 'arch', 'bull', 'rev'))} renal {r.randint(1930, 1970)}; {r.randint(1, 99)}: {r.randint(1, 300)}-{r.randint(301, 900)}"
 
     def row(self) -> str:
-        cell = lambda: self.r.choice(("-", "+", "n.d.", self.d(3), f"{self.r.random() * 99:.1f}", f"{self.r.random() * 9:.2f}±0.{self.d(2)}"))
+        cell = lambda: self.r.choice(("-", "+", "n.d.", "n.d.", self.d(3), f"{self.r.random() * 99:.1f}", f"{self.r.random() * 9:.2f}±0.{self.d(2)}"))
         return self.r.choice(("  ", " ", "\t", " | ", ";", "           ")).join([self.term() if self.r.random() < 0.7 else f"{self.term()} {self.term()}", *(cell() for _ in range(5))])
 
     def noise(self) -> str:
@@ -322,6 +343,7 @@ class Maker:
         return r.choice((
             lambda: f"{r.randrange(64) * 16:08x}  " + " ".join(f"{r.randrange(256):02x}" for _ in range(16)),
             lambda: "".join(r.choice("abcdefXYZ0123456789+/") for _ in range(60)),
+            lambda: " ".join("".join(r.choice("ÃÂâï¿½œ™©°¬ž¢‚") for _ in range(r.randint(1, 4))) + self.term()[r.randint(0, 3) :] for _ in range(9)),
             lambda: " ".join(r.choice(("serum", "edema", "scar", self.d(3), self.d(2), "-", "++", "home")) for _ in range(9)),
             lambda: "serum edema, " + ", ".join(self.d(r.randint(1, 3)) for _ in range(r.randint(1, 6))),
         ))()
@@ -331,9 +353,9 @@ class Maker:
         if k < 0.1:
             raw = r.choice(("\n", "\r\n")).join(self.person_line() for _ in range(r.randint(3, 9)))
         elif k < 0.15:
-            raw = "\n".join(self.reference() for _ in range(r.randint(3, 8)))
-        elif k < 0.27:
-            line = r.choice((self.row, self.noise, self.noise, self.listing, self.listing))
+            raw = "\n".join([*r.choice(([], [], ["see also"], ["references"], [f"{self.term()} of {self.term()}"])), *(self.reference() for _ in range(r.randint(1, 8)))])
+        elif k < 0.33:
+            line = r.choice((self.row, self.row, self.noise, self.noise, self.listing, self.listing))
             raw = "\n".join(line() for _ in range(r.randint(4, 10)))
         else:
             parts = []
@@ -344,6 +366,7 @@ class Maker:
             if r.random() < 0.55:
                 raw = self.wrap(raw)
         case = r.random()
+        raw = "\ufeff" + raw if r.random() < 0.02 else raw
         raw = raw.lower() if case < 0.3 else raw.upper() if case < 0.42 else raw
         return read_marks(raw)
 
@@ -412,6 +435,16 @@ def gradient(island: Island, weights: dict[str, float]) -> tuple[float, list[flo
     return sum(score[i] for i in chosen) - forward[n], [(i in right) - expected[i] for i in range(n)]
 
 
+def without_rare(data: list[Island], least: int = LEAST) -> list[Island]:
+    """The same without features of fewer than ``least`` spans, which tell more of the invented words than of names."""
+    counts: dict[str, int] = defaultdict(int)
+    for _, feats, _ in data:
+        for fs in feats:
+            for f in fs:
+                counts[f] += 1
+    return [(spans, [[f for f in fs if counts[f] >= least] for fs in feats], chosen) for spans, feats, chosen in data]
+
+
 def train(data: list[Island], epochs: int = EPOCHS, seed: int = 3) -> dict[str, float]:
     """Maximum likelihood by stochastic gradients with per-feature rates and decay of the weights."""
     r = random.Random(seed)
@@ -435,14 +468,12 @@ def train(data: list[Island], epochs: int = EPOCHS, seed: int = 3) -> dict[str,
 
 
 class Unseen(Maker):
-    """Texts all of whose persons have names absent from training."""
+    """Texts all of whose persons have names of real languages, absent from training."""
 
-    strange = 1.0
-
-    def strange_given(self) -> str:
+    def given(self) -> str:
         return self.r.choice(UNSEEN_GIVEN)
 
-    def strange_surname(self) -> str:
+    def one(self) -> str:
         return self.r.choice(UNSEEN_SURNAMES)
 
 
@@ -461,7 +492,7 @@ def measure(model: Model, seed: int, n: int, kind: type[Maker] = Maker) -> dict[
 
 
 def main() -> None:
-    lexicon = Lexicon([g.lower() for g in GIVEN], ENDINGS)
+    lexicon = Lexicon()
     maker, data, missed, all_gold = Maker(1), [], 0, 0
     for _ in range(TEXTS):
         text, gold = maker.text()
@@ -470,11 +501,11 @@ def main() -> None:
         missed += lost
         all_gold += len(gold)
     print(f"{len(data)} islands, {all_gold} spans, {missed} out of reach")
-    weights = train(data)
+    weights = train(without_rare(data))
     report = measure(Model(weights, lexicon), 2, TEXTS // 5)
     unseen = measure(Model(weights, lexicon), 2, TEXTS // 5, Unseen)
     target = Path(__file__).parent / "models" / MODEL
-    raw = {"given": sorted(lexicon.given), "endings": list(ENDINGS), "held_out": report, "held_out_unseen_names": unseen, "weights": dict(sorted(weights.items()))}
+    raw = {"held_out": report, "held_out_unseen_names": unseen, "weights": dict(sorted(weights.items()))}
     target.write_text(json.dumps(raw, ensure_ascii=False, indent=0) + "\n", encoding="utf-8")
     print(json.dumps({"held_out": report, "unseen names": unseen}, indent=1))
 

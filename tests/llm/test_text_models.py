@@ -88,9 +88,9 @@ def test_held_out_spans():
 
 def test_held_out_names_absent_from_training():
     lexicon = personal_data.load().lexicon
-    assert not any(lexicon.kind(w) for w in personal_training.UNSEEN_GIVEN + personal_training.UNSEEN_SURNAMES)
+    assert not any(lexicon[w] for w in personal_training.UNSEEN_GIVEN + personal_training.UNSEEN_SURNAMES)
     report = personal_training.measure(personal_data.load(), 98, 300, personal_training.Unseen)["name"]
-    assert report["precision"] > 0.95 and report["recall"] > 0.85, report
+    assert report["precision"] > 0.95 and report["recall"] > 0.94, report
 
 
 def test_names_without_known_words_or_cues():
@@ -99,6 +99,16 @@ def test_names_without_known_words_or_cues():
     assert model.find("The Renal Output In Rats was low. Norvale General Hospital was closed.") == []
 
 
+def test_names_of_many_forms():
+    find = lambda t: [t[s.start : s.end] for s in personal_data.load().find(t) if s.kind == "name"]
+    assert find("The letter came from John Smith and Aisha Khan last week.") == ["John Smith", "Aisha Khan"]
+    assert find("Patient Robert Miller was admitted by nurse Wang Wei.")[:1] == ["Robert Miller"]
+    assert find("according to priya sharma and omar hussein, the dose was low.") == ["priya sharma", "omar hussein"]
+    assert find("\ufeffHiroshi Tanaka (ssn 912-11-2222; home 222-555-0199) refused the biopsy.") == ["Hiroshi Tanaka"]
+    address = [s for s in personal_data.load().find("She lives at calle Mayor 14, Norvale.") if s.kind == "address"]
+    assert [(s.start, s.end) for s in address] == [(13, 27)]
+
+
 def test_cues_in_a_text_that_changes_length_in_lower_case():
     text = "\u0130zmir. the widow of k. voskzed was reached."
     assert len(text.lower()) != len(text)
