@@ -305,10 +305,10 @@ def _names(text: str, cues: list[str], lexicon: Lexicon) -> Iterator[Span]:
             continue
         words = [t.group() for t in tokens]
         kinds = [lexicon.tokens[w] for w in words]
-        for i in range(max(0, here - NAME_WORDS + 1), min(here + 3, len(tokens))):
+        for i in range(here, min(here + 3, len(tokens))):
             if words[i] in ",(":
                 continue
-            for j in range(max(i, here), min(i + NAME_WORDS, len(tokens))):
+            for j in range(i, min(i + NAME_WORDS, len(tokens))):
                 last = words[j]
                 if last == "(":
                     break
@@ -403,13 +403,13 @@ def candidates(text: str, lexicon: Lexicon) -> list[Span]:
 _ANY_WORD = re.compile(r"\w+")
 _FOLLOW = re.compile(r"(\W*)(\w*)")
 _NINES = re.compile("9+")
-_RUNS = re.compile(r"\d+|[^\W\d_]+|\s+")
+_PIECES = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_").findall
 _DIGIT, _LETTER, _GAP = re.compile(r"\d"), re.compile(r"[^\W\d_]"), re.compile(r"\s+")
 
 
-def _outline(text: str) -> str:
-    """Words as a or A, numbers as 9, all else as it is but white space."""
-    return _RUNS.sub(lambda m: "9" if m.group()[0].isdigit() else "A" if m.group()[0].isupper() else "a" if m.group()[0].isalnum() else "", text)
+def _outline(pieces: list[str]) -> str:
+    """Words as a or A, numbers as 9, all else as it is."""
+    return "".join(["9" if p[0].isdigit() else ("A" if p[0].isupper() else "a") if p[0].isalpha() else p for p in pieces])
 
 
 class Context:
@@ -433,9 +433,9 @@ class Context:
             w2 = self.word(before[slice(*last[0])].lower() if len(last) > 1 else "")
             mark = before[last[-1][1] :] if last else before
             at_start = not before.strip() or "\n" in text[max(0, a - 2) : a]
-            cue = [m.group().strip().lower() for m in _CUES.finditer(before)][-1:]
+            cue = [m.strip().lower() for m in _CUES.findall(before)][-1:]
             found = (
-                ("l1", w1), ("l12", f"{w2} {w1}"), ("lm", mark.strip()[-2:]), ("line", str(at_start)), ("lcue", " ".join(cue)), ("ls", _outline(before)[-6:])
+                ("l1", w1), ("l12", f"{w2} {w1}"), ("lm", mark.strip()[-2:]), ("line", str(at_start)), ("lcue", " ".join(cue)), ("ls", _outline(_PIECES(before)[-6:]))
             )
             self.lefts[a] = before, before[-1:].isalnum(), w1, found
         return self.lefts[a]
@@ -446,7 +446,7 @@ class Context:
             after = _GAP.sub(" ", self.text[b : b + 24])
             follow = _FOLLOW.match(after)
             sep = follow.group(1)[:3]
-            self.rights[b] = after[:1].isalnum(), sep, (("r1", sep + self.word(follow.group(2).lower())), ("rm", sep), ("rs", _outline(after)[:6]))
+            self.rights[b] = after[:1].isalnum(), sep, (("r1", sep + self.word(follow.group(2).lower())), ("rm", sep), ("rs", _outline(_PIECES(after)[:6])))
         return self.rights[b]
 
 

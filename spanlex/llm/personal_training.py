@@ -249,9 +249,20 @@ class Maker:
             lambda: f"{self.bare()} disease and the {self.bare()} test were seen at {self.place()}.",
             lambda: f"Stained with {self.bare()} dye and fixed by {self.bare()} acid.",
             *(lambda: self.capitals(),) * 6,
+            *(lambda: self.behind_cue(),) * 3,
             lambda: f"The {self.bare()} syndrome was found in {self.d(2)} of {self.d(3)} cases.",
         ))()
 
+    def behind_cue(self) -> str:
+        """What stands behind a cue and is no person."""
+        r, t = self.r, self.term
+        thing = r.choice(("the series", "the experiment", "the method", "an observer", "the second observer", "means", "the addition", "many authors", "a nurse", "most", t(), f"{t()} {t()}", f"the {t()}"))
+        cue = r.choice(("was reported by", "has been reported by", "were read by", "was examined by", "is reviewed by", "written by", "were cut by", "was told by", "were admitted by", "according to", "thanks to", "sent to", "requests to", "the widow of", "photographs by", "letter from"))
+        return r.choice((
+            f"The {t()} in the {t()} {cue} {thing} of the {t()}.", f"It {cue} {thing}, and the {t()} was {t()}.", f"{cue.capitalize()} {thing} in {self.d(2)} {t()}.",
+            f"The {t()} of a nurse who had been {t()} with the {t()} of the frau was {t()}.",
+        ))
+
     def term(self) -> str:
         """A technical word, mostly in no list."""
         r = self.r
