@@ -60,6 +60,7 @@ _NO_LETTERS = r"[\x00-@\[-`{-\x7f[^\x00-\x7f\p{L}]]+"
 _NO_DIGITS = r"[\x00-/:-\x7f[^\x00-\x7f\p{N}]]+"
 _SPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
 _STOPS = r"[\u3001\u3002\uff01\uff0c\uff0e\uff1f\u104b\u17d4]|[\p{IsThai}\p{IsLao}]{20}"
+_TRAILING = " \t\x0b\x0c"
 _BLANK = r"[\s\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
@@ -114,10 +115,11 @@ def _judged(text: Column) -> Column:
 
 
 def _counts(words: Column, common_words: list[str] | None) -> list[Column]:
-    """Distinct words of a text, repetitions of short ones, and common words."""
+    """Distinct words of a text, letters of all, repetitions of short ones, and common words."""
     each, short = F.filter(words, lambda w: w != ""), F.filter(words, _is_short)
     return [
         F.size(F.array_distinct(each)).alias("n_distinct"),
+        F.aggregate(words, F.lit(0), lambda acc, w: acc + F.length(w)).alias("word_chars"),
         (F.size(short) - F.size(F.array_distinct(short))).alias("repeated"),
         (F.size(F.filter(words, lambda w: w.isin(*common_words))) if common_words else F.lit(None).cast("int")).alias("common"),
     ]
@@ -130,7 +132,7 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None, full: boo
         r"flatten(transform(split(lower(text), '\r\n|\r|\n'), l -> "
         rf"if(length(l) > {LONG_LINE}, split(l, '(?<=[.!?;])\\s+'), array(l))))"
     )
-    lines = F.expr(r"filter(split(text, '\r\n|\r|\n'), l -> l rlike '\\S')")
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda l: F.rtrim(l, F.lit(_TRAILING))), lambda l: l != "")
     # each step is evaluated once: what is used twice is bound by a step of its own, and only small values leave it
     cut = F.transform(parts, lambda p: F.struct(p.alias("p"), F.length(F.replace(p, F.lit(" "), F.lit(""))).alias("n"), F.split(p, _WORDS).alias("w")))
     whole = lambda c: _counts(F.flatten(c["w"]), common_words) if full else []
@@ -151,15 +153,14 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None, full: boo
         F.length("solid").alias("n_chars"),
         total(F.transform("parts", lambda p: p["words"])).alias("n_words"),
         F.size("lines").alias("n_lines"),
-        F.length(F.regexp_replace("solid", _WORDS, "")).alias("word_chars"),
-        *[(F.col(f"j.{c}") if full else F.lit(None).cast("int")).alias(c) for c in ("n_distinct", "repeated", "common")],
+        *[(F.col(f"j.{c}") if full else F.lit(None).cast("int")).alias(c) for c in ("n_distinct", "word_chars", "repeated", "common")],
         total(F.transform("parts", lambda p: p["n"])).alias("part_chars"),
         total(F.transform("parts", lambda p: F.when(p["kind"] == 1, p["n"]).otherwise(0))).alias("running_chars"),
         total(F.transform("parts", lambda p: F.when(p["kind"] > 0, p["n"]).otherwise(0))).alias("echo_chars"),
         total(F.transform("parts", lambda p: p["hits"])).alias("hits"),
         F.length(F.regexp_replace("solid", _NO_DIGITS, "")).alias("digits"),
         F.length(F.regexp_replace("solid", _NO_LETTERS, "")).alias("letters"),
-        F.size(F.filter("lines", lambda l: F.rtrim(l).rlike(r"[.!?:;]\s*$"))).alias("ended"),
+        F.size(F.filter("lines", lambda l: F.right(l, F.lit(1)).isin(*".!?:;"))).alias("ended"),
     )
     share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     return third.select(
@@ -193,7 +194,7 @@ def load_rules() -> list[list[tuple[str, str, float]]]:
 
 def _needs_all() -> bool:
     """Whether a rule uses statistics on distinct words."""
-    return any(name in ("distinct_share", "repeated_short", "common_share") for rule in load_rules() for name, _, _ in rule)
+    return any(name in ("distinct_share", "repeated_short", "common_share", "mean_word") for rule in load_rules() for name, _, _ in rule)
 
 
 def case_expression(rules: list[list[tuple[str, str, float]]]) -> str:
