@@ -170,3 +170,23 @@ def stem_column(col: Column | str, mode: str = "extended") -> Column:
         return words.map(lambda w: None if w is None else stem(w, mode))
 
     return run(col)
+
+
+# The examples published with the algorithm (Porter 1980), word and stem in turn.
+EXAMPLES = """
+caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
+conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file
+happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit
+conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic
+operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit
+sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope
+goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens
+irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun
+activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas
+controll control roll roll
+"""
+
+
+def examples() -> list[tuple[str, str]]:
+    words = EXAMPLES.split()
+    return list(zip(words[0::2], words[1::2]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlex.functions import codec as C
 from spanlex.functions import scoring as S
+from spanlex.functions import stemmer
 from spanlex.operators import evaluate, index, lsi, partials, retrieve
 from spanlex.operators.index import FULL, STOPPED, SURFACE, Analyzer, Index
 from spanlex.session import durable, fresh_path, table
@@ -56,6 +57,13 @@ def stopword_filtered_counts(spark: SparkSession, d: str) -> DataFrame:
     return index.token_counts(documents(spark, d), stop=True)
 
 
+@query
+def stem_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Stems of the words published with the stemming algorithm."""
+    words = spark.createDataFrame([(w,) for w, _ in stemmer.examples()], "word string")
+    return words.select("word", stemmer.stem_column("word", "original").alias("stem"))
+
+
 @query
 def postings_tf(spark: SparkSession, d: str) -> DataFrame:
     """Term frequencies."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanlex.functions.codec import BLOCK
+from spanlex.functions.stemmer import examples
 from spanlex.functions.stopwords import ENGLISH
 from spanlex.operators.index import PART
 
@@ -190,6 +191,7 @@ _S = _W + STATS
 _Q = _S + QTERMS
 
 ORACLE = {
+    "stem_examples": "select * from (values " + ", ".join(f"('{w}', '{x}')" for w, x in examples()) + ") t(word, stem)",
     "tokenize_counts": r"""
 with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents where doc_id is not null)
 select doc_id, cast(coalesce(len(w), 0) as bigint) as n_tokens, cast(coalesce(len(list_distinct(w)), 0) as bigint) as n_distinct from w""",
