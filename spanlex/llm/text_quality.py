@@ -77,9 +77,9 @@ def _is_short(word: Column) -> Column:
     return (F.length(word) <= SHORT) & (word != "") & (F.translate(word, "0123456789_", "") == word)
 
 
-def _own(words: Column) -> Column:
-    """The short words that a text repeats."""
-    return _let(F.array_sort(F.filter(words, _is_short)), lambda s: F.array_distinct(F.filter(s, lambda w, i: (i > 0) & (w == F.get(s, i - 1)))))
+def _own(short: Column) -> Column:
+    """The short words, given in order, that a text repeats."""
+    return F.array_distinct(F.filter(short, lambda w, i: (i > 0) & (w == F.get(short, i - 1))))
 
 
 def _judged(text: Column) -> Column:
@@ -114,11 +114,10 @@ def _judged(text: Column) -> Column:
     return F.transform(counted, lambda p: F.struct(p["x"]["n"].alias("n"), p["words"].alias("words"), p["hits"].alias("hits"), kind(p).alias("kind")))
 
 
-def _counts(words: Column, common_words: list[str] | None) -> list[Column]:
-    """Distinct words of a text, letters of all, repetitions of short ones, and common words."""
-    each, short = F.filter(words, lambda w: w != ""), F.filter(words, _is_short)
+def _counts(words: Column, short: Column, common_words: list[str] | None) -> list[Column]:
+    """Distinct words of a text, letters of all, repetitions of short ones, and common words; empty words are between others."""
     return [
-        F.size(F.array_distinct(each)).alias("n_distinct"),
+        F.size(F.array_remove(F.array_distinct(words), "")).alias("n_distinct"),
         F.aggregate(words, F.lit(0), lambda acc, w: acc + F.length(w)).alias("word_chars"),
         (F.size(short) - F.size(F.array_distinct(short))).alias("repeated"),
         (F.size(F.filter(words, lambda w: w.isin(*common_words))) if common_words else F.lit(None).cast("int")).alias("common"),
@@ -135,10 +134,11 @@ def statistics(docs: DataFrame, common_words: list[str] | None = None, full: boo
     lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda l: F.rtrim(l, F.lit(_TRAILING))), lambda l: l != "")
     # each step is evaluated once: what is used twice is bound by a step of its own, and only small values leave it
     cut = F.transform(parts, lambda p: F.struct(p.alias("p"), F.length(F.replace(p, F.lit(" "), F.lit(""))).alias("n"), F.split(p, _WORDS).alias("w")))
-    whole = lambda c: _counts(F.flatten(c["w"]), common_words) if full else []
-    judged = _let(
-        cut, lambda c: _let(F.struct(c.alias("c"), _own(F.flatten(c["w"])).alias("own")), lambda t: F.struct(_judged(t).alias("parts"), *whole(c)))
-    )
+    def judge(c: Column, words: Column, short: Column) -> Column:
+        whole = _counts(words, short, common_words) if full else []
+        return _let(F.struct(c.alias("c"), _own(short).alias("own")), lambda t: F.struct(_judged(t).alias("parts"), *whole))
+
+    judged = _let(cut, lambda c: _let(F.flatten(c["w"]), lambda ws: _let(F.array_sort(F.filter(ws, _is_short)), lambda short: judge(c, ws, short))))
     second = docs.select(
         "doc_id",
         F.regexp_replace(text, _BLANK, "").alias("solid"),
