@@ -11,24 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix, RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlex.functions import scoring as S
 from spanlex.operators.index import Index, vocabulary, with_statistics
+from spanlex.operators.krylov import decompose
 from spanlex.operators.retrieve import CELLS, DOCUMENTS, Batch, batch_of, hits_of, top_k
 from spanlex.operators.vectors import nearest
 from spanlex.session import durable
 
-#: Documents up to which the Gram matrix is decomposed on the driver (its size is the square of this).
-DENSE_LIMIT = 4000
-#: Singular values below this share of the largest count as zero.
-TOLERANCE = 1e-9
-
-
 @dataclass
 class Model:
     """``doc_vectors(doc_id, v)`` are the rows of V; ``sigma`` the singular values, descending."""
@@ -41,10 +33,11 @@ class Model:
         return len(self.sigma)
 
 
-def cells(index: Index) -> DataFrame:
-    """``(term, doc_id, w)``: the tf-idf weighted matrix."""
-    rows = with_statistics(index.postings, index.term_stats.select("term", "df")).crossJoin(F.broadcast(index.corpus_stats))
-    return rows.select("term", "doc_id", S.tfidf(F.col("tf"), S.idf(F.col("n"), F.col("df"))).alias("w"))
+def cells(index: Index, ids: DataFrame) -> DataFrame:
+    """``(term, term_id, doc_id, w)``: the tf-idf weighted matrix, with the numbers of terms of ``ids(term, term_id)``."""
+    stats = index.term_stats.select("term", "df").join(ids, "term")
+    rows = with_statistics(index.postings, stats).crossJoin(F.broadcast(index.corpus_stats))  # one row
+    return rows.select("term", "term_id", "doc_id", S.tfidf(F.col("tf"), S.idf(F.col("n"), F.col("df"))).alias("w"))
 
 
 def rank_of(terms: int, docs: int, k: int | None) -> int:
@@ -55,35 +48,14 @@ def rank_of(terms: int, docs: int, k: int | None) -> int:
 
 
 def build(index: Index, k: int | None = None) -> Model:
-    """Decompose the matrix of an index.
-
-    Few documents: the Gram matrix of documents is summed up by the cluster and decomposed on the driver. More:
-    distributed Lanczos iterations on the cached rows. Documents without terms have no vector.
-    """
-    spark = index.postings.sparkSession
-    matrix = cells(index)
+    """Decompose the matrix of an index, whatever its size. Documents without terms have no vector."""
     docs, terms = index.doc_stats.count(), index.term_stats.count()
-    k = rank_of(terms, docs, k)
-    if docs <= DENSE_LIMIT:
-        ids = [r["doc_id"] for r in index.doc_stats.select("doc_id").orderBy("doc_id").collect()]  # at most DENSE_LIMIT
-        place = {d: i for i, d in enumerate(ids)}
-        n = len(ids)
-        rows = matrix.groupBy("term").agg(F.collect_list(F.struct("doc_id", "w")).alias("x")).select("x").rdd
-        gram = RowMatrix(rows.map(lambda r: Vectors.sparse(n, {place[c["doc_id"]]: c["w"] for c in r["x"]})), numCols=n)
-        values, vectors = np.linalg.eigh(gram.computeGramianMatrix().toArray())
-        order = np.argsort(-values)[:k]
-        sigma = np.sqrt(np.maximum(values[order], 0.0))
-        keep = sigma > TOLERANCE * max(float(sigma[0]), 1e-300)
-        v = vectors[:, order][:, keep]
-        pairs = [(d, [float(x) for x in row]) for d, row in zip(ids, v)]
-        return Model(spark.createDataFrame(pairs, "doc_id bigint, v array<double>"), [float(s) for s in sigma[keep]])
-    coded = matrix.join(vocabulary(index.postings), "term")
-    # a written table: rows come in one order whatever is read again, and documents keep their ids
-    by_doc = durable(coded.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("x")), "lsi-rows")
-    rows = by_doc.rdd.map(lambda r: IndexedRow(r["doc_id"], Vectors.sparse(terms, [c["term_id"] for c in r["x"]], [c["w"] for c in r["x"]])))
-    svd = IndexedRowMatrix(rows.persist(StorageLevel.MEMORY_AND_DISK), numCols=terms).computeSVD(k, computeU=True, rCond=TOLERANCE)
-    left = svd.U.rows.map(lambda r: (r.index, [float(x) for x in r.vector]))
-    return Model(durable(spark.createDataFrame(left, "doc_id bigint, v array<double>"), "lsi-vectors"), [float(s) for s in svd.s])
+    if not docs:
+        return Model(index.postings.sparkSession.createDataFrame([], "doc_id bigint, v array<double>"), [])
+    coded = cells(index, vocabulary(index.postings)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("x"))
+    rows = durable(coded.select("doc_id", F.col("x.term_id").alias("t"), F.col("x.w").alias("w")), "lsi-rows")
+    found = decompose(rows, terms, rank_of(terms, docs, k))
+    return Model(found.vectors, found.sigma)
 
 
 def unit_documents(model: Model) -> DataFrame:
@@ -154,6 +126,8 @@ def retrieve(index: Index, model: Model, queries: DataFrame, k: int = 10) -> Dat
     if batch is None:  # two halves, each with its own pass
         half = F.pmod(F.xxhash64("qid"), F.lit(2))
         return retrieve(index, model, queries.where(half == 0), k).unionByName(retrieve(index, model, queries.where(half == 1), k))
+    if not model.sigma:
+        return index.names.select(F.lit("").alias("qid"), F.lit(0).alias("rank"), "doc_id", "doc_name", F.lit(0.0).alias("score")).limit(0)
     docs = durable(unit_documents(model).join(index.names, "doc_id").select("doc_id", "doc_name", "vec"), "lsi-documents")
     most = max(1, CELLS // max(1, model.k))
     out = None

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spanlex.operators import evaluate, lsi, retrieve
+from spanlex.operators import evaluate, krylov, lsi, retrieve
 from spanlex.operators.index import Index, build, merge_postings, posting_lists, vocabulary
 
 TOY = [(1, "d1", "x", "apple apple banana"), (2, "d2", "y", "banana cherry"), (3, "d3", "x", "apple"), (4, "d4", "y", ""), (5, "d5", "y", None)]
@@ -151,7 +151,7 @@ def test_lsi_equals_dense_algebra(spark, monkeypatch):
     cosine = vectors @ folded / np.linalg.norm(vectors, axis=1) / np.linalg.norm(folded)
     for (_, name, _, _), c in zip(docs, cosine):
         assert got[name] == pytest.approx(c, abs=1e-5)
-    big = lsi.build(index, 6) if not monkeypatch.setattr(lsi, "DENSE_LIMIT", 0) else None
+    big = lsi.build(index, 6) if not monkeypatch.setattr(krylov, "CELLS", 50) else None  # ranges of a few columns
     assert np.allclose(big.sigma, model.sigma)
     monkeypatch.setattr(lsi, "CELLS", 12)
     monkeypatch.setattr(retrieve, "HELD", 3)
@@ -160,3 +160,25 @@ def test_lsi_equals_dense_algebra(spark, monkeypatch):
     few = lsi.retrieve(index, big, asked(spark, "zzz", text, "w1"), 3).where("qid = '1'").orderBy("rank").collect()
     assert [x["doc_name"] for x in few] == sorted(got, key=lambda n: (-got[n], n))[:3]
     assert model.k == 6 and math.isclose(model.sigma[0], s[0], rel_tol=1e-9)
+
+
+def test_decomposition_of_a_larger_matrix(spark):
+    """Many steps, a rank below the number of rows, and an empty matrix."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a = np.where(rng.random((300, 220)) < 0.08, rng.normal(size=(300, 220)) ** 2, 0.0)
+    a[:, 0] += 0.5
+    a[250:] = a[:50]
+    rows = [(i * 7 - 50, np.flatnonzero(x).tolist(), x[x != 0].tolist()) for i, x in enumerate(a)]
+    table = spark.createDataFrame(rows, "doc_id bigint, t array<int>, w array<double>").repartition(5)
+    found = krylov.decompose(table, 220, 12)
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(found.sigma, s[:12], rtol=1e-7) and found.residual < 1e-6
+    v = np.array([r["v"] for r in found.vectors.orderBy("doc_id").collect()])
+    assert np.allclose(v.T @ v, np.eye(12), atol=1e-6)
+    assert np.allclose(np.abs(np.einsum("ij,ij->j", v, u[:, :12])), 1, atol=1e-5)
+    low = spark.createDataFrame([(i, [0, 1], [1.0, float(i % 2)]) for i in range(40)], "doc_id bigint, t array<int>, w array<double>")
+    assert len(krylov.decompose(low, 2, 10).sigma) == 2
+    empty = build(spark.createDataFrame([], "doc_id bigint, doc_name string, block string, text string"))
+    assert lsi.retrieve(empty, lsi.build(empty), asked(spark, "apple")).count() == 0
