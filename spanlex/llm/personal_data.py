@@ -116,11 +116,11 @@ _ANY = r"[^\W\d_]{2,}(?:['’\-–][^\W\d_]+)*"
 _INITIALS = re.compile(
     rf"(?<![\w.'’\-])(?:(?:{_ANY}{_S})?(?:[^\W\d_]\.{_S}?){{1,3}}(?:{_PART}{_S}){{0,2}}{_ANY}|{_ANY},{_S}(?:{_ANY}{_S})?[^\W\d_]\.(?:{_S}?[^\W\d_]\.)?)(?!\w)", re.I
 )
-_LISTED = re.compile(
-    rf"^[ \t\ufeff]*({_ANY}{_S}(?:(?:{_LONE}|{_PART}){_S}){{0,3}}{_ANY})(?=\s?[,(<:])|^[ \t\ufeff]*({_ANY}[ ][^\W\d_]{{1,3}})(?=[:,])"
-    rf"|[.;>)]\s{{1,3}}({_ANY}{_S}(?:(?:{_LONE}|{_PART}){_S}){{0,3}}{_ANY})(?=\s?[,(<])",
-    re.M | re.I,
-)
+_PART_ANY = "(?:" + "|".join(f(p) for p in sorted(PARTICLES) for f in (str.lower, str.upper, str.capitalize)) + ")"
+_PAIR = rf"{_ANY}{_S}(?:(?:{_LONE}|{_PART_ANY}){_S}){{0,3}}{_ANY}"
+_LISTED = re.compile(rf"^[ \t\ufeff]*({_PAIR})(?=\s?[,(<:])|^[ \t\ufeff]*({_ANY}[ ][^\W\d_]{{1,3}})(?=[:,])", re.M)
+_SENTENCE = re.compile(rf"[.;>)]\s{{1,3}}({_PAIR})(?=\s?[,(<])")
+_WHOLE = (_LISTED, _SENTENCE)
 
 
 _FUNCTION = frozenset(FUNCTION_WORDS) - PARTICLES
@@ -324,7 +324,7 @@ def _names(text: str, cues: list[str], lexicon: Lexicon) -> Iterator[Span]:
                 if shape is not None:
                     yield Span(a, b, "name")
     one_case = text.islower() or text.isupper()
-    for pattern in (_INITIALS, _LISTED) if one_case else (_RUN, _LISTED):
+    for pattern in (_INITIALS if one_case else _RUN, *_WHOLE):
         if pattern is _INITIALS and not _INITIAL.search(text):
             continue
         for m in pattern.finditer(text):
@@ -332,8 +332,8 @@ def _names(text: str, cues: list[str], lexicon: Lexicon) -> Iterator[Span]:
             words = [t.group() for t in tokens]
             kinds = [lexicon.tokens[w] for w in words]
             for i in range(len(tokens) - 1):
-                # of a line's beginning only the whole is a candidate
-                for j in range(len(tokens) - 1 if pattern is _LISTED else i + 1, min(i + NAME_WORDS, len(tokens))):
+                # of the beginning of a line or sentence only the whole is a candidate
+                for j in range(len(tokens) - 1 if pattern in _WHOLE else i + 1, min(i + NAME_WORDS, len(tokens))):
                     last = words[j]
                     a, b = tokens[i].start(), tokens[j].end()
                     if last.endswith(".") and len(last) > 2:
@@ -343,7 +343,7 @@ def _names(text: str, cues: list[str], lexicon: Lexicon) -> Iterator[Span]:
                     seen.add((a, b))
                     if _shape(kinds[i : j + 1]) not in (None, TOO_LONG):
                         yield Span(a, b, "name")
-                if pattern is _LISTED:
+                if pattern in _WHOLE:
                     break
 
 
