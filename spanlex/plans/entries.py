@@ -13,7 +13,7 @@ from spanlex.functions import stemmer
 from spanlex.operators import evaluate, index, lsi, partials, retrieve
 from spanlex.operators.index import FULL, STOPPED, SURFACE, Analyzer, Index
 from spanlex.session import durable, fresh_path, table
-from spanlex.sources import store
+from spanlex.sources import collection, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,50 @@ def plain_postings(spark: SparkSession, d: str, analyzer: Analyzer = SURFACE) ->
     return index.build(documents(spark, d), analyzer).postings
 
 
+# --- sources ----------------------------------------------------------------------------------------
+
+
+@query
+def collection_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The collection written as one file per document, a folder per block, and scanned again: tokens of every file."""
+    path = fresh_path(spark, "collection")
+    docs = documents(spark, d).where("text is not null").select("block", "doc_id", "text")
+    docs.write.partitionBy("block", "doc_id").text(path)
+    files = collection.text_collection(spark, path)
+    number = F.regexp_extract("doc_name", r"doc_id=(\d+)/", 1).cast("bigint")
+    named = files.select(number.alias("doc_id"), F.regexp_extract("block", "block=(.*)", 1).alias("block"), "text")
+    return index.token_counts(named).join(named.select("doc_id", "block"), "doc_id").select("doc_id", "block", "n_tokens")
+
+
+def _lines(spark: SparkSession, rows: DataFrame, what: str) -> str:
+    """The path of one text file of the rows' ``value``, in their order."""
+    path = fresh_path(spark, what)
+    rows.coalesce(1).write.text(path)
+    return path
+
+
+@query
+def keyed_query_file(spark: SparkSession, d: str) -> DataFrame:
+    """Queries written to a file of lines with the query's key in front, and read again."""
+    line = F.concat_ws(" ", "qid", F.regexp_replace("text", r"\s+", "  "))
+    return collection.keyed_queries(spark, _lines(spark, asked(spark, d).select(line.alias("value")), "queries"))
+
+
+@query
+def plain_query_file(spark: SparkSession, d: str) -> DataFrame:
+    """Queries written to a file, one in a line, and read again; blank lines are no queries, but count as lines."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
+    return collection.plain_queries(spark, _lines(spark, asked(spark, d).orderBy("qid").select(text.alias("value")), "queries"))
+
+
+@query
+def judgment_file(spark: SparkSession, d: str) -> DataFrame:
+    """Judgments written to a file and read again: every listed pair is relevant."""
+    rows = table(spark, d, "qrels").where("qid is not null and doc_id is not null")
+    line = F.concat_ws("  ", "qid", F.col("doc_id").cast("string"), F.coalesce(F.col("rel").cast("string"), F.lit("-")))
+    return collection.qrels(spark, _lines(spark, rows.select(line.alias("value")), "qrels"))
+
+
 # --- text and index ---------------------------------------------------------------------------------
 
 
@@ -355,8 +399,20 @@ def eval_mean(spark: SparkSession, d: str) -> DataFrame:
     built_index, queries, qrels = built(spark, d), asked(spark, d), table(spark, d, "qrels")
     out = None
     for method in ("tfidf", "bm25", "bm25_wand"):
-        rows = durable(evaluate.judge(retrieve.retrieve(built_index, queries, method, 1000), qrels), "judged")
-        for name in evaluate.METRICS:
-            part = evaluate.mean(rows, name).select(F.lit(method).alias("method"), "metric", F.round("value", 6).alias("value"))
-            out = part if out is None else out.unionByName(part)
+        part = _means(retrieve.retrieve(built_index, queries, method, 1000), qrels, method)
+        out = part if out is None else out.unionByName(part)
     return out
+
+
+def _means(ranking: DataFrame, qrels: DataFrame, method: str) -> DataFrame:
+    rows = durable(evaluate.judge(ranking, qrels), "judged")
+    parts = [evaluate.mean(rows, name).select(F.lit(method).alias("method"), "metric", F.round("value", 6).alias("value")) for name in evaluate.METRICS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def eval_mean_lsi(spark: SparkSession, d: str) -> DataFrame:
+    """Means of all metrics over rankings by latent semantic indexing, 1000 documents deep."""
+    built_index = built(spark, d, STOPPED)
+    ranking = lsi.retrieve(built_index, lsi.build(built_index), asked(spark, d), 1000)
+    return _means(ranking, table(spark, d, "qrels"), "lsi")

@@ -190,7 +190,16 @@ _W = "with" + TOKENS
 _S = _W + STATS
 _Q = _S + QTERMS
 
+_ASKED = "with qtext as (select qid, max(text) as text from queries where qid is not null group by qid)"
+
 ORACLE = {
+    "collection_scan": r"""
+select doc_id, block, cast(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as bigint) as n_tokens from documents where text is not null and doc_id is not null""",
+    "keyed_query_file": _ASKED + r" select qid, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as text from qtext",
+    "plain_query_file": _ASKED
+    + r""", lines as (select row_number() over (order by qid) as n, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as text from qtext)
+select cast(n as varchar) as qid, text from lines where text <> ''""",
+    "judgment_file": "select distinct qid, doc_id, 1 as rel from qrels where qid is not null and doc_id is not null",
     "stem_examples": "select * from (values " + ", ".join(f"('{w}', '{x}')" for w, x in examples()) + ") t(word, stem)",
     "tokenize_counts": r"""
 with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents where doc_id is not null)
