@@ -26,6 +26,8 @@ LIMIT = 4096
 SMALL = 24
 #: Oversized buckets up to this number are broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
+#: Members of a group of copies in one task.
+MEMBERS = 2048
 #: Pairs a task holds before they are cut to the nearest.
 HELD = 1_000_000
 #: Cells in which rows are counted before buckets are.
@@ -250,6 +252,35 @@ def _may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a != 2) & (b != 1)) | ((b != 2) & (a != 1))
 
 
+def copies_of_groups(keyed: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
+    """``(rep, doc_id)`` of all documents of ``keyed(doc_id, *key)`` in ``groups(*key, rep)``.
+
+    A group may hold any share of the documents, so the groups are sent to them as long as they are few; many
+    groups are joined by a shuffle, in which no group can be much more than the others' sum.
+    """
+    groups = written(groups.select(*key, "rep"), "groups")
+    sent = F.broadcast(groups) if groups.count() <= BROADCAST else groups
+    return keyed.join(sent, key).select("rep", "doc_id")
+
+
+def in_parts(members: DataFrame, size: int = MEMBERS) -> tuple[DataFrame, DataFrame]:
+    """``(rep, part, doc_id)`` of groups divided over parts of about ``size`` members, and ``(rep, parts)``."""
+    parts = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")
+    number = parts.where("parts > 1").count()
+    large = parts.where("parts > 1")
+    divided = members.join(F.broadcast(large) if number <= BROADCAST else large, "rep", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return divided.select("rep", own, "doc_id"), parts
+
+
+def every_member(rows: DataFrame, key: str, divided: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (of a written table) with each representative in ``key`` replaced by all members of its group, in turn."""
+    known = rows.join(parts.withColumnRenamed("rep", key), key, "left")
+    grouped = known.where("parts is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    all_of = grouped.join(divided.withColumnRenamed("rep", key), [key, "part"]).drop(key, "part", "parts").withColumnRenamed("doc_id", key)
+    return all_of.unionByName(known.where("parts is null").drop("parts"))
+
+
 def written(rows: DataFrame, what: str) -> DataFrame:
     """Bucket rows as a written table: they are read for the sizes of buckets and again for the pairs."""
     return durable(rows, what)

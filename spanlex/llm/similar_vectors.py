@@ -209,8 +209,7 @@ def neighbours(
     groups = keyed.groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
     copies = groups.where("members > 1")
     # (rep, doc_id) of all documents in groups of copies
-    members = keyed.join(copies, ["h", "g"]).select("rep", "doc_id")
-    members = buckets.written(members, "copies")
+    members = buckets.written(buckets.copies_of_groups(keyed, copies, ["h", "g"]), "copies")
     others = members.where("doc_id <> rep").select("doc_id")
     reps = vecs.join(others, "doc_id", "left_anti")
     if asks:
@@ -241,9 +240,9 @@ def neighbours(
     )
     order = [F.desc("similarity"), F.asc("neighbour")]
     lists = lists.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(*order))).where(F.col("r") <= k + 1)
-    each = lists.join(members, "rep", "left").select(
-        F.coalesce("doc_id", "rep").alias("doc_id"), "neighbour", "similarity"
-    ).where("doc_id <> neighbour")
+    # every member of a group gets the group's list; a large group is divided over tasks
+    lists = buckets.written(lists.select("rep", "neighbour", "similarity"), "lists")
+    each = buckets.every_member(lists, "rep", *buckets.in_parts(members)).withColumnRenamed("rep", "doc_id").where("doc_id <> neighbour")
     if asks:
         each = each.where(asks)
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)))

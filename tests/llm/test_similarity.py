@@ -272,3 +272,10 @@ def test_large_groups_of_copies_lose_nothing(spark):
     members = spark.createDataFrame([(0, i) for i in range(50)] + [(60, 60), (60, 61)], "rep bigint, doc_id bigint")
     got = [(r["x"], r["y"]) for r in near_duplicates.copies_of(members, 7).collect()]
     assert sorted(got) == [(i, j) for i in range(50) for j in range(i + 1, 50)] + [(60, 61)]
+
+
+def test_every_member_of_divided_groups(spark):
+    members = spark.createDataFrame([(0, i) for i in range(60)] + [(70, 70), (70, 71)], "rep bigint, doc_id bigint")
+    rows = spark.createDataFrame([(0, 1.0), (70, 0.9), (99, 0.5)], "a bigint, s double")
+    got = sorted(map(tuple, buckets.every_member(rows, "a", *buckets.in_parts(members, 7)).select("a", "s").collect()))
+    assert got == [(i, 1.0) for i in range(60)] + [(70, 0.9), (71, 0.9), (99, 0.5)]
