@@ -43,12 +43,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors.similar_pairs(table(spark, d, "lsi_docs"))
 
 
+#: Tables, buckets asked in each, and how many times more with a second hash.
+LISTS = {"tables": 6, "number": 8, "more": 16}
+
+
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar documents of every document whose id is divisible by 50, against all."""
-    near = similar_vectors.neighbours(table(spark, d, "lsi_docs"), asks="doc_id % 50 = 0", tables=6, number=4, more=16)
+    near = similar_vectors.neighbours(table(spark, d, "lsi_docs"), asks="doc_id % 50 = 0", **LISTS)
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of ``p4_neighbours`` that were asked for, and whether they hold nine tenths of the exact ones."""
+    one = similar_vectors.recall(table(spark, d, "lsi_docs"), "doc_id % 50 = 0", **LISTS)
+    return one.select("asked", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of texts that share at least four fifths of their words."""
     pairs = near_duplicates.near_duplicate_pairs(table(spark, d, "documents"))
@@ -101,6 +111,7 @@ QUERIES = {
     "p3_terms": p3_terms,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p4_recall": p4_recall,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p7_ids": p7_ids,
@@ -138,13 +149,15 @@ marked as (
   from counts)
 """
 
-SIMILAR = """
+_USABLE = """
 with usable as (
   select doc_id, vec, built_at from lsi_docs
   where doc_id is not null and vec is not null and len(vec) = 64
     and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0),
-latest as (select doc_id, vec from usable qualify row_number() over (partition by doc_id order by built_at desc nulls last, vec desc) = 1),
-pairs as (
+latest as (select doc_id, vec from usable qualify row_number() over (partition by doc_id order by built_at desc nulls last, vec desc) = 1)
+"""
+
+SIMILAR = _USABLE + """, pairs as (
   select a.doc_id as a, b.doc_id as b, list_cosine_similarity(a.vec, b.vec) as s from latest a, latest b where a.doc_id <> b.doc_id),
 near as (select a, b, s from pairs qualify row_number() over (partition by a order by round(s, 12) desc, b) <= 10)
 select distinct least(a, b) as doc_id_a, greatest(a, b) as doc_id_b from near where s >= 0.9
@@ -223,6 +236,7 @@ ORACLE = {
     "p2_found": f"""with s as ({STATISTICS}), f as (select doc_id, n_chars, {", ".join(f"coalesce({c}, 0) as {c}" for c in text_quality.FEATURES)} from s)
 select doc_id from f where n_chars >= 80 and {text_quality.case_expression(text_quality.load_rules()).replace("D ", "e0 ")} > 0""",
     "p4_found": SIMILAR,
+    "p4_recall": _USABLE + "select count(*) as asked, true as enough from latest where doc_id % 50 = 0",
     "p5_found": NEAR_DUPLICATES,
     "p5_classes": CLASSES,
     "p1_found": RANKED,

@@ -31,8 +31,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanlex.llm import buckets
+from spanlex.operators.vectors import nearest as exact_nearest
 
 SIZE = 64
+#: Vectors sent to the tasks at once where lists are compared with the exact ones.
+CHUNK = 50_000
 SEED = 20240101
 
 
@@ -277,3 +280,28 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.9) -> DataFr
     return near.select(
         F.least("doc_id", "neighbour").alias("doc_id_a"), F.greatest("doc_id", "neighbour").alias("doc_id_b")
     ).distinct()
+
+
+def recall(vectors: DataFrame, asks: str, k: int = 10, size: int = SIZE, **how) -> DataFrame:
+    """``(asked, recall)``, one row: the lists of ``neighbours`` against all vectors, exactly, for the documents asked for.
+
+    A list's entry counts if it is as similar as the exact k-th; a list is as long as there are other documents. The
+    vectors asked for go to the tasks ``CHUNK`` at a time, which scan all vectors for each chunk.
+    """
+    vecs = buckets.written(usable(vectors, size), "usable")
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
+    docs = vecs.select("doc_id", F.col("doc_id").cast("string").alias("doc_name"), F.transform("vec", lambda x: x / norm).alias("vec"))
+    found = buckets.written(neighbours(vectors, k, asks=asks, size=size, **how), "found")
+    wanted = docs.where(asks)
+    parts = max(1, -(-wanted.count() // CHUNK))
+    out = None
+    for part in range(parts):
+        some = wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part).select("doc_name", "vec").toArrow()  # about CHUNK
+        matrix = np.array(some.column(1).to_pylist()).reshape(-1, size)
+        rows = exact_nearest(docs, some.column(0).to_pylist(), matrix, k + 1).where("qid <> doc_name")
+        out = rows if out is None else out.unionByName(rows)
+    near = out.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("r") <= k)
+    least = near.groupBy(F.col("qid").cast("bigint").alias("doc_id")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("length"))
+    hits = found.join(least, "doc_id").where("similarity >= least - 1e-8").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    each = least.join(hits, "doc_id", "left").select(F.least(F.coalesce("hits", F.lit(0)) / F.col("length"), F.lit(1.0)).alias("share"))
+    return each.agg(F.count(F.lit(1)).alias("asked"), F.avg("share").alias("recall"))

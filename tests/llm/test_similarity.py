@@ -85,6 +85,17 @@ def test_recall_with_two_hashes(spark):
     assert hits(spark, x, 20, tables=6, number=4, hashes=2, more=16) >= 0.9
 
 
+def test_recall_is_measured_exactly(spark):
+    x = vectors(3, 300)
+    one = similar_vectors.recall(frame(spark, x), "doc_id % 10 = 0", tables=6, number=4).first()
+    got = {}
+    for r in similar_vectors.neighbours(frame(spark, x), asks="doc_id % 10 = 0", tables=6, number=4).collect():
+        got.setdefault(r["doc_id"], []).append(r["similarity"])
+    truth = brute(x)
+    expected = np.mean([sum(s >= truth[i][-1][1] - 1e-8 for s in got.get(i, [])) / 10 for i in range(0, 300, 10)])
+    assert one["asked"] == 30 and abs(one["recall"] - expected) < 1e-9 and expected > 0.8
+
+
 def test_recall_in_a_dense_group(spark):
     """Many distinct vectors of nearly one direction fall into one bucket; none of the nearest is cut."""
     rng = np.random.default_rng(6)
