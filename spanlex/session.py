@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = getattr(spark.sparkContext, "_spanlex_shared", None)
     if own is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="spanlex-")
         spark.sparkContext._spanlex_shared = own
