@@ -34,6 +34,8 @@ from spanlex.llm import buckets
 from spanlex.operators.vectors import nearest as exact_nearest
 
 SIZE = 64
+#: Vectors that a list is chosen from in every table, at least, as far as there are so many.
+SEEN = 400
 #: Vectors sent to the tasks at once where lists are compared with the exact ones.
 CHUNK = 50_000
 SEED = 20240101
@@ -220,7 +222,10 @@ def neighbours(
         reps = reps.join(wanted, "doc_id", "left")
         reps = reps.withColumn("asks", F.coalesce("by_copy", F.lit(False)) | F.expr(asks)).drop("by_copy")
     # further probes of a third hash would be many more rows than larger buckets are
-    n = hashes or hashes_for(vectors.count(), size, most=2 if more > 1 else 8)
+    count = vectors.count()
+    n = hashes or hashes_for(count, size, most=2 if more > 1 else 8)
+    if least is None and n == 1:  # buckets of a small collection hold little, so more of them are asked
+        number = max(number, min(size, -(-SEEN * 2 * size // max(1, count))))
     encode = eight_bits if least is None else four_bits
     rows = bucket_rows(reps, tables, n, number * more ** (n - 1), "asks" if asks else None, encode)
     rows = buckets.written(rows, "vector-buckets")
