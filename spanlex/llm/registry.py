@@ -9,6 +9,10 @@ from spanlex.llm import near_duplicates, packing, personal_data, similar_vectors
 from spanlex.session import durable, table
 
 
+#: Words of a reference list at most; they become literals of the statistics.
+COMMON_WORDS = 10_000
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The ten first documents of every query."""
     return top_n.top_n(table(spark, d, "results"), 10).select("qid", "doc_id")
@@ -21,7 +25,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Quality statistics of every document."""
-    words = [r["word"] for r in table(spark, d, "common_words").where("word is not null").collect()]  # a fixed list
+    rows = table(spark, d, "common_words").where("word is not null").limit(COMMON_WORDS + 1).collect()
+    if len(rows) > COMMON_WORDS:
+        raise ValueError(f"more than {COMMON_WORDS} common words")
+    words = [r["word"] for r in rows]
     stats = text_quality.statistics(table(spark, d, "documents"), words)
     shares = [c for c, kind in stats.dtypes if kind == "double"]
     return stats.withColumns({c: F.round(c, 6) for c in shares})
