@@ -5,7 +5,7 @@ import random
 import pytest
 
 from spanlex.operators import evaluate, krylov, lsi, retrieve
-from spanlex.operators.index import Index, build, merge_postings, posting_lists, vocabulary
+from spanlex.operators.index import build, merge_postings, posting_lists, vocabulary
 
 TOY = [(1, "d1", "x", "apple apple banana"), (2, "d2", "y", "banana cherry"), (3, "d3", "x", "apple"), (4, "d4", "y", ""), (5, "d5", "y", None)]
 
