@@ -290,3 +290,31 @@ def test_every_member_of_divided_groups(spark):
     rows = spark.createDataFrame([(0, 1.0), (70, 0.9), (99, 0.5)], "a bigint, s double")
     got = sorted(map(tuple, buckets.every_member(rows, "a", *buckets.in_parts(members, 7)).select("a", "s").collect()))
     assert got == [(i, 1.0) for i in range(60)] + [(70, 0.9), (71, 0.9), (99, 0.5)]
+
+
+def test_rows_of_buckets_are_bounded_for_any_number_of_texts(spark, monkeypatch):
+    """As many bands as ten million texts need: codes stay short, bands come in rounds, and the pairs are the same."""
+    d = near_duplicates
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id bigint, text string")
+    few = {tuple(r)[:2] for r in d.near_duplicate_pairs(table).collect()}
+    monkeypatch.setattr(d, "banding", lambda total, threshold=0.8: (59, 9))
+    widths, rounds = [], []
+    candidates = buckets.candidates
+
+    def seen(rows, *how):
+        widths.append(len(rows.first()["code"]))
+        rounds.append(rows.groupBy("id").count().agg({"count": "max"}).first()[0])
+        return candidates(rows, *how)
+
+    monkeypatch.setattr(buckets, "candidates", seen)
+    many = {tuple(r)[:2] for r in d.near_duplicate_pairs(table).collect()}
+    assert max(widths) <= 44 and max(rounds) <= d.ROUND and sum(rounds) == 59
+    assert len(many & few) >= 0.99 * len(few) and len(many - few) <= 0.01 * len(few) + 1
+
+
+def test_samples_are_the_same_in_parts(monkeypatch):
+    bags = some_bags(["one two three four five", "two three three six"])
+    weight = np.ones(near_duplicates.CELLS, dtype=np.float32)
+    whole = near_duplicates.signatures(bags, weight, 150)
+    monkeypatch.setattr(near_duplicates, "SAMPLES", 40)
+    assert (near_duplicates.signatures(bags, weight, 150) == whole).all()
