@@ -6,6 +6,7 @@ Input is ``judged(qid, rank, rel)`` with ranks from 1 without gaps. Where a form
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +69,15 @@ def metric(judged: DataFrame, name: str) -> DataFrame:
     return known[name.upper()](judged)
 
 
+def values_of(rel: np.ndarray, p: float = 0.8) -> tuple[float, float, float | None, float]:
+    """All metrics of one ranking, in the order of ``METRICS``: ``rel`` is the relevance by rank."""
+    rank = np.arange(1.0, len(rel) + 1)
+    discount = np.log2(rank + 1.0)
+    gain, ideal = float((rel / discount).sum()), float((np.sort(rel)[::-1] / discount).sum())
+    precision = np.cumsum(rel) / rank
+    return float((1.0 - p) * (rel * p ** (rank - 1)).sum()), gain, gain / ideal if ideal else None, float((precision * rel).sum() / len(rel))
+
+
 def mean(judged: DataFrame, name: str) -> DataFrame:
     """The mean over queries, one row."""
     return metric(judged, name).agg(F.lit(name.upper()).alias("metric"), F.avg("value").alias("value"))

@@ -182,3 +182,23 @@ def test_decomposition_of_a_larger_matrix(spark):
     assert len(krylov.decompose(low, 2, 10).sigma) == 2
     empty = build(spark.createDataFrame([], "doc_id bigint, doc_name string, block string, text string"))
     assert lsi.retrieve(empty, lsi.build(empty), asked(spark, "apple")).count() == 0
+
+
+def test_measured_rankings_are_those_of_retrieve(spark, small, monkeypatch):
+    """Metrics found in groups of few queries and blocks of few postings, against those of the written rankings."""
+    from spanlex.operators import evaluate, measure
+    from spanlex.plans import entries
+
+    index, queries, qrels = entries.built(spark, small), entries.asked(spark, small), entries.table(spark, small, "qrels")
+    monkeypatch.setattr(measure, "HITS", 300)
+    methods = ("tfidf", "bm25", "bm25_wand")
+    for k in (5, 1000):
+        monkeypatch.setattr(measure, "ROWS", 30 * k)
+        got = {(r["method"], r["qid"]): r for r in measure.measured(index, queries, qrels, methods, k).collect()}
+        for method in methods:
+            judged = evaluate.judge(retrieve.retrieve(index, queries, method, k), qrels).persist()
+            for name in evaluate.METRICS:
+                expected = {r["qid"]: r["value"] for r in evaluate.metric(judged, name).collect()}
+                mine = {q: r[name] for (m, q), r in got.items() if m == method}
+                assert set(mine) == set(expected)
+                assert all(x == expected[q] or abs(x - expected[q]) < 1e-9 for q, x in mine.items())
