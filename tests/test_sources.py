@@ -96,3 +96,26 @@ def test_stream(spark, tmp_path):
     index = ingest.merged(spark, str(tmp_path / "out"))
     assert sorted(map(tuple, index.postings.collect())) == [(1, "cherry", 1), (1, "pie", 1), (2, "apple", 2)]
     assert sorted(map(tuple, index.names.collect())) == [(1, "c"), (2, "b"), (3, "d")]
+
+
+def test_files_of_a_collection(spark, tmp_path):
+    """A file for every row, odd names of blocks and repeated ids included; listing and reading are left to tasks."""
+    rows = [("1", 1, "one two"), ("1", 1, "three"), ("a/b =%", 2, "été\r\n"), (None, 3, ""), ("2", 4, None), ("2", -5, "x")]
+    root = f"file://{tmp_path}/c"
+    collection.write_files(spark.createDataFrame(rows, "block string, doc_id bigint, text string"), root)
+    assert sum(1 for x in (tmp_path / "c").rglob("*") if x.is_file()) == 5
+    got = collection.read_files(spark, root)
+    order = lambda x: (x[1], x[2])
+    assert sorted(((r["block"], r["doc_id"], r["text"]) for r in got.collect()), key=order) == sorted((r for r in rows if r[2] is not None), key=order)
+    collection.remove_files(spark, root)
+    assert not [x for x in (tmp_path / "c").rglob("*")]
+
+
+def test_collection_scan_in_waves(spark, small, monkeypatch):
+    from spanlex.plans import entries
+
+    monkeypatch.setattr(entries, "WAVE", 20)
+    docs = [r for r in entries.documents(spark, small).where("text is not null").collect()]
+    assert len(docs) > 40
+    got = entries.collection_scan(spark, small).collect()
+    assert sorted((r["doc_id"], r["block"] or "") for r in got) == sorted((r["doc_id"], r["block"] or "") for r in docs)
