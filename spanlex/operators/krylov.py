@@ -10,20 +10,23 @@ residual is known from the same small matrices; blocks are added until all are s
 
 Blocks are kept with the rows and written to a table in every step. X'Y has a row per column of X; it is summed up
 by the tasks and handed out again in ranges of columns of bounded size, so neither the driver nor a task holds
-anything as long as a side of the matrix.
+anything as long as a side of the matrix. The ranges are files in the shared folder, and rows are written once a step,
+whatever the number of ranges. What a step has read is removed when its table is written.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlex.session import durable
+from spanlex.session import cleaned, discard, durable, forget, fresh_path
 
 #: Numbers of a range of X'Y, and of an intermediate product inside a task.
 CELLS, PRODUCT = 8_000_000, 2_000_000
@@ -60,17 +63,6 @@ def _matrix(column: pa.ListArray, rows: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(rows, -1) if rows else np.empty((0, 0))
 
 
-def _pieces(sizes: np.ndarray, width: int) -> Iterator[slice]:
-    """Stretches of rows whose values times ``width`` are not too many."""
-    most, at = max(1, PRODUCT // max(1, width)), 0
-    ends = np.cumsum(sizes)
-    while at < len(sizes):
-        limit = (ends[at - 1] if at else 0) + most
-        to = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
-        yield slice(at, to)
-        at = to
-
-
 def _sum_over_tasks(table: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
     """A small matrix summed up over all rows: one per task comes to the driver."""
 
@@ -119,7 +111,8 @@ def _columns_sum(table: DataFrame, grow: Growth, first: int, number: int) -> np.
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), _lists(np.array(list(total.values())).reshape(len(total), width))], names=["t", "x"])
 
     kind = "t int, x array<double>"
-    parts = table.mapInArrow(run, kind).repartition("t").mapInArrow(add, kind).toArrow()  # at most CELLS numbers
+    with cleaned(table.sparkSession):
+        parts = table.mapInArrow(run, kind).repartition("t").mapInArrow(add, kind).toArrow()  # at most CELLS numbers
     out = np.zeros((number, width))
     if parts.num_rows:
         out[parts.column(0).to_numpy()] = np.concatenate([_matrix(c, len(c)) for c in parts.column(1).chunks if len(c)])
@@ -131,8 +124,9 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * width).astype(np.int32)), pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
 
-def _advance(table: DataFrame, grow: Growth, sums: np.ndarray, first: int, fresh: bool) -> DataFrame:
-    """Rows with the new block, and its product X(X'Y) as far as a range of columns makes it."""
+def _advance(table: DataFrame, grow: Growth, path: str, columns: int, most: int) -> DataFrame:
+    """Rows with the new block, and its product X(X'Y), from the ranges of X'Y in the files below the path."""
+    width = grow.inverse.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,23 +134,37 @@ def _advance(table: DataFrame, grow: Growth, sums: np.ndarray, first: int, fresh
             if not n:
                 continue
             blocks, product = _matrix(batch.column(3), n), _matrix(batch.column(4), n)
-            if fresh:
-                blocks, product = np.hstack([blocks, grow(blocks, product)]), np.zeros((n, sums.shape[1]))
-            else:
-                product = product.copy()
-            t, w = batch.column(1).flatten().to_numpy() - first, batch.column(2).flatten().to_numpy()
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            starts = np.append(0, np.cumsum(sizes))
-            for some in _pieces(sizes, sums.shape[1]):
-                a, b = starts[some.start], starts[some.stop]
-                inside = (t[a:b] >= 0) & (t[a:b] < len(sums))
-                values = np.where(inside, w[a:b], 0.0)[:, None] * sums[np.where(inside, t[a:b], 0)]
-                product[some] += np.add.reduceat(values, starts[some] - a, axis=0)
+            blocks, product = np.hstack([blocks, grow(blocks, product)]), np.zeros((n, width))
+            t, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            row = np.repeat(np.arange(n), np.diff(batch.column(1).offsets.to_numpy()))
+            for first in range(0, columns, most):
+                sums = _load(path, first)
+                inside = np.flatnonzero((t >= first) & (t < first + len(sums)))
+                owner, place, value = row[inside], t[inside] - first, w[inside]
+                for at in range(0, len(inside), step := max(1, PRODUCT // width)):
+                    mine = owner[at : at + step]
+                    starts = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+                    product[mine[starts]] += np.add.reduceat(value[at : at + step, None] * sums[place[at : at + step]], starts, axis=0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(blocks), _lists(product)], names=["doc_id", "t", "w", "k", "x"])
 
     return durable(table.mapInArrow(run, SCHEMA), "krylov")
 
 
+def _save(path: str, first: int, sums: np.ndarray) -> None:
+    files, base = fs.FileSystem.from_uri(path)
+    files.create_dir(base)
+    held = io.BytesIO()
+    np.save(held, sums)
+    with files.open_output_stream(f"{base}/{first}.npy") as out:
+        out.write(held.getbuffer())
+
+
+def _load(path: str, first: int) -> np.ndarray:
+    files, base = fs.FileSystem.from_uri(path)
+    with files.open_input_stream(f"{base}/{first}.npy") as file:
+        return np.load(io.BytesIO(file.read()))
+
+
 def _growth(whole: np.ndarray, total: int) -> Growth:
     """From the inner products of all blocks and of the product with the product. Directions it hardly has are dropped."""
     c, q = whole[:total], whole[total:]
@@ -205,14 +213,18 @@ def decompose(rows: DataFrame, columns: int, k: int) -> Decomposition:
         if steps[1:] and (ended or sum(dims) >= wanted or len(dims) >= STEPS):
             found, sigma, residual = _ritz(table, steps, dims, k)
             if ended or sum(dims) >= number or residual <= TOLERANCE or len(dims) >= STEPS:
-                return Decomposition(_vectors(table, found, dims), sigma, residual)
+                vectors = _vectors(table, found, dims)
+                forget(table)
+                return Decomposition(vectors, sigma, residual)
             wanted = sum(dims) + 2 * dims[-1]
         dims.append(grow.inverse.shape[1])
         most = max(1, CELLS // max(1, dims[-1]))
-        source = table
-        for at in range(0, max(1, columns), most):
-            sums = _columns_sum(source, grow, at, min(most, columns - at))
-            table = _advance(table, grow, sums, at, fresh=at == 0)
+        source, path = table, fresh_path(table.sparkSession, "ranges")
+        for at in range(0, columns, most):
+            _save(path, at, _columns_sum(source, grow, at, min(most, columns - at)))
+        table = _advance(source, grow, path, columns, most)
+        forget(source)
+        discard(table.sparkSession, path)
 
 
 def _ritz(table: DataFrame, steps: list[Growth], dims: list[int], k: int) -> tuple[np.ndarray, list[float], float]:

@@ -19,7 +19,7 @@ from spanlex.operators.index import Index, vocabulary, with_statistics
 from spanlex.operators.krylov import decompose
 from spanlex.operators.retrieve import CELLS, DOCUMENTS, Batch, batch_of, hits_of, top_k
 from spanlex.operators.vectors import nearest
-from spanlex.session import durable
+from spanlex.session import durable, forget
 
 @dataclass
 class Model:
@@ -55,6 +55,7 @@ def build(index: Index, k: int | None = None) -> Model:
     coded = cells(index, vocabulary(index.postings)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("x"))
     rows = durable(coded.select("doc_id", F.col("x.term_id").alias("t"), F.col("x.w").alias("w")), "lsi-rows")
     found = decompose(rows, terms, rank_of(terms, docs, k))
+    forget(rows)
     return Model(found.vectors, found.sigma)
 
 

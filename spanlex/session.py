@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkContext
@@ -57,6 +59,17 @@ def _remove(context: SparkContext, path: str) -> None:
         pass
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that are made and run inside go as soon as each has ended."""
+    before = spark.conf.get(CLEANUP_KEY, "false")
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+
+
 def durable(df: DataFrame, what: str = "stage") -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
@@ -65,12 +78,8 @@ def durable(df: DataFrame, what: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    before = spark.conf.get(CLEANUP_KEY, "false")
-    spark.conf.set(CLEANUP_KEY, "true")
-    try:
+    with cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._spanlex_path = path
     return out
@@ -81,7 +90,12 @@ def forget(*tables: DataFrame) -> None:
     for each in tables:
         path = each.__dict__.get("_spanlex_path")
         if path:
-            _remove(each.sparkSession.sparkContext, path)
+            discard(each.sparkSession, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``fresh_path`` named."""
+    _remove(spark.sparkContext, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -202,3 +202,25 @@ def test_measured_rankings_are_those_of_retrieve(spark, small, monkeypatch):
                 mine = {q: r[name] for (m, q), r in got.items() if m == method}
                 assert set(mine) == set(expected)
                 assert all(x == expected[q] or abs(x - expected[q]) < 1e-9 for q, x in mine.items())
+
+
+def test_steps_leave_nothing_behind(spark, monkeypatch):
+    """X'Y in many ranges: rows are written once a step, and only the singular vectors stay on disk."""
+    import os
+
+    import numpy as np
+
+    x = np.random.default_rng(3).random((50, 40)) * (np.random.default_rng(4).random((50, 40)) < 0.4)
+    rows = [(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for i, r in enumerate(x)]
+    table = spark.createDataFrame(rows, "doc_id bigint, t array<int>, w array<double>")
+    written = []
+    durable = krylov.durable
+    monkeypatch.setattr(krylov, "durable", lambda df, what: written.append(durable(df, what)) or written[-1])
+    monkeypatch.setattr(krylov, "CELLS", 13 * 10)
+    found = krylov.decompose(table, 40, 5)
+    assert np.allclose(found.sigma, np.linalg.svd(x, compute_uv=False)[:5], atol=1e-6)
+    sizes = [len(r["v"]) for r in found.vectors.collect()]
+    assert sizes == [5] * 50
+    left = [t for t in written if os.path.exists(t._spanlex_path)]
+    assert len(left) == 1 and left[0]._spanlex_path == found.vectors._spanlex_path
+    assert not [p for p in os.listdir(os.path.dirname(found.vectors._spanlex_path)) if p.startswith("ranges")]
