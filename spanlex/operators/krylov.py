@@ -1,180 +1,303 @@
-"""Truncated singular value decomposition of a sparse matrix of any size, by block Lanczos iterations.
-
-Rows are ``(doc_id, t, w)``: the columns and values of a row, sorted or not. Wanted are the k largest singular
-values of the matrix X and the left singular vectors, a vector of k numbers for every row.
-
-A block of start vectors is multiplied by X X' again and again; each product is made orthogonal to all blocks
-before it. The blocks together span a space that soon holds the wanted vectors, and the best ones inside it are found
-from small matrices (Rayleigh and Ritz), which is exact as soon as the space is as large as the matrix's rank. Each
-residual is known from the same small matrices; blocks are added until all are small.
-
-Blocks are kept with the rows and written to a table in every step. X'Y has a row per column of X; it is summed up
-by the tasks and handed out again in ranges of columns of bounded size, so neither the driver nor a task holds
-anything as long as a side of the matrix. The ranges are files in the shared folder, and rows are written once a step,
-whatever the number of ranges. What a step has read is removed when its table is written.
+"""Truncated singular value decomposition of a sparse matrix of any size, by block Lanczos iterations with restarts.
+
+Rows are ``(doc_id, t, w)``: the columns and values of a row, sorted or not, and perhaps ``d``: the sum of squares of what else
+the row has in columns of its own, which no other row has a value in. Wanted are the k largest singular values of the
+matrix X and the left singular vectors, a vector of k numbers for every row. A column of one row adds its square to one
+place of the diagonal of X X' and nothing else, so those columns need no numbers: X X' is X_c X_c' + D with the
+columns X_c that several rows have.
+
+A block of vectors is multiplied by X X' again and again; each product is made orthogonal, twice, to all blocks before
+it. The best vectors inside the space that the blocks span are found from small matrices (Rayleigh and Ritz), which also tell
+their residuals. When the space has grown to ``LARGEST`` times k, it is cut to its best vectors and grown again (thick restart),
+so that the numbers held per row are bounded. At the end the iteration is begun anew from random vectors orthogonal to what was
+found: singular values that occur more often than a block is wide would else be missed.
+
+Rows are held in parts, files in the shared folder; a step is a few queries whose tasks read and write parts. X'Y has a row
+per column of X_c; it is summed up by the tasks in ranges of columns of bounded size, so neither the driver nor a task holds
+anything as long as a side of the matrix. What a step has read is removed with it.
 """
 
 from __future__ import annotations
 
 import io
+import math
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlex.session import cleaned, discard, durable, forget, fresh_path
+from spanlex.session import discard, durable, fresh_path
 
-#: Numbers of a range of X'Y, and of an intermediate product inside a task.
-CELLS, PRODUCT = 8_000_000, 2_000_000
+#: Numbers of a range of X'Y.
+CELLS = 8_000_000
+#: Rows of a part, and parts of a task at most.
+PART, HELD = 4096, 64
+#: Vectors of a block as a share of k, and vectors of the space as a multiple of k at most.
+BLOCK, LARGEST = 1 / 3, 2.5
 #: Residuals relative to the largest eigenvalue, and singular values below a share of the largest count as zero.
-TOLERANCE, NOTHING = 1e-6, 1e-6
+TOLERANCE, NOTHING = 3e-7, 1e-6
 #: Directions of a product whose square is below this share of the largest are rounding.
 LOST = 1e-13
-#: Steps at most; what has not converged by then is as good as it got.
-STEPS = 40
-SCHEMA = "doc_id bigint, t array<int>, w array<double>, k array<double>, x array<double>"
+#: Blocks after new random vectors until it counts as certain that nothing was missed, and steps at most; what has not converged by then is as good as it got.
+CERTAIN, STEPS = 2, 200
 
 
-def _start(ids: np.ndarray, size: int) -> np.ndarray:
+def _start(ids: np.ndarray, size: int, draw: int = 0) -> np.ndarray:
     """Start vectors of signs, fixed by the row's id."""
-    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, size + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1 + draw, draw + size + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return 1.0 - 2.0 * ((x ^ (x >> np.uint64(31))) & np.uint64(1)).astype(float)
 
 
-@dataclass
-class Growth:
-    """How a block follows from a product: what of the blocks before it is taken off, and what makes it orthonormal."""
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * width).astype(np.int32)), pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
-    c: np.ndarray
-    inverse: np.ndarray
-    r: np.ndarray
 
-    def __call__(self, blocks: np.ndarray, product: np.ndarray) -> np.ndarray:
-        return (product - blocks @ self.c) @ self.inverse
+def save(path: str, **arrays: np.ndarray) -> None:
+    files, name = fs.FileSystem.from_uri(path)
+    files.create_dir(name.rsplit("/", 1)[0])
+    held, own = io.BytesIO(), f"{name}-{uuid.uuid4().hex}"
+    np.savez(held, **arrays)
+    with files.open_output_stream(own) as out:
+        out.write(held.getbuffer())
+    files.move(own, name)  # of two attempts of a task each writes a whole file
 
 
-def _matrix(column: pa.ListArray, rows: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(rows, -1) if rows else np.empty((0, 0))
+def load(path: str) -> dict[str, np.ndarray]:
+    files, name = fs.FileSystem.from_uri(path)
+    with files.open_input_stream(name) as file, np.load(io.BytesIO(file.read())) as held:
+        return {k: held[k] for k in held.files}
 
 
-def _sum_over_tasks(table: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """A small matrix summed up over all rows: one per task comes to the driver."""
+def uri_of(path: str) -> str:
+    return path if "://" in path else f"file://{path}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for batch in batches:
-            if batch.num_rows:
-                total += of(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-    parts = table.mapInArrow(run, "m binary").toLocalIterator()
-    return sum((np.frombuffer(bytes(r["m"])).reshape(shape) for r in parts), np.zeros(shape))
-
-
-def _columns_sum(table: DataFrame, grow: Growth, first: int, number: int) -> np.ndarray:
-    """X'Y of a range of columns, Y being the block that ``grow`` makes: ``number`` rows."""
-    width = grow.inverse.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((number, width))
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            block = grow(_matrix(batch.column(3), n), _matrix(batch.column(4), n))
-            t, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            row = np.repeat(np.arange(n), sizes)
-            inside = (t >= first) & (t < first + number)
-            t, w, row = t[inside] - first, w[inside], row[inside]
-            order = np.argsort(t, kind="stable")
-            t, w, row = t[order], w[order], row[order]
-            step = max(1, PRODUCT // width)
-            for at in range(0, len(t), step):
-                some = t[at : at + step]
-                starts = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
-                total[some[starts]] += np.add.reduceat(w[at : at + step, None] * block[row[at : at + step]], starts, axis=0)
-        there = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), _lists(total[there])], names=["t", "x"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for t, x in zip(batch.column(0).to_pylist(), _matrix(batch.column(1), batch.num_rows)):
-                total[t] = total[t] + x if t in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), _lists(np.array(list(total.values())).reshape(len(total), width))], names=["t", "x"])
-
-    kind = "t int, x array<double>"
-    with cleaned(table.sparkSession):
-        parts = table.mapInArrow(run, kind).repartition("t").mapInArrow(add, kind).toArrow()  # at most CELLS numbers
-    out = np.zeros((number, width))
-    if parts.num_rows:
-        out[parts.column(0).to_numpy()] = np.concatenate([_matrix(c, len(c)) for c in parts.column(1).chunks if len(c)])
-    return out
 
+def _sorted(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Starts of the rows, columns in order and values; a column that comes twice in a row is summed up."""
+    t, w = (batch.column(c).flatten().to_numpy() for c in (1, 2))
+    row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+    order = np.lexsort((t, row))
+    row, t, w = row[order], t[order], w[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (t[1:] != t[:-1]))) if len(t) else np.empty(0, dtype=np.int64)
+    w = np.add.reduceat(w, first) if len(first) else w
+    return {"start": np.searchsorted(row[first], np.arange(batch.num_rows + 1)), "t": t[first], "w": w}
 
-def _lists(rows: np.ndarray) -> pa.ListArray:
-    n, width = rows.shape
-    return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * width).astype(np.int32)), pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
+class Parts:
+    """Rows in parts below a folder: part ``p`` has a file in ``rows`` and one in the folder of every block."""
 
-def _advance(table: DataFrame, grow: Growth, path: str, columns: int, most: int) -> DataFrame:
-    """Rows with the new block, and its product X(X'Y), from the ranges of X'Y in the files below the path."""
-    width = grow.inverse.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            blocks, product = _matrix(batch.column(3), n), _matrix(batch.column(4), n)
-            blocks, product = np.hstack([blocks, grow(blocks, product)]), np.zeros((n, width))
-            t, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            row = np.repeat(np.arange(n), np.diff(batch.column(1).offsets.to_numpy()))
-            for first in range(0, columns, most):
-                sums = _load(path, first)
-                inside = np.flatnonzero((t >= first) & (t < first + len(sums)))
-                owner, place, value = row[inside], t[inside] - first, w[inside]
-                for at in range(0, len(inside), step := max(1, PRODUCT // width)):
-                    mine = owner[at : at + step]
-                    starts = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-                    product[mine[starts]] += np.add.reduceat(value[at : at + step, None] * sums[place[at : at + step]], starts, axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(blocks), _lists(product)], names=["doc_id", "t", "w", "k", "x"])
-
-    return durable(table.mapInArrow(run, SCHEMA), "krylov")
-
-
-def _save(path: str, first: int, sums: np.ndarray) -> None:
-    files, base = fs.FileSystem.from_uri(path)
-    files.create_dir(base)
-    held = io.BytesIO()
-    np.save(held, sums)
-    with files.open_output_stream(f"{base}/{first}.npy") as out:
-        out.write(held.getbuffer())
+    def __init__(self, rows: DataFrame):
+        self.spark, self.folder = rows.sparkSession, uri_of(fresh_path(rows.sparkSession, "ranges-parts"))
+        folder = f"{self.folder}/rows"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, PART):
+                    some, name = batch.slice(at, PART), uuid.uuid4().hex  # what a failed attempt wrote is not named to the driver
+                    save(f"{folder}/{name}.npz", ids=some.column(0).to_numpy(), d=some.column(3).to_numpy(), **_sorted(some))
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([some.num_rows])], names=["name", "n"])
+
+        d = F.col("d").cast("double") if "d" in rows.columns else F.lit(0.0)
+        cast = rows.select("doc_id", F.col("t").cast("array<int>").alias("t"), F.col("w").cast("array<double>").alias("w"), d.alias("d"))
+        made = sorted(tuple(r) for r in cast.mapInArrow(run, "name string, n bigint").collect())  # a row per part
+        self.names, self.number = [name for name, _ in made], sum(n for _, n in made)
+        self.tasks = max(1, min(len(made), self.spark.sparkContext.defaultParallelism), math.ceil(len(made) / HELD))
 
+    def each(self, run: Callable[[list[str], int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """Of every task what ``run`` yields for its parts and its number."""
+        names, tasks = self.names, self.tasks
 
-def _load(path: str, first: int) -> np.ndarray:
-    files, base = fs.FileSystem.from_uri(path)
-    with files.open_input_stream(f"{base}/{first}.npy") as file:
-        return np.load(io.BytesIO(file.read()))
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    yield from run(names[i::tasks], i)
 
+        return self.spark.range(0, tasks, 1, tasks).mapInArrow(task, schema)
 
-def _growth(whole: np.ndarray, total: int) -> Growth:
+    def summed(self, run: Callable[[list[str], int], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+        """The sum of the small matrices of all tasks."""
+        found = self.each(lambda names, i: iter([pa.RecordBatch.from_arrays([pa.array([run(names, i).tobytes()], pa.binary())], names=["m"])]), "m binary")
+        total = np.zeros(shape)
+        for r in found.toLocalIterator() if self.tasks * total.nbytes > 1 << 27 else found.collect():
+            total += np.frombuffer(bytes(r["m"])).reshape(shape)
+        return total
+
+    def discard(self, *blocks: str) -> None:
+        for block in blocks:
+            discard(self.spark, f"{self.folder}/{block}")
+
+
+@dataclass
+class Growth:
+    """How a block follows from a product: what of the blocks before it is taken off, and what makes it orthonormal."""
+
+    c: np.ndarray
+    inverse: np.ndarray
+    r: np.ndarray
+
+    def __call__(self, blocks: np.ndarray, product: np.ndarray) -> np.ndarray:
+        return (product - blocks @ self.c) @ self.inverse
+
+
+def _growth(whole: np.ndarray, total: int, least: float) -> Growth:
     """From the inner products of all blocks and of the product with the product. Directions it hardly has are dropped."""
     c, q = whole[:total], whole[total:]
     rest = q - c.T @ c
     values, vectors = np.linalg.eigh((rest + rest.T) / 2)
-    good = values > LOST * max(float(np.linalg.eigvalsh(q)[-1]), 1e-300)
+    good = values > max(LOST * max(float(np.linalg.eigvalsh(q)[-1]), 1e-300), least)
     root = np.sqrt(values[good])
     return Growth(c, vectors[:, good] / root, (vectors[:, good] * root).T)
 
 
+def _blocks(folder: str, blocks: list[str], name: str, rows: int) -> np.ndarray:
+    return np.hstack([np.empty((rows, 0)), *(load(f"{folder}/{b}/{name}.npz")["x"] for b in blocks)])
+
+
+def _products(parts: Parts, blocks: list[str], total: int, last: str, width: int) -> np.ndarray:
+    """Inner products of all blocks, and of the last one, with the last one."""
+    folder = parts.folder
+
+    def run(names: list[str], i: int) -> np.ndarray:
+        out = np.zeros((total + width, width))
+        for name in names:
+            x = load(f"{folder}/{last}/{name}.npz")["x"]
+            out[:total] += _blocks(folder, blocks, name, len(x)).T @ x
+            out[total:] += x.T @ x
+        return out
+
+    return parts.summed(run, (total + width, width))
+
+
+def _begin(parts: Parts, blocks: list[str], total: int, width: int, draw: int, block: str) -> np.ndarray:
+    """A block of random vectors, with its inner products."""
+    folder = parts.folder
+
+    def run(names: list[str], i: int) -> np.ndarray:
+        out = np.zeros((total + width, width))
+        for name in names:
+            x = _start(load(f"{folder}/rows/{name}.npz")["ids"], width, draw)
+            save(f"{folder}/{block}/{name}.npz", x=x)
+            out[:total] += _blocks(folder, blocks, name, len(x)).T @ x
+            out[total:] += x.T @ x
+        return out
+
+    return parts.summed(run, (total + width, width))
+
+
+def _orthogonal(parts: Parts, blocks: list[str], grow: Growth, last: str, block: str) -> np.ndarray:
+    """The block that ``grow`` makes of the last one, with its inner products."""
+    folder, (total, width) = parts.folder, (len(grow.c), grow.inverse.shape[1])
+
+    def run(names: list[str], i: int) -> np.ndarray:
+        out = np.zeros((total + width, width))
+        for name in names:
+            x = load(f"{folder}/{last}/{name}.npz")["x"]
+            before = _blocks(folder, blocks, name, len(x))
+            x = grow(before, x)
+            save(f"{folder}/{block}/{name}.npz", x=x)
+            out[:total] += before.T @ x
+            out[total:] += x.T @ x
+        return out
+
+    return parts.summed(run, (total + width, width))
+
+
+def _settle(parts: Parts, blocks: list[str], grow: Growth, last: str, block: str, cut: np.ndarray | None, kept: str, columns: int, most: int) -> None:
+    """The last block made orthogonal again, the blocks before it cut to the vectors of ``cut``, and the tasks' shares of X'Y in ranges of ``most`` columns."""
+    folder, width = parts.folder, grow.inverse.shape[1]
+
+    def run(names: list[str], i: int) -> Iterator[pa.RecordBatch]:
+        for name in names:
+            x = load(f"{folder}/{last}/{name}.npz")["x"]
+            before = _blocks(folder, blocks, name, len(x))
+            save(f"{folder}/{block}/{name}.npz", x=grow(before, x))
+            if cut is not None:
+                save(f"{folder}/{kept}/{name}.npz", x=before @ cut)
+        for first in range(0, columns, most):
+            total = np.zeros((min(most, columns - first), width))
+            for name in names:
+                rows, y = load(f"{folder}/rows/{name}.npz"), load(f"{folder}/{block}/{name}.npz")["x"]
+                start, t, w = _inside(rows, first, len(total))
+                for j in range(len(y)):
+                    some = slice(start[j], start[j + 1])
+                    total[t[some]] += w[some, None] * y[j]  # a column is once in a row
+            there = np.flatnonzero(total.any(axis=1))
+            save(f"{folder}/shares/{first}-{i}.npz", t=there, x=total[there])
+        yield pa.RecordBatch.from_arrays([pa.array([i])], names=["i"])
+
+    parts.each(run, "i bigint").collect()
+
+
+def _inside(rows: dict[str, np.ndarray], first: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, columns and values of the rows in a range of columns."""
+    start, t, w = rows["start"], rows["t"], rows["w"]
+    inside = (t >= first) & (t < first + number)
+    if inside.all():
+        return start, t - first, w
+    return np.append(0, np.cumsum(inside))[start], t[inside] - first, w[inside]
+
+
+def _sum(parts: Parts, columns: int, most: int) -> None:
+    """The tasks' shares of X'Y summed up, a file per range."""
+    folder, tasks = parts.folder, parts.tasks
+    firsts = list(range(0, columns, most))
+
+    def run(names: list[str], i: int) -> Iterator[pa.RecordBatch]:
+        for first in firsts[i::tasks]:
+            shares = (load(f"{folder}/shares/{first}-{k}.npz") for k in range(tasks))
+            total = None
+            for share in shares:
+                if total is None:
+                    total = np.zeros((min(most, columns - first), share["x"].shape[1]))
+                total[share["t"]] += share["x"]
+            save(f"{folder}/sums/{first}.npz", x=total)
+        yield pa.RecordBatch.from_arrays([pa.array([i])], names=["i"])
+
+    parts.each(run, "i bigint").collect()
+
+
+def _advance(parts: Parts, blocks: list[str], total: int, width: int, block: str, columns: int, most: int) -> np.ndarray:
+    """The product X X'Y of the last of the blocks, with its inner products."""
+    folder, last = parts.folder, blocks[-1]
+
+    def run(names: list[str], i: int) -> np.ndarray:
+        held = [load(f"{folder}/rows/{name}.npz")["d"][:, None] * load(f"{folder}/{last}/{name}.npz")["x"] for name in names]
+        for first in range(0, columns, most):
+            sums = load(f"{folder}/sums/{first}.npz")["x"]
+            for name, x in zip(names, held):
+                start, t, w = _inside(load(f"{folder}/rows/{name}.npz"), first, len(sums))
+                for j in np.flatnonzero(start[1:] > start[:-1]):
+                    some = slice(start[j], start[j + 1])
+                    x[j] += w[some] @ sums[t[some]]
+        out = np.zeros((total + width, width))
+        for name, x in zip(names, held):
+            save(f"{folder}/{block}/{name}.npz", x=x)
+            out[:total] += _blocks(folder, blocks, name, len(x)).T @ x
+            out[total:] += x.T @ x
+        return out
+
+    return parts.summed(run, (total + width, width))
+
+
+def _vectors(parts: Parts, blocks: list[str], found: np.ndarray) -> DataFrame:
+    folder = parts.folder
+
+    def run(names: list[str], i: int) -> Iterator[pa.RecordBatch]:
+        for name in names:
+            ids = load(f"{folder}/rows/{name}.npz")["ids"]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(_blocks(folder, blocks, name, len(ids)) @ found)], names=["doc_id", "v"])
+
+    return durable(parts.each(run, "doc_id bigint, v array<double>"), "singular-vectors")
+
+
 @dataclass
 class Decomposition:
     """``vectors(doc_id, v)`` are the rows of the left singular vectors, ``sigma`` the singular values, descending."""
@@ -185,89 +308,76 @@ class Decomposition:
 
 
 def decompose(rows: DataFrame, columns: int, k: int) -> Decomposition:
-    """The k largest singular values and vectors of ``rows(doc_id, t, w)`` with column numbers below ``columns``."""
-    number = rows.count()
-    width = min(number, k + 8)
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            first = _start(batch.column(0).to_numpy(), width)
-            empty = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, dtype=np.int32)), pa.array([], pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), empty, _lists(first)], names=["doc_id", "t", "w", "k", "x"])
-
-    table = durable(rows.select("doc_id", F.col("t").cast("array<int>").alias("t"), "w").mapInArrow(begin, SCHEMA), "krylov")
-    dims: list[int] = []
-    steps: list[Growth] = []
-    wanted = min(number, 6 * k)
+    """The k largest singular values and vectors of ``rows(doc_id, t, w)``, or with ``d``, with column numbers below ``columns``."""
+    parts = Parts(rows)
+    number = parts.number
+    if not number:
+        return Decomposition(rows.sparkSession.createDataFrame([], "doc_id bigint, v array<double>"), [], 0.0)
+    k = min(k, number)
+    width = min(number, max(8, math.ceil(BLOCK * k)))
+    keep = k + width // 2
+    largest = max(math.ceil(LARGEST * k), keep + 2 * width)
+    blocks: list[str] = []
+    total = step = dropped = 0
+    fresh, before = -1, np.zeros(k)
+    image, theta, z, off = np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)), 0.0
+    whole, cut = _begin(parts, blocks, 0, width, 0, "x0"), None
     while True:
-        total, size = sum(dims), steps[-1].inverse.shape[1] if steps else width
-
-        def products(batch: pa.RecordBatch) -> np.ndarray:
-            blocks, x = _matrix(batch.column(3), batch.num_rows), _matrix(batch.column(4), batch.num_rows)
-            return np.vstack([blocks.T @ x, x.T @ x])
-
-        grow = _growth(_sum_over_tasks(table, products, (total + size, size)), total)
-        steps.append(grow)
-        ended = grow.inverse.shape[1] == 0
-        if steps[1:] and (ended or sum(dims) >= wanted or len(dims) >= STEPS):
-            found, sigma, residual = _ritz(table, steps, dims, k)
-            if ended or sum(dims) >= number or residual <= TOLERANCE or len(dims) >= STEPS:
-                vectors = _vectors(table, found, dims)
-                forget(table)
-                return Decomposition(vectors, sigma, residual)
-            wanted = sum(dims) + 2 * dims[-1]
-        dims.append(grow.inverse.shape[1])
-        most = max(1, CELLS // max(1, dims[-1]))
-        source, path = table, fresh_path(table.sparkSession, "ranges")
-        for at in range(0, columns, most):
-            _save(path, at, _columns_sum(source, grow, at, min(most, columns - at)))
-        table = _advance(source, grow, path, columns, most)
-        forget(source)
-        discard(table.sparkSession, path)
-
-
-def _ritz(table: DataFrame, steps: list[Growth], dims: list[int], k: int) -> tuple[np.ndarray, list[float], float]:
-    """Coefficients of the best vectors, their singular values, and the largest residual."""
-    grow, last = steps[-1], steps[-1].inverse.shape[1]
-    total = sum(dims)
-
-    def gram(batch: pa.RecordBatch) -> np.ndarray:
-        blocks, x = _matrix(batch.column(3), batch.num_rows), _matrix(batch.column(4), batch.num_rows)
-        whole = np.hstack([blocks, grow(blocks, x)])
-        return whole.T @ whole
-
-    inner = _sum_over_tasks(table, gram, (total + last, total + last))
-    # X X' times block j is block j + 1 times r and the blocks up to j times c
-    image = np.zeros((total + last, total))
-    at = np.append(0, np.cumsum([*dims, last]))
-    for j, step in enumerate(steps[1:]):
-        columns = slice(at[j], at[j + 1])
-        image[at[j + 1] : at[j + 2], columns] = step.r
-        image[: at[j + 1], columns] = step.c
-    values, vectors = np.linalg.eigh(inner[:total, :total])
-    good = values > 1e-10 * values[-1]
-    basis = vectors[:, good] / np.sqrt(values[good])
-    small = basis.T @ inner[:total] @ image @ basis
-    eigen, found = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-eigen)[:k]
-    eigen, found = eigen[order], basis @ found[:, order]
-    off = image @ found
-    off[:total] -= found * eigen
-    residual = np.sqrt(np.maximum(np.einsum("ij,ij->j", off, inner @ off), 0.0)).max(initial=0.0) / max(float(eigen.max(initial=0.0)), 1e-300)
-    sigma = np.sqrt(np.maximum(eigen, 0.0))
+        # the product is made orthogonal to what is kept of the blocks: x = K c + y r with a second time y = K c' + z r'
+        into = np.eye(total) if cut is None else cut
+        least = (1e-12 * theta.max(initial=0.0)) ** 2
+        first = _growth(np.vstack([into.T @ whole[:total], whole[total:]]), into.shape[1], least)
+        second = first
+        if first.inverse.shape[1]:
+            again = _orthogonal(parts, blocks, Growth(into @ first.c, first.inverse, first.r), f"x{step}", f"y{step}")
+            second = _growth(np.vstack([into.T @ again[:total], again[total:]]), into.shape[1], 0.0)
+        size = second.inverse.shape[1] if first.inverse.shape[1] else 0
+        c, r = (first.c + second.c @ first.r, second.r @ first.r) if size else (first.c, np.zeros((0, whole.shape[1])))
+        if cut is None:
+            image = np.vstack([image, np.zeros((size, image.shape[1]))])
+            if total:  # X X' times the last block is known now
+                image = np.hstack([image, np.vstack([c, r])])
+            small = image[:total]
+            theta, z = np.linalg.eigh((small + small.T) / 2) if total else (np.zeros(0), np.zeros((0, 0)))
+            theta, z = theta[::-1], z[:, ::-1]
+            highest = max(float(theta.max(initial=0.0)), 1e-300)
+            off = np.linalg.norm(image[total:] @ z[:, :k], axis=0).max(initial=0.0) / highest
+            ended = step >= STEPS or total >= number or (total > 0 and size == 0)
+            if ended or (total >= k and off <= TOLERANCE):
+                now = np.append(theta[:k], np.zeros(max(0, k - total)))
+                same = fresh >= 0 and np.abs(now - before).max(initial=0.0) <= TOLERANCE * highest
+                if step >= STEPS or total >= number or (same and (size == 0 or fresh >= CERTAIN)):
+                    break
+                if size == 0 or fresh < 0 or not same and fresh >= CERTAIN:  # once more from random vectors
+                    fresh, before, dropped = 0, now, max(dropped, off)
+                    cut = z[:, : keep if size == 0 else k]
+                    parts.discard(f"x{step}", f"y{step}")
+                    step += 1
+                    whole = _begin(parts, blocks, total, min(width, number - cut.shape[1]), step * width, f"x{step}")
+                    continue
+            if total + size > largest:
+                cut = z[:, :keep]
+                image = np.vstack([np.diag(theta[:keep]), image[total:] @ cut])
+        else:
+            if size == 0:
+                break
+            image = np.vstack([np.diag(theta[: cut.shape[1]]), np.zeros((size, cut.shape[1]))])
+        after, kept = f"b{step}", f"k{step}"
+        most = max(1, CELLS // size)
+        _settle(parts, blocks, Growth(into @ second.c, second.inverse, second.r), f"y{step}", after, cut, kept, columns, most)
+        parts.discard(f"x{step}", f"y{step}")
+        if cut is not None:
+            parts.discard(*blocks)
+            blocks, total, cut = [kept], cut.shape[1], None
+        blocks.append(after)
+        total += size
+        _sum(parts, columns, most)
+        step, fresh = step + 1, fresh + 1 if fresh >= 0 else fresh
+        whole = _advance(parts, blocks, total, size, f"x{step}", columns, most)
+        parts.discard("shares", "sums")
+    sigma = np.sqrt(np.maximum(theta[:k], 0.0))
     # eigenvalues are exact to about 1e-12 of the largest, singular values to the root of it
-    keep = sigma > NOTHING * max(float(sigma.max(initial=0.0)), 1e-300)
-    return found[:, keep], [float(s) for s in sigma[keep]], float(residual)
-
-
-def _vectors(table: DataFrame, found: np.ndarray, dims: list[int]) -> DataFrame:
-    total = sum(dims)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = _matrix(batch.column(3), batch.num_rows)[:, :total] @ found
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(rows)], names=["doc_id", "v"])
-
-    return durable(table.select("doc_id", "t", "w", "k").mapInArrow(run, "doc_id bigint, v array<double>"), "singular-vectors")
+    good = sigma > NOTHING * max(float(sigma.max(initial=0.0)), 1e-300)
+    vectors = _vectors(parts, blocks, z[:, :k][:, good])
+    discard(parts.spark, parts.folder)
+    return Decomposition(vectors, [float(s) for s in sigma[good]], float(max(off, dropped)))

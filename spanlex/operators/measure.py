@@ -8,6 +8,7 @@ in bounded memory, and evaluates the rankings itself. The rankings are those of
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,11 +19,15 @@ from pyspark.sql import functions as F
 from spanlex.functions import scoring as S
 from spanlex.operators.evaluate import METRICS, clean_qrels, values_of
 from spanlex.operators.index import Index, vocabulary
-from spanlex.operators.retrieve import Batch, batch_of, hits_of
-from spanlex.session import durable
+from spanlex.operators.krylov import load, save, uri_of
+from spanlex.operators.lsi import Model, fold, unit_documents
+from spanlex.operators.retrieve import CELLS, Batch, batch_of, hits_of
+from spanlex.session import discard, durable, fresh_path
 
 #: Rows a task keeps for its group of queries, postings of a block of documents, and judgments that are sent to all tasks.
 ROWS, HITS, JUDGED = 4_000_000, 2_000_000, 2_000_000
+#: Documents whose vectors a task holds at a time, and numbers of a block of their cosines.
+VECTORS, COSINES = 16_384, 1_000_000
 SCHEMA = "method string, qid string, " + ", ".join(f"{m} double" for m in METRICS)
 
 #: Scores, places of names, and ids of the documents kept of a query.
@@ -219,6 +224,91 @@ def measured(index: Index, queries: DataFrame, qrels: DataFrame, methods: tuple[
     return by_groups(rows, number, run)
 
 
+def measured_lsi(index: Index, model: Model, queries: DataFrame, qrels: DataFrame, k: int) -> DataFrame | None:
+    """``(method, qid, RBP, DCG, NDCG, AP)`` of the rankings of ``lsi.retrieve``; None for too large a batch.
+
+    The vectors of documents are written once, as files that the task of every group of queries reads one after the other.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    batch = batch_of(queries, index)
+    judgments = judgments_of(qrels, batch.qids) if batch else None
+    spark = index.postings.sparkSession
+    if not judgments or ROWS < k:
+        return None
+    if not model.sigma or not batch.qids:
+        return spark.createDataFrame([], SCHEMA)
+    folder = uri_of(fresh_path(spark, "vectors"))
+    files = _vector_files(with_places(unit_documents(model), index.names).select("doc_id", "place", "vec"), folder)
+    most, out = max(1, CELLS // model.k), None
+    for at in range(0, len(batch.qids), most):
+        some = batch.some(at, at + most)
+        vectors = fold(index, model, some)
+        size = groups_of(len(some.qids), k, width_of(index.postings))
+        number = math.ceil(len(some.qids) / size)
+        for g in range(number):
+            save(f"{folder}/queries/{g}.npz", x=vectors[g * size : (g + 1) * size])
+        found = durable(spark.range(0, number, 1, number).mapInArrow(_lsi_groups(folder, files, some.qids, judgments, at, size, k), SCHEMA), "measured")
+        out = found if out is None else out.unionByName(found)
+    discard(spark, folder)
+    return out
+
+
+def _vector_files(docs: DataFrame, folder: str) -> list[str]:
+    """Ids, places of names and vectors as files below the folder; their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], 0
+
+        def write() -> pa.RecordBatch:
+            name = uuid.uuid4().hex
+            vec = np.concatenate([b.column(2).flatten().to_numpy().reshape(b.num_rows, -1) for b in held])
+            save(f"{folder}/{name}.npz", ids=np.concatenate([b.column(0).to_numpy() for b in held]), place=np.concatenate([b.column(1).to_numpy() for b in held]), vec=vec)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTORS):
+                held.append(batch.slice(at, VECTORS))
+                number += held[-1].num_rows
+                if number >= VECTORS:
+                    yield write()
+                    number = 0
+        if held:
+            yield write()
+
+    return sorted(r["name"] for r in docs.mapInArrow(run, "name string").collect())  # a row per file
+
+
+def _lsi_groups(folder: str, files: list[str], qids: list[str], judgments: Judgments, first: int, size: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Evaluates the rankings of groups of queries by the cosines of their vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in (g for batch in batches for g in batch.column(0).to_pylist()):
+            asked = load(f"{folder}/queries/{g}.npz")["x"]
+            there = np.flatnonzero(asked.any(axis=1))
+            kept: list[Kept | None] = [None] * len(asked)
+            least = np.full(len(asked), -np.inf)
+            for name in files:
+                docs = load(f"{folder}/{name}.npz")
+                ids, place, vec = docs["ids"], docs["place"], docs["vec"]
+                step = max(1, COSINES // len(ids))
+                for at in range(0, len(there), step):
+                    rows = there[at : at + step]
+                    scores = asked[rows] @ vec.T
+                    for i, own in zip(rows, scores):
+                        found = np.flatnonzero(own >= least[i] - 1e-9)  # others are below the k-th score, rounded or not
+                        if not len(found):
+                            continue
+                        kept[i] = joined(kept[i], (np.round(own[found], 9), place[found], ids[found]), k, False)
+                        if len(kept[i][0]) == k:
+                            least[i] = kept[i][0].min()
+            rankings = ((i, ranked(kept[i], k)) for i in there if kept[i] is not None)
+            yield rows_of("lsi", rankings, qids[g * size : (g + 1) * size], judgments, first + g * size)
+
+    return run
+
+
 def means(values: DataFrame) -> DataFrame:
     """``(method, metric, value)``: the mean of every metric over the queries of a method."""
     rows = values.groupBy("method").agg(*(F.avg(m).alias(m) for m in METRICS))

@@ -224,3 +224,52 @@ def test_steps_leave_nothing_behind(spark, monkeypatch):
     left = [t for t in written if os.path.exists(t._spanlex_path)]
     assert len(left) == 1 and left[0]._spanlex_path == found.vectors._spanlex_path
     assert not [p for p in os.listdir(os.path.dirname(found.vectors._spanlex_path)) if p.startswith("ranges")]
+
+
+def test_measured_lsi_rankings_are_those_of_retrieve(spark, small, monkeypatch):
+    """Metrics found group by group of queries in blocks of few documents, against those of the written rankings."""
+    from spanlex.operators import evaluate, measure
+    from spanlex.plans import entries
+
+    index, queries, qrels = entries.built(spark, small), entries.asked(spark, small), entries.table(spark, small, "qrels")
+    model = lsi.build(index, 9)
+    monkeypatch.setattr(measure, "CELLS", 90)  # ten queries a round
+    for k in (5, 1000):
+        got = {r["qid"]: r for r in measure.measured_lsi(index, model, queries, qrels, k).collect()}
+        judged = evaluate.judge(lsi.retrieve(index, model, queries, k), qrels).persist()
+        for name in evaluate.METRICS:
+            expected = {r["qid"]: r["value"] for r in evaluate.metric(judged, name).collect()}
+            assert set(got) == set(expected)
+            assert all(r[name] == expected[q] or abs(r[name] - expected[q]) < 1e-9 for q, r in got.items())
+
+
+def test_space_of_a_decomposition_is_bounded(spark, monkeypatch):
+    """Slowly falling singular values take many steps; the vectors held per row stay few, and values that repeat are all found."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random((260, 240)) < 0.1, rng.random((260, 240)), 0.0)
+    rows = [(i, np.flatnonzero(x).tolist(), x[x != 0].tolist()) for i, x in enumerate(a)]
+    seen, advance = [], krylov._advance
+    monkeypatch.setattr(krylov, "_advance", lambda parts, blocks, total, *rest: seen.append(total) or advance(parts, blocks, total, *rest))
+    found = krylov.decompose(spark.createDataFrame(rows, "doc_id bigint, t array<int>, w array<double>").coalesce(1), 240, 20)
+    assert np.allclose(found.sigma, np.linalg.svd(a, compute_uv=False)[:20], rtol=1e-7)
+    assert max(seen) <= max(50, 24 + 2 * 8) and len(seen) > 6
+    same = spark.createDataFrame([(i, [i], [2.0 if i < 30 else 1.0]) for i in range(60)], "doc_id bigint, t array<int>, w array<double>").coalesce(1)
+    assert np.allclose(krylov.decompose(same, 60, 20).sigma, [2.0] * 20)
+
+
+def test_terms_of_one_document_need_no_column(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(7)
+    docs = [(d, f"n{d:02d}", "b", " ".join([*(r.choice("abcdefgh") * 2 for _ in range(9)), *(f"own{d}x{i}" for i in range(d % 4))])) for d in range(24)]
+    index = build(spark.createDataFrame(docs, "doc_id bigint, doc_name string, block string, text string"))
+    columns, decompose = [], lsi.decompose
+    monkeypatch.setattr(lsi, "decompose", lambda rows, number, k: columns.append(number) or decompose(rows, number, k))
+    model = lsi.build(index, 10)
+    words = sorted({w for t in docs for w in t[3].split()})
+    tf = np.array([[t[3].split().count(w) for t in docs] for w in words], dtype=float)
+    a = np.log(len(docs) / (tf > 0).sum(axis=1))[:, None] * np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0)
+    assert np.allclose(model.sigma, np.linalg.svd(a, compute_uv=False)[:10], rtol=1e-7)
+    assert columns == [sum((tf > 0).sum(axis=1) > 1)] and columns[0] < len(words)
