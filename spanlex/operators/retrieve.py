@@ -195,14 +195,14 @@ class _Task:
             self.parts.append((np.concatenate(owner), ids[at], names.take(pa.array(at)), np.concatenate(scores)))
             self.held += len(at)
 
-    def take(self, scores: np.ndarray, ids: np.ndarray, names: pa.Array) -> None:
-        """Keep the k best of every row of scores, of whatever sign, of documents in the order of ties."""
+    def take(self, scores: np.ndarray, ids: np.ndarray, names: pa.Array, rows: np.ndarray) -> None:
+        """Keep the k best of every row of scores, of whatever sign, of documents in the order of ties. ``rows`` are the queries' places."""
         n = scores.shape[1]
         if n > self.k:
             kth = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
         else:
             kth = np.full(len(scores), -np.inf)
-        q, at = np.nonzero((scores >= kth[:, None]) & (scores >= self.least[:, None]))
+        q, at = np.nonzero(scores >= np.maximum(kth, self.least[rows])[:, None])
         # rows are in order, and documents in the order of ties inside a row
         above = scores[q, at] > kth[q]
         ties = np.cumsum(~above) - np.repeat(*_runs(~above, q, len(scores)))
@@ -210,8 +210,8 @@ class _Task:
         keep = above | (ties <= room[q])
         q, at = q[keep], at[keep]
         if n > self.k:
-            self.least = np.maximum(self.least, kth)
-        self.parts.append((q, ids[at], names.take(pa.array(at)), scores[q, at]))
+            self.least[rows] = np.maximum(self.least[rows], kth)
+        self.parts.append((rows[q], ids[at], names.take(pa.array(at)), scores[q, at]))
         self.held += len(q)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:

@@ -30,7 +30,9 @@ def nearest(docs: DataFrame, qids: list[str], vectors: np.ndarray, k: int) -> Da
                 block = batch.slice(at, size)
                 order = pc.array_sort_indices(block.column(1), order="descending").to_numpy()
                 rows = block.column(2).flatten().to_numpy().reshape(block.num_rows, -1)[order]
-                task.take(np.round(vectors @ rows.T, 9), block.column(0).to_numpy()[order], block.column(1).take(pa.array(order)))
+                scores = vectors @ rows.T
+                some = np.flatnonzero(scores.max(axis=1) >= task.least - 1e-9)  # others can't reach their k-th score, rounded or not
+                task.take(np.round(scores[some], 9), block.column(0).to_numpy()[order], block.column(1).take(pa.array(order)), some)
                 if task.held > HELD:
                     task.cut()
         yield from task.rows()

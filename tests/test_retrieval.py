@@ -273,3 +273,19 @@ def test_terms_of_one_document_need_no_column(spark, monkeypatch):
     a = np.log(len(docs) / (tf > 0).sum(axis=1))[:, None] * np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0)
     assert np.allclose(model.sigma, np.linalg.svd(a, compute_uv=False)[:10], rtol=1e-7)
     assert columns == [sum((tf > 0).sum(axis=1) > 1)] and columns[0] < len(words)
+
+
+def test_scores_of_some_queries_are_taken():
+    """Queries that a block can't serve are left out of it, and keep their floor."""
+    import numpy as np
+    import pyarrow as pa
+
+    none = np.empty(0, dtype=np.int64)
+    task = retrieve._Task(retrieve.Batch(["a", "b", "c"], none, none, none, []), 1, False, -np.inf)
+    ids, names = np.array([1, 2]), pa.array(["y", "x"])
+    task.take(np.array([[0.1, 0.2], [0.9, 0.3], [0.5, 0.4]]), ids, names, np.arange(3))
+    task.take(np.array([[0.7, 0.6], [0.1, 0.8]]), ids + 2, names, np.array([0, 2]))
+    assert task.least.tolist() == [0.7, 0.9, 0.8]
+    task.cut()
+    q, found, _, scores = task.joined()
+    assert sorted(zip(q.tolist(), found.tolist(), scores.tolist())) == [(0, 3, 0.7), (1, 1, 0.9), (2, 4, 0.8)]
